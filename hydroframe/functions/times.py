@@ -58,6 +58,10 @@ def year_of(text: Column, run_ts: Column) -> Column:
 
 
 def ordered_days(start: Column, end: Column, run_ts: Column) -> tuple[Column, Column]:
-    """Both date texts as day texts, earlier one first."""
+    """Both date texts as day texts, earlier one first; null if either is no date."""
     first, second = moment(start, run_ts), moment(end, run_ts)
-    return day_text(F.least(first, second)), day_text(F.greatest(first, second))
+    both = first.isNotNull() & second.isNotNull()
+    return (
+        F.when(both, day_text(F.least(first, second))),
+        F.when(both, day_text(F.greatest(first, second))),
+    )

@@ -12,16 +12,17 @@ def upsert_join(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     The keys are compared null-safe, so an absent optional key column matches.
     """
     cells = _all_columns([new, old], keys)
-    same = reduce(lambda a, b: a & b, (new[k].eqNullSafe(old[k]) for k in keys))
-    return new.join(old, same, "full").select(
-        *(F.coalesce(new[k], old[k]).alias(k) for k in keys),
-        *(_first_cell(c, new, old) for c in cells),
-    )
+    sides = {"new": new.columns, "old": old.columns}
 
+    def newest(column: str) -> Column:
+        holders = [F.col(f"{side}.`{column}`") for side, held in sides.items() if column in held]
+        return F.coalesce(*holders).alias(column)
 
-def _first_cell(column: str, new: DataFrame, old: DataFrame) -> Column:
-    sides = [df[column] for df in (new, old) if column in df.columns]
-    return F.coalesce(*sides).alias(column)
+    same = reduce(
+        lambda a, b: a & b, (F.col(f"new.`{k}`").eqNullSafe(F.col(f"old.`{k}`")) for k in keys)
+    )
+    joined = new.alias("new").join(old.alias("old"), same, "full")
+    return joined.select(*(newest(c) for c in [*keys, *cells]))
 
 
 def upsert_agg(

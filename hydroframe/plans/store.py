@@ -144,10 +144,12 @@ class Store:
             self.commit(dataset, stale, fetch(requests), now)
         return self.read(dataset, keys, start, end)
 
-    def commit(self, dataset: Dataset, keys: DataFrame, rows: DataFrame, now: Column) -> int:
+    def commit(
+        self, dataset: Dataset, keys: DataFrame | None, rows: DataFrame, now: Column
+    ) -> int:
         """Bring fetched rows of `keys` into the dataset; returns the new version.
 
-        The fetched rows are computed once, into a generation of their own. Partitions
+        Without `keys` the keys of the rows count as fetched. The fetched rows are computed once, into a generation of their own. Partitions
         that held nothing before are committed as they are.
         """
         before = self._latest(dataset)
@@ -159,6 +161,10 @@ class Store:
             incoming = self._upserted(dataset, [incoming], dataset.order)
         arrived = self._written(dataset, incoming.drop(*dataset.order))
         new = self._manifest_of(dataset, arrived)
+        if keys is None:
+            only_key = StructType([StructField(dataset.key, StringType())])
+            folder = f"{self._folder(dataset, 'data')}/gen={arrived}"
+            keys = self._generations(dataset, only_key, [folder]).select(dataset.key)
 
         if dataset.identity:
             touched = before.manifest.join(new, PLACE, "left_semi")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hydroframe.operators.observations import long_observations
@@ -33,9 +32,7 @@ def stream_upsert(
     def refresh(batch: DataFrame, _: int) -> None:
         paths = [row.path for row in batch.select("path").collect()]
         if paths:
-            rows = long_observations(scan(spark, paths))
-            sites = rows.select(dataset.key).distinct()
-            store.commit(dataset, sites, rows, now)
+            store.commit(dataset, None, long_observations(scan(spark, paths)), now)
 
     arrivals = (
         spark.readStream.format("binaryFile")
