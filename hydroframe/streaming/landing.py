@@ -36,6 +36,7 @@ def stream_upsert(
 
     arrivals = (
         spark.readStream.format("binaryFile")
+        .schema(spark.read.format("binaryFile").load(landing).schema)
         .option("maxFilesPerTrigger", max_files)
         .load(landing)
         .select("path")
