@@ -15,6 +15,9 @@ from hydroframe.sources.rdb import LINE_BREAK, RdbText, is_comment, is_content
 # Fixed value: the marker line's text.
 MARKER = "TS_ID       Parameter Description"
 
+# The start of the first line that is neither a comment nor blank.
+FIRST_CONTENT = r"(^|[\r\n]) *[^# \r\n]"
+
 
 def parameter_table(text: RdbText, marker: str = MARKER) -> DataFrame:
     """(file, line, <one string column per word of the marker>) for every file.
@@ -59,20 +62,17 @@ def _columns(marker: str) -> list[Column]:
 
 
 def _from_documents(documents: DataFrame, marker: str) -> DataFrame:
-    lines = F.split("value", LINE_BREAK)
-    leading = documents.select("file", lines.alias("lines")).withColumn(
-        "body", F.array_position(F.transform("lines", is_content), True)
-    )
-    comments = F.filter(
-        F.when(F.col("body") == 0, F.col("lines")).otherwise(
-            F.slice("lines", F.lit(1), F.col("body").cast("int") - 1)
-        ),
-        is_comment,
+    # Cut the leading comments off first: the data behind them is never split.
+    body_at = F.regexp_instr("value", F.lit(FIRST_CONTENT))
+    leading = F.when(F.col("body_at") == 0, F.col("value")).otherwise(
+        F.substr("value", F.lit(1), F.col("body_at"))
     )
+    comments = F.filter(F.split(leading, LINE_BREAK), is_comment)
     starts = F.transform("comments", lambda line: F.instr(_comment_text(line), marker))
     first = F.array_position(F.transform("starts", lambda at: at > 1), True).cast("int")
     table = (
-        leading.select("file", comments.alias("comments"))
+        documents.withColumn("body_at", body_at)
+        .select("file", comments.alias("comments"))
         .withColumn("starts", starts)
         .withColumn("at", first)
         .where("at > 0")

@@ -32,7 +32,7 @@ def is_comment(line: Column) -> Column:
 
 def is_content(line: Column) -> Column:
     """Neither a comment nor blank: a header, type or data line."""
-    return ~is_comment(line) & (F.trim(line) != "")
+    return ~F.ltrim(line).substr(1, 1).isin("", "#")
 
 
 def fits_header() -> Column:
@@ -138,8 +138,10 @@ class RdbText:
         if self.broadcast_heads:
             heads = F.broadcast(heads)
         after_head = (F.col("block") > 0) | (F.col("line") > F.col("type_line"))
-        body = self.lines.where(is_content(F.col("value")))
-        return body.join(heads, "file").where(after_head).drop("type_line")
+        # One condition on both sides stays at the join; split in two, the part on the
+        # line would be pushed below whatever computes the line and repeat it.
+        is_data = F.when(after_head, is_content(F.col("value"))).otherwise(False)
+        return self.lines.join(heads, "file").where(is_data).drop("type_line")
 
     def _heads_of_lines(self) -> DataFrame:
         return self.line_heads if self.line_heads is not None else line_heads(self.head_lines)
