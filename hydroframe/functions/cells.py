@@ -13,9 +13,6 @@ NULL_WORDS = (
 # The last letter of a type code and the Spark type it stands for.
 TYPE_LETTERS = {"s": "string", "n": "double", "d": "timestamp_ntz"}
 
-# try_cast alone would read "1d" and "1f" as numbers.
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-
 
 def spark_type(code: str) -> str:
     """Spark type of a type code such as `15s`, `16n` or `20d`."""
@@ -36,9 +33,19 @@ def text_cell(cell: Column) -> Column:
 
 
 def number_cell(cell: Column) -> Column:
-    """The cell as double; null for null words and for tokens that are no number."""
+    """The cell as double; null for null words and for tokens that are no number.
+
+    try_cast alone would also take `1d`, `1f`, `0x1p3`, `inf` and `nan`. Plain comparisons
+    keep them out; a pattern would cost as much as the rest of the cell.
+    """
     token = F.trim(cell)
-    return F.when(token.rlike(NUMBER), token.try_cast("double"))
+    plain = (
+        F.left(token, F.lit(1)).between("+", "9")
+        & F.right(token, F.lit(1)).between(".", "9")
+        & ~token.contains("x")
+        & ~token.contains("X")
+    )
+    return F.when(plain, token.try_cast("double"))
 
 
 def time_cell(cell: Column) -> Column:

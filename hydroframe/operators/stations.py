@@ -11,8 +11,9 @@ def stations_of(stations: DataFrame, states: DataFrame, on: Column | str | list)
     return stations.join(states, on, "left_semi")
 
 
-def station(stations: DataFrame, site_no: str) -> DataFrame:
-    return stations.where(F.col("site_no") == site_no)
+def stations_with(stations: DataFrame, value: str, column: str = "site_no") -> DataFrame:
+    """Stations with the given number, or with another column of the given value."""
+    return stations.where(F.col(column) == value)
 
 
 def name_check(stations: DataFrame, pattern: str, name: str, keys: list[str]) -> DataFrame:

@@ -63,3 +63,8 @@ def stacked_parts(parts: list[DataFrame]) -> DataFrame:
     """Several frames as one table that remembers which part a row came from."""
     numbered = [df.withColumn("part_idx", F.lit(i)) for i, df in enumerate(parts)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+
+
+def parts_of(stacked: DataFrame, n: int) -> list[DataFrame]:
+    """The n parts of `stacked_parts` again, in their order."""
+    return [stacked.where(F.col("part_idx") == i).drop("part_idx") for i in range(n)]

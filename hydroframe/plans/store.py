@@ -14,13 +14,14 @@ falls into one partition is written by several tasks when it is large.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
 
@@ -55,12 +56,17 @@ class Dataset:
     buckets: int = 64
 
 
+# Which generation holds each (period, bucket). One entry per stored folder: its size is
+# bounded by months times buckets and grows neither with rows nor with keys.
+Manifest = dict[tuple[str, int], str]
+
+
 @dataclass(frozen=True)
 class Version:
     """One committed state of a dataset."""
 
     number: int
-    manifest: DataFrame
+    manifest: Manifest
     marks: DataFrame
     fields: StructType
 
@@ -92,17 +98,15 @@ class Store:
     ) -> DataFrame:
         """The committed rows, opening only the buckets of `keys` and the months asked for."""
         version = self._latest(dataset)
-        manifest = version.manifest
-        if dataset.time:
+        places = version.manifest.items()
+        if dataset.time and (start or end):
             # Rows without a time lie under ALL_TIMES and are in no window.
-            if start:
-                manifest = manifest.where((F.col("period") >= start[:7]) & (F.col("period") != ALL_TIMES))
-            if end:
-                manifest = manifest.where(F.col("period") <= end[:7])
+            first, last = (start or "")[:7], (end or "9999-99")[:7]
+            places = [(p, gen) for p, gen in places if first <= p[0] <= last]
         if keys is not None:
-            buckets = keys.select(self._bucket(dataset).alias("bucket")).distinct()
-            manifest = manifest.join(buckets, "bucket", "left_semi")
-        rows = self._rows(dataset, version.fields, manifest)
+            wanted = self._buckets_of(dataset, keys)
+            places = [(p, gen) for p, gen in places if p[1] in wanted]
+        rows = self._rows(dataset, version.fields, dict(places))
         if keys is not None:
             rows = self._of_keys(rows, keys, dataset.key)
         return rows.drop(*PLACE)
@@ -119,7 +123,8 @@ class Store:
         """(period, bucket, gen): stored partitions the latest version no longer reads."""
         base = self._folder(dataset, "data")
         stored = self._generations(dataset, StructType([]), [base]).select(*PLACE, "gen")
-        return stored.distinct().join(self._latest(dataset).manifest, [*PLACE, "gen"], "left_anti")
+        current = self._manifest_rows(self._latest(dataset).manifest)
+        return stored.distinct().join(current, [*PLACE, "gen"], "left_anti")
 
     # -- writing -----------------------------------------------------------------
 
@@ -167,27 +172,41 @@ class Store:
             keys = self._generations(dataset, only_key, [folder]).select(dataset.key)
 
         if dataset.identity:
-            touched = before.manifest.join(new, PLACE, "left_semi")
+            touched = before.manifest.keys() & new.keys()
         else:
-            buckets = keys.select(self._bucket(dataset).alias("bucket")).distinct()
-            touched = before.manifest.join(buckets, "bucket", "left_semi")
-        if not touched.isEmpty():
-            old = self._rows(dataset, fields, touched)
+            refreshed = self._buckets_of(dataset, keys)
+            touched = {place for place in before.manifest if place[1] in refreshed}
+        if touched:
+            old = self._rows(dataset, fields, {p: before.manifest[p] for p in touched})
             if dataset.identity:
-                meeting = new.join(touched, PLACE, "left_semi")
-                merged = self._upserted(dataset, [self._rows(dataset, fields, meeting), old])
-                new = new.join(touched, PLACE, "left_anti")
+                meeting = self._rows(dataset, fields, {p: new[p] for p in touched})
+                merged = self._upserted(dataset, [meeting, old])
             else:
                 kept = old.join(keys, dataset.key, "left_anti")
                 merged = kept.unionByName(self._rows(dataset, fields, new))
-                new = new.limit(0)
-            rewritten = self._written(dataset, merged)
-            new = new.unionByName(self._manifest_of(dataset, rewritten))
-        manifest = before.manifest.join(touched, PLACE, "left_anti").unionByName(new)
+                new = {}
+            new = new | self._manifest_of(dataset, self._written(dataset, merged))
+        untouched = {p: gen for p, gen in before.manifest.items() if p not in touched}
         marks = self._written_marks(dataset, before.marks, keys, arrived, now)
-        self._write_commit(dataset, before.number + 1, manifest, marks, fields)
+        self._write_commit(dataset, before.number + 1, untouched | new, marks, fields)
         return before.number + 1
 
+    def cached(self, dataset: Dataset):
+        """Decorator: a fetch function becomes one that answers from the store.
+
+        The function takes (key, since) and returns rows; the result takes keys and the
+        time of the run.
+        """
+
+        def wrap(fetch: Callable[[DataFrame], DataFrame]) -> Callable[..., DataFrame]:
+            @functools.wraps(fetch)
+            def read(keys: DataFrame, now: Column, **window: str) -> DataFrame:
+                return self.materialize(dataset, keys, fetch, now, **window)
+
+            return read
+
+        return wrap
+
     # -- parts -------------------------------------------------------------------
 
     def _folder(self, dataset: Dataset, kind: str) -> str:
@@ -196,6 +215,9 @@ class Store:
     def _bucket(self, dataset: Dataset) -> Column:
         return F.pmod(F.xxhash64(dataset.key), F.lit(dataset.buckets)).cast("bigint")
 
+    def _buckets_of(self, dataset: Dataset, keys: DataFrame) -> set[int]:
+        return {row[0] for row in keys.select(self._bucket(dataset)).distinct().collect()}
+
     def _placed(self, dataset: Dataset, rows: DataFrame) -> DataFrame:
         month = F.date_format(dataset.time, "yyyy-MM") if dataset.time else F.lit(None)
         return rows.withColumns(
@@ -221,25 +243,27 @@ class Store:
         )
         return gen
 
-    def _manifest_of(self, dataset: Dataset, gen: str) -> DataFrame:
-        """(period, bucket, gen) of a generation; reads no data column."""
+    def _manifest_of(self, dataset: Dataset, gen: str) -> Manifest:
+        """The manifest of one generation; reads no data column."""
         folder = f"{self._folder(dataset, 'data')}/gen={gen}"
         rows = self._generations(dataset, StructType([]), [folder])
-        return rows.select(*PLACE, "gen").distinct()
+        return {(r.period, r.bucket): gen for r in rows.select(*PLACE).distinct().collect()}
+
+    def _manifest_rows(self, manifest: Manifest) -> DataFrame:
+        rows = [(*place, gen) for place, gen in manifest.items()]
+        return self.spark.createDataFrame(rows, MANIFEST_SCHEMA)
 
     def _generations(self, dataset: Dataset, fields: StructType, folders: list[str]) -> DataFrame:
         schema = StructType([*fields.fields, StructField("gen", StringType()), *PLACE_FIELDS])
         base = self._folder(dataset, "data")
         return self.spark.read.schema(schema).option("basePath", base).parquet(*folders)
 
-    def _rows(self, dataset: Dataset, fields: StructType, manifest: DataFrame) -> DataFrame:
-        """Rows of the listed partitions. The list has one entry per (period, bucket):
-        it is bounded by months times buckets and does not grow with rows or keys."""
-        parts = manifest.select("gen", *PLACE).collect()
-        if not parts:
+    def _rows(self, dataset: Dataset, fields: StructType, manifest: Manifest) -> DataFrame:
+        """Rows of the listed partitions."""
+        if not manifest:
             return self.spark.createDataFrame([], StructType([*fields.fields, *PLACE_FIELDS]))
         base = self._folder(dataset, "data")
-        folders = [f"{base}/gen={p.gen}/period={p.period}/bucket={p.bucket}" for p in parts]
+        folders = [f"{base}/gen={gen}/period={p}/bucket={b}" for (p, b), gen in manifest.items()]
         return self._generations(dataset, fields, folders).drop("gen")
 
     def _of_keys(self, rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -273,14 +297,13 @@ class Store:
         return path
 
     def _write_commit(
-        self, dataset: Dataset, number: int, manifest: DataFrame, marks: str, fields: StructType
+        self, dataset: Dataset, number: int, manifest: Manifest, marks: str, fields: StructType
     ) -> None:
         """Fails if another writer committed the same version before."""
-        extra = [(None, None, None, marks, fields.json())]
-        rows = manifest.unionByName(
-            self.spark.createDataFrame(extra, COMMIT_SCHEMA), allowMissingColumns=True
-        )
-        rows.coalesce(1).write.parquet(f"{self._folder(dataset, 'commits')}/version={number}")
+        rows = [(*place, gen, None, None) for place, gen in manifest.items()]
+        rows.append((None, None, None, marks, fields.json()))
+        commit = self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1)
+        commit.write.parquet(f"{self._folder(dataset, 'commits')}/version={number}")
 
     def _latest(self, dataset: Dataset) -> Version:
         key = dataset.key
@@ -294,16 +317,16 @@ class Store:
                 raise
             return Version(
                 0,
-                self.spark.createDataFrame([], MANIFEST_SCHEMA),
+                {},
                 self.spark.createDataFrame([], marks_schema),
                 StructType([StructField(key, StringType())]),
             )
         number = commits.agg(F.max("version")).first()[0]
-        commit = commits.where(F.col("version") == number)
-        extra: Row = commit.where("gen is null").first()
+        rows = commits.where(F.col("version") == number).collect()
+        extra = next(r for r in rows if r.gen is None)
         return Version(
             number,
-            commit.where("gen is not null").select(*PLACE, "gen"),
+            {(r.period, r.bucket): r.gen for r in rows if r.gen is not None},
             self.spark.read.schema(marks_schema).parquet(extra.marks),
             StructType.fromJson(json.loads(extra.fields)),
         )

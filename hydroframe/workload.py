@@ -345,12 +345,11 @@ def stations_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stations.stations_of(load(spark, sf_dir, "supplier"), states, "s_nationkey")
 
 
-@query("""
-select c_custkey, c_name from customer where cast(c_custkey as varchar) = '17'
-""")
-def one_station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = load(spark, sf_dir, "customer").withColumn("site_no", F.col("c_custkey").cast("string"))
-    return stations.station(named, "17").select("c_custkey", "c_name")
+@query("select c_custkey, c_name from customer where c_mktsegment = 'BUILDING'")
+def equal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = load(spark, sf_dir, "customer")
+    found = stations.stations_with(customers, "BUILDING", "c_mktsegment")
+    return found.select("c_custkey", "c_name")
 
 
 @query("""

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from hydroframe.functions.cells import number_cell
 from hydroframe.operators import observations
 from hydroframe.sources import rdb
 from hydroframe.sources.rdb import read_rdb, scan
@@ -182,3 +183,16 @@ def test_window_bounds(spark):
     assert count(None, "2021-10-14") == 1
     assert count("", None) == 3
     assert count(datetime(2021, 10, 15, 0, 15), "2021-10-16") == 1
+
+
+@pytest.mark.parametrize(
+    "token, value",
+    [("1", 1.0), (" -2.5 ", -2.5), ("+.5", 0.5), ("3.", 3.0), ("1e5", 1e5), ("1.E-2", 0.01),
+     ("007", 7.0), ("1d", None), ("1f", None), ("1D", None), ("0x1p3", None), ("0X1P3", None),
+     ("inf", None), ("-Infinity", None), ("NaN", None), (".", None), ("-", None), ("1,000", None),
+     ("1_0", None), ("1 2", None), ("1/2", None), ("Ice", None), ("", None), ("\u0001 5", None),
+     ("5\u0001", None), ("\u0661", None), ("1e", None), ("--1", None)],
+)
+def test_numbers(spark, token, value):
+    df = spark.createDataFrame([(token,)], "c string").select(number_cell(F.col("c")))
+    assert df.first()[0] == value

@@ -5,8 +5,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from hydroframe.plans.reader import CATALOG, OBSERVATIONS, STATIONS, StationReader, as_wide
-from hydroframe.plans.store import Store
+from hydroframe.plans.reader import OBSERVATIONS, STATIONS, StationReader, as_wide
+from hydroframe.operators.upsert import parts_of, stacked_parts
+from hydroframe.plans.store import Dataset, Store
 from hydroframe.sources import service
 from hydroframe.sources.html import SITE_TYPE_COLUMNS
 
@@ -218,3 +219,24 @@ def test_two_writers_cannot_commit_the_same_version(reader, answers):
     state = store._latest(STATIONS)
     with pytest.raises(Exception, match="(?i)already exists"):
         store._write_commit(STATIONS, 1, state.manifest, "x", state.fields)
+
+
+def test_a_list_of_frames_is_stored_by_part(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "parts"))
+    calls = []
+
+    @store.cached(Dataset("frames", key="name", ttl="1D"))
+    def frames(todo):
+        names = [r.name for r in todo.collect()]
+        calls.append(names)
+        a = spark.createDataFrame([(n, i) for n in names for i in (1, 2)], "name string, a int")
+        b = spark.createDataFrame([(n, 3, "x") for n in names], "name string, a int, b string")
+        return stacked_parts([a, b])
+
+    keys = spark.createDataFrame([("k",)], "name string")
+    now = F.lit(DAY.isoformat(sep=" ")).cast("timestamp_ntz")
+    for _ in range(2):
+        first, second = parts_of(frames(keys, now), 2)
+        assert sorted(r.a for r in first.collect()) == [1, 2]
+        assert [(r.a, r.b) for r in second.collect()] == [(3, "x")]
+    assert calls == [["k"]]
