@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.sources.rdb import LINE_BREAK, RdbText, is_comment, is_content
+from hydroframe.sources.rdb import RdbText, is_comment, is_content, split_lines
 
 # Fixed value: the marker line's text.
 MARKER = "TS_ID       Parameter Description"
@@ -67,7 +67,7 @@ def _from_documents(documents: DataFrame, marker: str) -> DataFrame:
     leading = F.when(F.col("body_at") == 0, F.col("value")).otherwise(
         F.substr("value", F.lit(1), F.col("body_at"))
     )
-    comments = F.filter(F.split(leading, LINE_BREAK), is_comment)
+    comments = F.filter(split_lines(leading), is_comment)
     starts = F.transform("comments", lambda line: F.instr(_comment_text(line), marker))
     first = F.array_position(F.transform("starts", lambda at: at > 1), True).cast("int")
     table = (

@@ -23,7 +23,16 @@ from hydroframe.session import checkpointed
 
 WHOLE_FILE_LIMIT = 32 << 20
 BROADCAST_LIMIT = 64 << 20
-LINE_BREAK = r"\r\n|\r|\n"
+
+
+def split_lines(text: Column) -> Column:
+    """The text's lines, whatever ends them.
+
+    Splitting at one character is several times faster than at a pattern, so other line
+    ends are replaced first where a text has any.
+    """
+    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.split(F.when(text.contains("\r"), unix).otherwise(text), "\n")
 
 
 def is_comment(line: Column) -> Column:
@@ -170,7 +179,7 @@ def _checked_width() -> Column:
 
 
 def _document_heads(documents: DataFrame) -> DataFrame:
-    content = F.filter(F.split("value", LINE_BREAK), is_content)
+    content = F.filter(split_lines(F.col("value")), is_content)
     return (
         documents.select("file", content.alias("content"))
         .select(
