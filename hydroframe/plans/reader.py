@@ -39,7 +39,7 @@ OBSERVATIONS = Dataset(
 )
 PARAMETERS = Dataset("parameters", key="site_no", ttl="1D")
 CATALOG = Dataset("catalog", key="requested_site", ttl="1D")
-SITE_TYPES = Dataset("site_types", key="url", ttl="1D", buckets=1)
+SITE_TYPES = Dataset("site_types", key="url", ttl="1D")
 
 Keys = str | list[str] | DataFrame
 

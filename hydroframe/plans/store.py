@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from hydroframe.operators.refresh import freshness, refetch_since
 from hydroframe.operators.upsert import upsert_agg
@@ -31,8 +32,8 @@ from hydroframe.operators.upsert import upsert_agg
 PLACE = ["period", "bucket"]
 PLACE_FIELDS = [StructField("period", StringType()), StructField("bucket", LongType())]
 MANIFEST_SCHEMA = "period string, bucket bigint, gen string"
-# A commit holds its manifest and one row with the two last columns.
-COMMIT_SCHEMA = f"{MANIFEST_SCHEMA}, marks string, fields string"
+# A commit holds its manifest and one row with the last columns.
+COMMIT_SCHEMA = f"{MANIFEST_SCHEMA}, marks string, fields string, buckets int"
 ALL_TIMES = "all"
 FEW_KEYS = 1000
 
@@ -43,7 +44,7 @@ class Dataset:
 
     With `identity` columns a refresh is a cell-level upsert, see `upsert_agg` for
     `order` and `present`; without, it replaces all rows of the refreshed keys.
-    `time` splits the storage by month, too.
+    `time` splits the storage by `period`, too, a month unless a pattern says otherwise.
     """
 
     name: str
@@ -53,11 +54,11 @@ class Dataset:
     order: tuple[str, ...] = ()
     present: dict[str, str] = field(default_factory=dict)
     time: str | None = None
-    buckets: int = 64
+    period: str = "yyyy-MM"
 
 
 # Which generation holds each (period, bucket). One entry per stored folder: its size is
-# bounded by months times buckets and grows neither with rows nor with keys.
+# bounded by periods times buckets and grows neither with rows nor with keys.
 Manifest = dict[tuple[str, int], str]
 
 
@@ -69,6 +70,15 @@ class Version:
     manifest: Manifest
     marks: DataFrame
     fields: StructType
+    buckets: int
+
+
+@dataclass(frozen=True)
+class Generation:
+    """Rows just written, listed once."""
+
+    rows: DataFrame
+    manifest: Manifest
 
 
 def _wider(old: StructType, new: StructType) -> StructType:
@@ -81,11 +91,16 @@ def _wider(old: StructType, new: StructType) -> StructType:
 
 
 class Store:
-    """Datasets under one folder that all executors share. One writer per dataset."""
+    """Datasets under one folder that all executors share. One writer per dataset.
+
+    `buckets` counts for datasets that are yet empty; a stored one keeps its number. A
+    good number makes the newest period's folders some hundred MB each.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     # -- reading -----------------------------------------------------------------
 
@@ -96,15 +111,16 @@ class Store:
         start: str | None = None,
         end: str | None = None,
     ) -> DataFrame:
-        """The committed rows, opening only the buckets of `keys` and the months asked for."""
+        """The committed rows, opening only the buckets of `keys` and the periods asked for."""
         version = self._latest(dataset)
         places = version.manifest.items()
         if dataset.time and (start or end):
             # Rows without a time lie under ALL_TIMES and are in no window.
-            first, last = (start or "")[:7], (end or "9999-99")[:7]
+            first = (start or "")[: len(dataset.period)]
+            last = (end or "9999-99-99")[: len(dataset.period)]
             places = [(p, gen) for p, gen in places if first <= p[0] <= last]
         if keys is not None:
-            wanted = self._buckets_of(dataset, keys)
+            wanted = self._buckets_of(dataset, keys, version.buckets)
             places = [(p, gen) for p, gen in places if p[1] in wanted]
         rows = self._rows(dataset, version.fields, dict(places))
         if keys is not None:
@@ -161,20 +177,17 @@ class Store:
         stored = [f for f in rows.schema if f.name not in dataset.order]
         fields = _wider(before.fields, StructType(stored))
 
-        incoming = self._placed(dataset, rows)
+        incoming = self._placed(dataset, rows, before.buckets)
         if dataset.identity:
             incoming = self._upserted(dataset, [incoming], dataset.order)
         arrived = self._written(dataset, incoming.drop(*dataset.order))
-        new = self._manifest_of(dataset, arrived)
+        new = arrived.manifest
         if keys is None:
-            only_key = StructType([StructField(dataset.key, StringType())])
-            folder = f"{self._folder(dataset, 'data')}/gen={arrived}"
-            keys = self._generations(dataset, only_key, [folder]).select(dataset.key)
-
+            keys = arrived.rows.select(dataset.key)
         if dataset.identity:
             touched = before.manifest.keys() & new.keys()
         else:
-            refreshed = self._buckets_of(dataset, keys)
+            refreshed = self._buckets_of(dataset, keys, before.buckets)
             touched = {place for place in before.manifest if place[1] in refreshed}
         if touched:
             old = self._rows(dataset, fields, {p: before.manifest[p] for p in touched})
@@ -183,13 +196,16 @@ class Store:
                 merged = self._upserted(dataset, [meeting, old])
             else:
                 kept = old.join(keys, dataset.key, "left_anti")
-                merged = kept.unionByName(self._rows(dataset, fields, new))
+                merged = kept.unionByName(arrived.rows, allowMissingColumns=True)
                 new = {}
-            new = new | self._manifest_of(dataset, self._written(dataset, merged))
+            new = new | self._written(dataset, merged).manifest
         untouched = {p: gen for p, gen in before.manifest.items() if p not in touched}
-        marks = self._written_marks(dataset, before.marks, keys, arrived, now)
-        self._write_commit(dataset, before.number + 1, untouched | new, marks, fields)
-        return before.number + 1
+        marks = self._written_marks(dataset, before.marks, keys, arrived.rows, now)
+        after = replace(
+            before, number=before.number + 1, manifest=untouched | new, fields=fields
+        )
+        self._write_commit(dataset, after, marks)
+        return after.number
 
     def cached(self, dataset: Dataset):
         """Decorator: a fetch function becomes one that answers from the store.
@@ -212,16 +228,19 @@ class Store:
     def _folder(self, dataset: Dataset, kind: str) -> str:
         return f"{self.root}/{dataset.name}/{kind}"
 
-    def _bucket(self, dataset: Dataset) -> Column:
-        return F.pmod(F.xxhash64(dataset.key), F.lit(dataset.buckets)).cast("bigint")
+    def _bucket(self, dataset: Dataset, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(dataset.key), F.lit(buckets)).cast("bigint")
 
-    def _buckets_of(self, dataset: Dataset, keys: DataFrame) -> set[int]:
-        return {row[0] for row in keys.select(self._bucket(dataset)).distinct().collect()}
+    def _buckets_of(self, dataset: Dataset, keys: DataFrame, buckets: int) -> set[int]:
+        return {row[0] for row in keys.select(self._bucket(dataset, buckets)).distinct().collect()}
 
-    def _placed(self, dataset: Dataset, rows: DataFrame) -> DataFrame:
-        month = F.date_format(dataset.time, "yyyy-MM") if dataset.time else F.lit(None)
+    def _placed(self, dataset: Dataset, rows: DataFrame, buckets: int) -> DataFrame:
+        period = F.date_format(dataset.time, dataset.period) if dataset.time else F.lit(None)
         return rows.withColumns(
-            {"period": F.coalesce(month, F.lit(ALL_TIMES)), "bucket": self._bucket(dataset)}
+            {
+                "period": F.coalesce(period, F.lit(ALL_TIMES)),
+                "bucket": self._bucket(dataset, buckets),
+            }
         )
 
     def _upserted(
@@ -231,23 +250,22 @@ class Store:
         keys = [*dataset.identity, *PLACE]
         return upsert_agg(frames, keys, list(order), dataset.present)
 
-    def _written(self, dataset: Dataset, rows: DataFrame) -> str:
+    def _written(self, dataset: Dataset, rows: DataFrame) -> Generation:
         """Write rows as a new generation; rebalancing cuts large partitions in several."""
         gen = uuid.uuid4().hex
+        folder = f"{self._folder(dataset, 'data')}/gen={gen}"
         inside = [dataset.key, *([dataset.time] if dataset.time else [])]
         (
             rows.hint("rebalance", *(F.col(c) for c in PLACE))
             .sortWithinPartitions(*PLACE, *inside)
             .write.partitionBy(*PLACE)
-            .parquet(f"{self._folder(dataset, 'data')}/gen={gen}")
+            .parquet(folder)
         )
-        return gen
-
-    def _manifest_of(self, dataset: Dataset, gen: str) -> Manifest:
-        """The manifest of one generation; reads no data column."""
-        folder = f"{self._folder(dataset, 'data')}/gen={gen}"
-        rows = self._generations(dataset, StructType([]), [folder])
-        return {(r.period, r.bucket): gen for r in rows.select(*PLACE).distinct().collect()}
+        fields = StructType([f for f in rows.schema if f.name not in PLACE])
+        stored = self._generations(dataset, fields, [folder]).drop("gen")
+        # The names of the folders are enough: no file is opened.
+        places = re.findall(r"/period=([^/]+)/bucket=(\d+)/", "\n".join(stored.inputFiles()))
+        return Generation(stored, {(period, int(bucket)): gen for period, bucket in places})
 
     def _manifest_rows(self, manifest: Manifest) -> DataFrame:
         rows = [(*place, gen) for place, gen in manifest.items()]
@@ -274,21 +292,15 @@ class Store:
         return rows.join(keys, key, "left_semi")
 
     def _written_marks(
-        self, dataset: Dataset, old: DataFrame, keys: DataFrame, gen: str, now: Column
+        self, dataset: Dataset, old: DataFrame, keys: DataFrame, arrived: DataFrame, now: Column
     ) -> str:
         """Marks after a refresh; a key without new rows counts as fetched, too."""
         key = dataset.key
-        timed = [StructField(key, StringType())]
-        latest = F.lit(None)
-        if dataset.time:
-            timed.append(StructField(dataset.time, TimestampNTZType()))
-            latest = F.max(dataset.time)
-        folder = f"{self._folder(dataset, 'data')}/gen={gen}"
-        arrived = self._generations(dataset, StructType(timed), [folder])
-        arrived = arrived.groupBy(key).agg(latest.cast("timestamp_ntz").alias("high_water"))
+        latest = F.max(dataset.time) if dataset.time else F.max(F.lit(None))
+        high = arrived.groupBy(key).agg(latest.cast("timestamp_ntz").alias("high_water"))
         fetched = keys.select(key).distinct().withColumn("fetched_at", now.cast("timestamp_ntz"))
         merged = (
-            old.unionByName(fetched.join(arrived, key, "left"))
+            old.unionByName(fetched.join(high, key, "left"))
             .groupBy(key)
             .agg(F.max("fetched_at").alias("fetched_at"), F.max("high_water").alias("high_water"))
         )
@@ -296,14 +308,12 @@ class Store:
         merged.write.parquet(path)
         return path
 
-    def _write_commit(
-        self, dataset: Dataset, number: int, manifest: Manifest, marks: str, fields: StructType
-    ) -> None:
+    def _write_commit(self, dataset: Dataset, version: Version, marks: str) -> None:
         """Fails if another writer committed the same version before."""
-        rows = [(*place, gen, None, None) for place, gen in manifest.items()]
-        rows.append((None, None, None, marks, fields.json()))
+        rows = [(*place, gen, None, None, None) for place, gen in version.manifest.items()]
+        rows.append((None, None, None, marks, version.fields.json(), version.buckets))
         commit = self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1)
-        commit.write.parquet(f"{self._folder(dataset, 'commits')}/version={number}")
+        commit.write.parquet(f"{self._folder(dataset, 'commits')}/version={version.number}")
 
     def _latest(self, dataset: Dataset) -> Version:
         key = dataset.key
@@ -320,6 +330,7 @@ class Store:
                 {},
                 self.spark.createDataFrame([], marks_schema),
                 StructType([StructField(key, StringType())]),
+                self.buckets,
             )
         number = commits.agg(F.max("version")).first()[0]
         rows = commits.where(F.col("version") == number).collect()
@@ -329,4 +340,5 @@ class Store:
             {(r.period, r.bucket): r.gen for r in rows if r.gen is not None},
             self.spark.read.schema(marks_schema).parquet(extra.marks),
             StructType.fromJson(json.loads(extra.fields)),
+            extra.buckets,
         )

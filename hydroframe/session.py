@@ -15,6 +15,7 @@ def local_session(cores: str | int = "*", app: str = "hydroframe", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", "16")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
     )

@@ -57,7 +57,7 @@ def tmp_path_factory_dir(base, name):
 
 @pytest.fixture
 def reader(spark, answers, tmp_path):
-    return StationReader(answers.url, Store(spark, str(tmp_path / "store")), tasks=2)
+    return StationReader(answers.url, Store(spark, str(tmp_path / "store"), buckets=8), tasks=2)
 
 
 def cells(df):
@@ -218,7 +218,7 @@ def test_two_writers_cannot_commit_the_same_version(reader, answers):
     store = reader.store
     state = store._latest(STATIONS)
     with pytest.raises(Exception, match="(?i)already exists"):
-        store._write_commit(STATIONS, 1, state.manifest, "x", state.fields)
+        store._write_commit(STATIONS, state, "x")
 
 
 def test_a_list_of_frames_is_stored_by_part(spark, tmp_path):
