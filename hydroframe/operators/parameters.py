@@ -94,9 +94,8 @@ def _from_documents(documents: DataFrame, marker: str) -> DataFrame:
 def _from_lines(head_lines: DataFrame, marker: str) -> DataFrame:
     """The same by aggregates of one row per file, joined back on the file."""
     value = F.col("value")
-    first_split = head_lines.where("block = 0")
-    comments = first_split.where(is_comment(value)).select("file", "line", "value")
-    body = first_split.where(is_content(value)).groupBy("file").agg(F.min("line").alias("body_line"))
+    comments = head_lines.where(is_comment(value)).select("file", "line", "value")
+    body = head_lines.where(is_content(value)).groupBy("file").agg(F.min("line").alias("body_line"))
     markers = (
         comments.withColumn("start", F.instr(_comment_text(value), marker))
         .where("start > 1")

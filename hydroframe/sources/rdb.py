@@ -12,9 +12,11 @@ with their headers, which are broadcast once their measured size is small.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from hydroframe.session import checkpointed
 
 WHOLE_FILE_LIMIT = 32 << 20
 BROADCAST_LIMIT = 64 << 20
+LINE_COLUMNS = "file string, block bigint, line bigint, value string"
+LINE_ARROW_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string())
 
 
 def split_lines(text: Column) -> Column:
@@ -60,14 +64,16 @@ class RdbText:
 
     documents: (file, value), one row per whole file.
     lines: (file, block, line, value), ordered by (block, line) within a file.
-    head_lines: the part of `lines` that holds every comment, header and type line.
+    head_lines: lines of the same form that hold every comment, header and type line.
+    in_splits: `lines` are numbered per split, so that their numbers cannot be compared
+        with those of `head_lines`; header and type line are told by their text.
     broadcast_heads: the headers of `lines` were measured and fit a broadcast.
     """
 
     documents: DataFrame | None = None
     lines: DataFrame | None = None
     head_lines: DataFrame | None = None
-    line_heads: DataFrame | None = None
+    in_splits: bool = False
     broadcast_heads: bool = False
 
     def heads(self) -> DataFrame:
@@ -76,7 +82,7 @@ class RdbText:
         if self.documents is not None:
             parts.append(_document_heads(self.documents).drop("content").where("names is not null"))
         if self.lines is not None:
-            parts.append(self._heads_of_lines().select("file", "names", "codes"))
+            parts.append(line_heads(self.head_lines).drop("type_line"))
         return _stacked(parts)
 
     def columns(self) -> dict[str, str]:
@@ -143,17 +149,23 @@ class RdbText:
         return _stacked(parts)
 
     def _line_rows(self, head_columns: Iterable[Column]) -> DataFrame:
-        heads = self._heads_of_lines().select("file", "type_line", _checked_width(), *head_columns)
+        texts = [F.array_join(c, "\t").alias(f"{c}_text") for c in ("names", "codes")]
+        heads = line_heads(self.head_lines)
+        if self.in_splits:
+            # A split may be cut otherwise when the files are read again.
+            heads = heads.select("file", *texts, _checked_width(), *head_columns)
+            repeats_head = F.col("value").isin(F.col("names_text"), F.col("codes_text"))
+            after_head = (F.col("block") > 0) | ~repeats_head
+        else:
+            heads = heads.select("file", "type_line", _checked_width(), *head_columns)
+            after_head = F.col("line") > F.col("type_line")
         if self.broadcast_heads:
             heads = F.broadcast(heads)
-        after_head = (F.col("block") > 0) | (F.col("line") > F.col("type_line"))
         # One condition on both sides stays at the join; split in two, the part on the
         # line would be pushed below whatever computes the line and repeat it.
         is_data = F.when(after_head, is_content(F.col("value"))).otherwise(False)
-        return self.lines.join(heads, "file").where(is_data).drop("type_line")
-
-    def _heads_of_lines(self) -> DataFrame:
-        return self.line_heads if self.line_heads is not None else line_heads(self.head_lines)
+        rows = self.lines.join(heads, "file").where(is_data)
+        return rows.drop("type_line", "names_text", "codes_text")
 
 
 def _stacked(parts: list[DataFrame]) -> DataFrame:
@@ -207,12 +219,12 @@ def _document_rows(documents: DataFrame, head_columns: Iterable[Column]) -> Data
 def line_heads(head_lines: DataFrame) -> DataFrame:
     """(file, type_line, names, codes): the first two content lines of each file.
 
-    The row-number limit is applied before the shuffle too, so that each task
-    sends at most two lines per file.
+    The row-number limit is applied before the shuffle, too: each task sends at most
+    two lines per file.
     """
     in_file = Window.partitionBy("file").orderBy("line")
     first_two = (
-        head_lines.where((F.col("block") == 0) & is_content(F.col("value")))
+        head_lines.where(is_content(F.col("value")))
         .withColumn("nth", F.row_number().over(in_file))
         .where("nth <= 2")
     )
@@ -255,29 +267,59 @@ def scan(
             "value",
         )
     )
-    heads = checkpointed(line_heads(lines))
-    weight = heads.select(
-        F.octet_length("file")
-        + F.octet_length(F.array_join("names", "\t"))
-        + F.octet_length(F.coalesce(F.array_join("codes", "\t"), F.lit("")))
+    first_split = lines.where("block = 0").select("file", "value")
+    head_lines = checkpointed(first_split.mapInArrow(_leading_lines, LINE_COLUMNS))
+    heads = line_heads(head_lines).select(
+        "file",
+        F.octet_length(F.concat(F.array_join("names", "\t"), F.lit("\t"), "file")).alias("size"),
     )
-    measured = weight.groupBy().sum().first()[0] or 0
+    found = heads.agg(F.count("file"), F.sum("size")).first()
     # A file whose header does not lie in its first split must fail, not vanish.
-    expected = listing.where(F.col("length") > whole_file_limit).count()
-    if heads.count() < expected:
-        lost = lines.where(is_content(F.col("value"))).select("file").distinct()
-        lost = lost.join(heads, "file", "left_anti").take(1)
+    if found[0] < listing.where(F.col("length") > whole_file_limit).count():
+        content = lines.where(is_content(F.col("value"))).select("file").distinct()
+        lost = content.join(heads, "file", "left_anti").take(1)
         if lost:
             raise ValueError(f"no header in the first split of {lost[0].file}")
     return RdbText(
         documents=documents,
         lines=lines,
-        head_lines=lines.where("block = 0"),
-        line_heads=heads,
-        broadcast_heads=measured <= BROADCAST_LIMIT,
+        head_lines=head_lines,
+        in_splits=True,
+        broadcast_heads=2 * (found[1] or 0) <= BROADCAST_LIMIT,
     )
 
 
+def _leading_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The comments, header and type line each file starts with, numbered from 0.
+
+    A file's first split arrives in order and in one piece; behind the type line its
+    rows are skipped unread.
+    """
+    current, number, content = None, 0, 0
+    for batch in batches:
+        files = batch.column(0).dictionary_encode()
+        codes = files.indices.to_numpy()
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        held = []
+        for start, end in zip(starts, [*starts[1:], len(codes)]):
+            file = files.dictionary[int(codes[start])].as_py()
+            if file != current:
+                current, number, content = file, 0, 0
+            for value in batch.column(1).slice(start, end - start):
+                if content == 2:
+                    break
+                line = value.as_py()
+                content += line.lstrip(" ")[:1] not in ("", "#")
+                held.append((file, 0, number, line))
+                number += 1
+        if held:
+            columns = zip(*held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, LINE_ARROW_TYPES)],
+                names=["file", "block", "line", "value"],
+            )
+
+
 def read_rdb(
     spark: SparkSession,
     paths: str | list[str],

@@ -148,6 +148,26 @@ def test_a_file_in_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_splits_may_change_between_header_and_data_pass(spark, tmp_path):
+    rows = [f"2021-10-01 00:{i % 60:02d}\tPST\t{i}\tP" for i in range(3000)]
+    for i in range(4):
+        put(tmp_path, **{f"f{i}": values(f"0{i}", f"{i}_00010", rows)})
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 8 << 10)
+        text = scan(spark, str(tmp_path), whole_file_limit=0)
+        long = observations.long_observations(text)
+        for size in (8 << 10, 30 << 10, 128 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = long.groupBy("site_no", "ts_id").agg(F.count("*"), F.sum("value")).collect()
+            assert sorted(map(tuple, got)) == [
+                (f"0{i}", str(i), 3000, float(sum(range(3000)))) for i in range(4)
+            ]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_a_header_beyond_the_first_split_fails(spark, tmp_path):
     put(tmp_path, a="# c\n" * 20_000 + STATIONS)
     spark.conf.set("spark.sql.files.maxPartitionBytes", 8 << 10)
