@@ -244,7 +244,8 @@ def scan(
 ) -> RdbText:
     """Station files under `paths`, each read in the layout that suits its size.
 
-    The size condition is on file metadata, so either scan opens its own files only.
+    The size condition is on file metadata, so either scan opens its own files only. A
+    compressed file counts by its compressed size: lower the limit for those.
     """
     name, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
     documents = (

@@ -243,6 +243,26 @@ def bad_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations.bad_tokens(long).select("site_no", "datetime", "raw")
 
 
+@query("""
+select cast(user_id as varchar) site_no,
+       concat_ws(chr(9), cast(user_id as varchar), event_type, props, 'surplus') as value
+from events where event_type = 'error'
+""")
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose error lines have one cell more than their header."""
+    events = load(spark, sf_dir, "events")
+    surplus = F.when(F.col("event_type") == "error", F.lit("\tsurplus")).otherwise("")
+    line = F.concat(tabbed("user_id", "event_type", "props"), surplus)
+    body = numbered_lines(events, F.col("user_id"), F.col("event_id"), line)
+    head = head_of(
+        events.select(F.col("user_id").cast("string").alias("file")).distinct(),
+        F.lit("site_no\tkind\tnote"),
+        F.lit("15s\t10s\t50s"),
+    )
+    rejected = RdbText(lines=body, head_lines=head).rejected()
+    return rejected.select(F.col("file").alias("site_no"), "value")
+
+
 @query("""
 select cast(l_suppkey as varchar) site_no, l_shipdate datetime, cast(l_suppkey as varchar) ts_id,
        '00060' parameter_cd, l_quantity as value, l_returnflag qualifier
