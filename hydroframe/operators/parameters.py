@@ -92,25 +92,32 @@ def _from_documents(documents: DataFrame, marker: str) -> DataFrame:
 
 
 def _from_lines(head_lines: DataFrame, marker: str) -> DataFrame:
-    """The same by aggregates of one row per file, joined back on the file."""
+    """The same with one row of bounds per file, which the comments are joined with once.
+
+    A table begins behind the first marker and stops at the next bare or content line.
+    A file whose data begin before its marker has none.
+    """
     value = F.col("value")
     comments = head_lines.where(is_comment(value)).select("file", "line", "value")
-    body = head_lines.where(is_content(value)).groupBy("file").agg(F.min("line").alias("body_line"))
     markers = (
         comments.withColumn("start", F.instr(_comment_text(value), marker))
         .where("start > 1")
         .groupBy("file")
         .agg(F.min(F.struct("line", "start")).alias("marker"))
-        .join(body, "file", "left")
+        .select("file", F.col("marker.line").alias("first"), F.col("marker.start").alias("start"))
     )
-    table = comments.join(markers, "file").where(
-        (F.col("line") > F.col("marker.line"))
-        & (F.col("body_line").isNull() | (F.col("line") < F.col("body_line")))
+    stops = head_lines.where(is_content(value) | (is_comment(value) & _is_bare(value)))
+    last = (
+        stops.select("file", "line", is_content(value).alias("content"))
+        .join(markers, "file")
+        .groupBy("file")
+        .agg(
+            F.min(F.when(F.col("line") > F.col("first"), F.col("line"))).alias("last"),
+            F.max(F.col("content") & (F.col("line") < F.col("first"))).alias("late"),
+        )
     )
-    ends = table.where(_is_bare(value)).groupBy("file").agg(F.min("line").alias("end_line"))
-    inside = F.col("end_line").isNull() | (F.col("line") < F.col("end_line"))
-    return (
-        table.join(ends, "file", "left")
-        .where(inside)
-        .select("file", F.col("marker.start").alias("start"), "line", "value")
+    bounds = markers.join(last, "file", "left").where(~F.coalesce("late", F.lit(False)))
+    inside = (F.col("line") > F.col("first")) & (
+        F.col("last").isNull() | (F.col("line") < F.col("last"))
     )
+    return comments.join(bounds, "file").where(inside).select("file", "start", "line", "value")

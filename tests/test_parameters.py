@@ -67,3 +67,14 @@ def test_only_comments(table):
 
 def test_long_comment_block(table):
     assert table(a="# x\n" * 500 + HEADER) == {"a.rdb": SERIES}
+
+
+def test_marker_behind_the_data_does_not_count(table):
+    data = "site_no\n15s\n01\n"
+    assert table(a=data + HEADER.split("site_no\t")[0]) == {}
+
+
+def test_first_of_two_markers(table):
+    head = HEADER.split("site_no\t")[0]
+    second = head.replace("16223", "99999")
+    assert table(a=head + second) == {"a.rdb": SERIES}
