@@ -58,7 +58,8 @@ class StationReader:
 
         def fetch(todo: DataFrame) -> DataFrame:
             plan = todo.withColumn("url", requests.stations_url(self.base_url, F.col("state")))
-            return self._land("stations", plan, "state").table(file_as="state")
+            text = self._land("stations", plan, "state")
+            return text.table(text.merged_columns(), file_as="state")
 
         return self._materialized(STATIONS, states, fetch, now)
 
@@ -111,7 +112,8 @@ class StationReader:
 
         def fetch(todo: DataFrame) -> DataFrame:
             plan = todo.withColumn("url", requests.catalog_url(self.base_url, F.col(CATALOG.key)))
-            return self._land("catalog", plan, CATALOG.key).table(file_as=CATALOG.key)
+            text = self._land("catalog", plan, CATALOG.key)
+            return text.table(text.merged_columns(), file_as=CATALOG.key)
 
         return self._materialized(CATALOG, sites, fetch, now).drop(CATALOG.key)
 

@@ -25,6 +25,7 @@ from hydroframe.session import checkpointed
 
 WHOLE_FILE_LIMIT = 32 << 20
 BROADCAST_LIMIT = 64 << 20
+MOST_COLUMNS = 2000
 LINE_COLUMNS = "file string, block bigint, line bigint, value string"
 LINE_ARROW_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string())
 
@@ -91,10 +92,29 @@ class RdbText:
         if len(found) > 1:
             raise ValueError(
                 f"files have different headers, such as {found[0].names} and {found[1].names}; "
-                "name the wanted columns, or read observations in long form"
+                "name the wanted columns, merge them, or read observations in long form"
             )
         return dict(zip(found[0].names, found[0].codes)) if found else {}
 
+    def merged_columns(self) -> dict[str, str]:
+        """Columns of all headers together; an error if one has two types."""
+        cells = F.posexplode(F.arrays_zip("names", "codes")).alias("at", "column")
+        found = (
+            self.heads()
+            .select(cells)
+            .groupBy(F.col("column.names").alias("name"))
+            .agg(F.min("at").alias("at"), F.collect_set(F.right("column.codes", F.lit(1))).alias("codes"))
+            .orderBy("at", "name")
+            .limit(MOST_COLUMNS + 1)
+            .collect()
+        )
+        if len(found) > MOST_COLUMNS:
+            raise ValueError("too many columns for one table; read observations in long form")
+        for row in found:
+            if len(row.codes) > 1:
+                raise ValueError(f"{row.name} has several types: {sorted(row.codes)}")
+        return {row.name: row.codes[0] for row in found}
+
     def rows(self, *head_columns: Column, strict: bool = False) -> DataFrame:
         """(file, block, line, cells) of every data line that fits its header.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from hydroframe.sources.rdb import RdbText
+from hydroframe.sources.rdb import BROADCAST_LIMIT, RdbText
 
 LINE_SCHEMA = "file string, block bigint, line bigint, value string, kind string"
 ARROW_SCHEMA = pa.schema(
@@ -96,9 +96,12 @@ def landed(lines: DataFrame, folder: str) -> RdbText:
 def read_landed(spark: SparkSession, folder: str) -> RdbText:
     # kind is a column of the schema, so that an empty landing can be read too.
     stored = spark.read.schema(LINE_SCHEMA).parquet(folder)
+    heads = stored.where("kind = 'head'")
+    size = heads.agg(F.sum(F.octet_length("file") + F.octet_length("value"))).first()[0] or 0
     return RdbText(
         lines=stored.where("kind = 'body'").drop("kind"),
         head_lines=stored.where("kind <> 'body'").drop("kind"),
+        broadcast_heads=size <= BROADCAST_LIMIT,
     )
 
 

@@ -83,6 +83,17 @@ def test_files_keep_their_own_header(spark, tmp_path, limit):
     assert len(named) == 3
 
 
+def test_merged_columns(spark, tmp_path, limit):
+    put(tmp_path, a="k\tv\n5s\t5n\na\t1\n", b="v\tw\tk\n8n\t20d\t9s\n2\t2021\tb\n")
+    text = scan(spark, str(tmp_path), whole_file_limit=limit)
+    assert text.merged_columns() == {"k": "s", "v": "n", "w": "d"}
+    rows = text.table(text.merged_columns()).orderBy("k").collect()
+    assert [tuple(r) for r in rows] == [("a", 1.0, None), ("b", 2.0, datetime(2021, 1, 1))]
+    put(tmp_path, c="k\n5n\n1\n")
+    with pytest.raises(ValueError, match="k has several types"):
+        scan(spark, str(tmp_path), whole_file_limit=limit).merged_columns()
+
+
 def test_dates_and_codes(spark, tmp_path, limit):
     body = "k\tbegin\n5s\t20d\na\t1997\nb\t1997-12\nc\t1500-01-01\nd\tsoon\n"
     df = scan(spark, put(tmp_path, a=body), whole_file_limit=limit).table()

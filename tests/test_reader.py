@@ -195,7 +195,12 @@ def test_gained_columns(spark, reader, answers):
         "site_no\talt_va\n15s\t8n\n02\t7\n"
     )
     rows = reader.read_stations_for_state(["ca", "nv"], DAY).collect()
-    assert sorted((r.site_no, r.station_nm, r.alt_va) for r in rows) == [("01", "A", None), ("02", None, 7.0)]
+    want = [("01", "A", None), ("02", None, 7.0)]
+    assert sorted((r.site_no, r.station_nm, r.alt_va) for r in rows) == want
+    # the same with both lists in one fetch
+    together = StationReader(answers.url, Store(spark, reader.store.root + "2"))
+    rows = together.read_stations_for_state(["ca", "nv"], DAY).collect()
+    assert sorted((r.site_no, r.station_nm, r.alt_va) for r in rows) == want
 
 
 def test_data_source(spark, answers):
