@@ -245,3 +245,37 @@ def test_a_list_of_frames_is_stored_by_part(spark, tmp_path):
         assert sorted(r.a for r in first.collect()) == [1, 2]
         assert [(r.a, r.b) for r in second.collect()] == [(3, "x")]
     assert calls == [["k"]]
+
+
+def test_a_hot_folder_is_written_by_several_tasks(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "hot"))
+    rows = spark.range(60_000).select(
+        F.lit("01").alias("site_no"),
+        F.lit("1").alias("ts_id"),
+        F.lit("00010").alias("parameter_cd"),
+        (F.lit("2021-10-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id").cast("double")))
+        .alias("datetime"),
+        F.lit("PST").alias("tz_cd"),
+        F.col("id").cast("double").alias("value"),
+        F.col("id").cast("string").alias("raw"),
+        F.lit("P").alias("qualifier"),
+        F.lit("f").alias("file"),
+        F.lit(0).cast("bigint").alias("block"),
+        F.col("id").alias("line"),
+    )
+    # A folder is cut along the tasks before it: keep those of the upsert apart.
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        store.commit(OBSERVATIONS, None, rows, F.lit("2021-11-03").cast("timestamp_ntz"))
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    stored = store.read(OBSERVATIONS)
+    assert stored.count() == 60_000
+    files = stored.inputFiles()
+    assert len({f.rsplit("/", 1)[0] for f in files}) == 1 and len(files) > 3
