@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from hydroframe import workload
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -29,7 +30,7 @@ def normal(rows, columns: list[str]) -> list[tuple]:
     return sorted(tuple(repr(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", workload.QUERIES)
 def test_query_equals_sql(spark, duck, name):
     got = contract.queries()[name](spark, SF_DIR)
     want = duck.execute(contract.oracle_sql()[name])
