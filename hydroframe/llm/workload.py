@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroframe.llm import sharding
+from hydroframe.llm import sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,3 +35,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         sharding.default_tree(SHARDS),
         sharding.default_tree(SHARDS + 1),
     )
+
+
+URL_RULES = [
+    url_filter.Rule("com/", True),
+    url_filter.Rule("example.com/en/", False),
+    url_filter.Rule("www.example.com/en/", True),
+    url_filter.Rule("net/es/", False),
+    url_filter.Rule("net/fr/", False),
+]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict; URLs that a rule fits are the labelled ones."""
+    pages = load(spark, sf_dir, "pages")
+    model = url_filter.train(url_filter.labelled_by_rules(pages, URL_RULES))
+    return url_filter.judge(pages, URL_RULES, model)
