@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroframe.llm import sharding, url_filter
+from hydroframe.llm import quality_rules, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,3 +52,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     model = url_filter.train(url_filter.labelled_by_rules(pages, URL_RULES))
     return url_filter.judge(pages, URL_RULES, model)
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics and verdict, by rules learned from the labels."""
+    docs = load(spark, sf_dir, "documents")
+    rules = quality_rules.train(docs, load(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).select(
+        "row.doc_id", *(f"q.{name}" for name in quality_rules.BASE), "base_failed", "kept", "rule"
+    )
