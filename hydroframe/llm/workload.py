@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import bpe, quality_rules, sharding, url_filter
+from hydroframe.llm import bpe, fingerprint, quality_rules, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +77,24 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and likeness to that and to the next document."""
+    made = fingerprint.edited(load(spark, sf_dir, "documents"))
+    own, changed, after = (
+        fingerprint.hashes_of(F.col(name))
+        for name in ("fingerprint", "edited_fingerprint", "next_fingerprint")
+    )
+    return made.select(
+        "*", own.alias("own"), changed.alias("changed"), after.alias("after")
+    ).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprint.resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
+        fingerprint.resemblance(F.col("own"), F.col("after")).alias("near_next"),
+    )

@@ -1,0 +1,91 @@
+"""Fingerprints: neighbours and edits against a plain list, estimates against exact counts."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hydroframe.llm import fingerprint as P
+from hydroframe.llm.workload import op6_fingerprints
+
+
+def shingles(text):
+    words = (text or "").encode().split()
+    if not words:
+        return set()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def plain(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    found = []
+    for n, (key, text) in enumerate(rows):
+        after, half = rows[(n + 1) % len(rows)][1] or "", len(text or "") // 2
+        text = text or ""
+        changed = text[: len(text) - half] + after[:half]
+        near = jaccard(shingles(text), shingles(changed)), jaccard(shingles(text), shingles(after))
+        found.append((key, len(text), hashlib.sha256(changed.encode()).hexdigest(), *near))
+    return found
+
+
+def check(got, rows):
+    want = {r[0]: r for r in plain(rows)}
+    assert len(got) == len(rows)
+    errors = []
+    for r in got:
+        w = want[r.doc_id]
+        assert (r.n_chars, r.edited_sha256) == w[1:3]
+        errors += [r.near_edited - w[3], r.near_next - w[4]]
+    assert np.abs(errors).max() < 0.2 and abs(np.mean(errors)) < 0.01
+
+
+def test_query_over_the_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = op6_fingerprints(spark, "/root/testdata/sf0.01").collect()
+    check(got, [tuple(r) for r in rows])
+    texts, found = {r.doc_id: r.text for r in rows}, {}
+    for r in got:
+        assert found.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 300])
+def test_neighbours_across_buckets(spark, n):
+    rng = random.Random(n)
+    rows = [(i * 3 - 20, rng.choice(["", "a", "é b c", "x " * 30, "  "]) + str(i)) for i in range(n)]
+    rows += [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs = docs.withColumn("id", F.lit(1)).withColumn("bucket", F.lit("x"))
+    got = P.edited(docs).collect()
+    want = {r[0]: r[1:3] for r in plain(rows)}
+    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == want
+    assert P.edited(docs.limit(0)).collect() == []
+
+
+def test_repeated_ids_keep_every_row(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (2, "d e"), (0, "f")]
+    got = P.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in got) == [(0, 1), (1, 1), (1, 3), (1, 3), (2, 3)]
+
+
+def test_merge_containment_and_counts(spark):
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(4000)]
+    parts = [" ".join(rng.choices(words, k=700)) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(parts)) + [(9, None)], "doc_id long, text string")
+    one = P.merged(P.sketch(docs).withColumn("all", F.lit(1)), ["all"]).first().sketch
+    known = P.WordHashes()
+    every = np.concatenate([P.shingle_hashes(p.encode().split(), known) for p in parts])
+    assert one == P.bottom(every).astype(">u8").tobytes().hex()
+    whole = P.sketch(spark.createDataFrame([(1, parts[0], parts[0] + " " + parts[1])], "doc_id long, text string, b string"))
+    both = P.sketch(spark.createDataFrame([(1, parts[0] + " " + parts[1])], "doc_id long, text string"))
+    joined = whole.join(both.withColumnRenamed("sketch", "b"), "doc_id")
+    a, b = P.hashes_of(F.col("sketch")), P.hashes_of(F.col("b"))
+    r = joined.select(P.containment(a, b), P.resemblance(a, b), P.distinct_shingles(a), P.distinct_shingles(b)).first()
+    assert abs(r[0] - 1) < 0.25 and abs(r[1] - 0.5) < 0.15 and abs(r[2] - 696) < 200 and abs(r[3] - 1396) < 400
+    assert P.sketch(docs.where("doc_id = 9")).first().sketch == ""
