@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import bpe, fingerprint, quality_rules, sharding, url_filter
+from hydroframe.llm import bpe, fingerprint, quality_rules, sharding, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,3 +98,14 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
         fingerprint.resemblance(F.col("own"), F.col("after")).alias("near_next"),
     )
+
+
+#: Contract of `op8_simhash`: words in a shingle, differing bits that still link.
+SIMHASH_SHINGLE, SIMHASH_DISTANCE = 4, 4
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component."""
+    docs = load(spark, sf_dir, "documents")
+    return simhash.near_duplicates(docs, shingle=SIMHASH_SHINGLE, distance=SIMHASH_DISTANCE)
