@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import bpe, fingerprint, quality_rules, sharding, simhash, url_filter
+from hydroframe.llm import (
+    bpe,
+    fingerprint,
+    quality_rules,
+    sharding,
+    simhash,
+    substring_dedup,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,3 +117,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     docs = load(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs, shingle=SIMHASH_SHINGLE, distance=SIMHASH_DISTANCE)
+
+
+#: Contract of `op7_substring_dedup`: words in a window.
+REPEAT_WINDOW = 35
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that occur elsewhere."""
+    return substring_dedup.remove_repeats(load(spark, sf_dir, "documents"), window=REPEAT_WINDOW)
