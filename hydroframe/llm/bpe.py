@@ -3,7 +3,7 @@
 The words of a block of documents are gathered once each. An index tells, for each token
 pair (named by the rank of its merge), where in those words it stands. Merges are applied
 in rank order, each at all its places at once, and only the two neighbours of a merged
-pair are looked at again. Documents are then put together from their words' ids.
+pair are looked up again. Documents are then put together from their words' ids.
 
 Merges never cross a word, so the replay over a block's words gives what the replay over
 the whole corpus's words would. Blocks need no shuffle, a task holds one block, and words
@@ -13,9 +13,9 @@ already encoded in the same Python worker are remembered up to a bound.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
-from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.llm.common import whole_text
+from hydroframe.llm.wordstore import WordStore, blocks
 
 #: Characters of the texts whose words are replayed together, if one text has not more.
-BLOCK = 2_000_000
-#: Words of one text replayed together where the text alone is longer than a block.
-WORDS = 400_000
-#: Encoded words a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 48
+BLOCK = 4_000_000
+#: Words of one longer text gathered at once.
+WORDS = 250_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -38,121 +37,145 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
-class Replay:
-    """Encodes words by the ranks; `words` remembers."""
+def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of tokens that makes a token: sorted keys (left << 32 | right) and ranks."""
+    found = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left = ranks.get(token[:cut])
+            if left is not None and (right := ranks.get(token[cut:])) is not None:
+                found[left << 32 | right] = rank
+    keys = np.array(sorted(found), dtype=np.int64)
+    return keys, np.array([found[k] for k in keys.tolist()], dtype=np.int32)
+
+
+class Replay(WordStore):
+    """Encodes texts by the ranks, and remembers words."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.words: dict[str, bytes] = {}
-
-    def rank(self, left: int, right: int) -> int:
-        """Rank of the pair's merge; -1 if there is none."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            found = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            self.pairs[left, right] = found
-        return found
-
-    def replay(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers."""
-        token = list(chain.from_iterable(map(map, [self.single.__getitem__] * len(words), words)))
-        n = len(token)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        starts, at = [], 0
-        for word in words:
-            starts.append(at)
-            if word:
-                before[at] = -1
-                at += len(word)
-                after[at - 1] = -1
-        pair_rank, places = [-1] * n, {}
-        rank = self.rank
-        for i, j in enumerate(after):
-            if j >= 0 and (r := rank(token[i], token[j])) >= 0:
-                pair_rank[i] = r
-                places.setdefault(r, []).append(i)
-        ranks = list(places)
-        heapify(ranks)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.keys, self.key_ranks = merge_table(ranks)
+        super().__init__()
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair's merge; -1 if there is none."""
+        if not len(self.keys):
+            return np.full(len(left), -1, dtype=np.int32)
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.key_ranks[at], -1)
+
+    def replay(self, words: list[bytes], one_by_one: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words and how many each has.
+
+        A merge may make a pair of earlier rank possible (in ranks that were not trained
+        together with their merges). Then the later places of the merge in that word have
+        to wait: such words are replayed again, in each round only with a word's first place.
+        """
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        n, ends = len(data), np.cumsum(lengths)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        token = self.single[data]
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        inner = word[1:] == word[:-1]
+        after[:-1][~inner] = -1
+        before[1:][~inner] = -1
+        after[n - 1 :] = -1
+        pair = np.full(n, -1, dtype=np.int32)
+        left = np.flatnonzero(inner).astype(np.int32)
+        pair[left] = self.rank(token[left], token[left + 1])
+        again = np.zeros(len(words), dtype=bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def index(where: np.ndarray) -> None:
+            """Add these places under the rank of their pair."""
+            where = where[pair[where] >= 0]
+            if len(where) > 1:
+                where = where[np.argsort(pair[where], kind="stable")]
+                found = pair[where]
+                parts = np.split(where, np.flatnonzero(found[1:] != found[:-1]) + 1)
+            else:
+                parts = [where] if len(where) else []
+            for part in parts:
+                q = int(pair[part[0]])
+                if q in places:
+                    places[q].append(part)
+                else:
+                    places[q] = [part]
+                    heappush(ranks, q)
+
+        index(left)
         while ranks:
             r = heappop(ranks)
-            where = places.pop(r, None)
-            if where is None:
+            parts = places.pop(r)
+            where = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            where = where[pair[where] == r]  # not those whose tokens have been merged meanwhile
+            if len(where) > 1:
+                where = np.unique(where)
+                if one_by_one:
+                    first = np.concatenate([[True], word[where[1:]] != word[where[:-1]]])
+                    if not first.all():
+                        index(where[~first])
+                    where = where[first]
+                else:  # of overlapping pairs the first, the third and so on
+                    overlaps = after[where[:-1]] == where[1:]
+                    if overlaps.any():
+                        at = np.arange(len(where))
+                        begins = np.concatenate([[True], ~overlaps])
+                        where = where[(at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0]
+            if not len(where):
                 continue
-            where.sort()  # the leftmost of overlapping pairs is merged
-            for done, i in enumerate(where, 1):
-                if pair_rank[i] != r:
-                    continue  # one of its tokens has been merged meanwhile
-                gone = after[i]
-                token[i], pair_rank[gone] = r, -2
-                after[i] = later = after[gone]
-                if later >= 0:
-                    before[later] = i
-                lower = False
-                for p in (before[i], i):
-                    if p < 0:
-                        continue
-                    q = rank(token[p], token[after[p]]) if after[p] >= 0 else -1
-                    pair_rank[p] = q
-                    if q >= 0:
-                        if q in places:
-                            places[q].append(p)
-                        else:
-                            places[q] = [p]
-                            heappush(ranks, q)
-                        lower |= q < r
-                if lower and done < len(where):  # an earlier merge has become possible: it goes first
-                    places[r] = where[done:]
-                    heappush(ranks, r)
-                    break
-        alive = np.array(pair_rank, dtype=np.int64) != -2
-        kept = np.array(token, dtype="<u4")[alive]
-        # Where a word starts among the tokens that are left.
-        ends = np.concatenate([[0], alive.cumsum()])[[*starts, n]].tolist() if words else [0]
-        data = kept.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode the words not yet known: a token by its own id, any other by replay."""
-        merged = []
-        for word in set(words).difference(self.words):
-            whole = self.ranks.get(word.encode())
-            if whole is None:
-                merged.append(word)
-            else:
-                self.words[word] = whole.to_bytes(4, "little")
-        if merged:
-            self.words.update(zip(merged, self.replay([w.encode() for w in merged])))
-
-    def forget(self) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        else:
-            for word in [w for w in self.words if len(w) > LONGEST]:
-                del self.words[word]
-
-    def block(self, texts: list[str]) -> list[bytes]:
-        if len(texts) == 1 and len(texts[0]) > BLOCK:
-            return [self.long(texts[0])]
-        split = list(map(self.pattern.findall, texts))
-        self.learn(chain.from_iterable(split))
-        ids = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        self.forget()
-        return ids
-
-    def long(self, text: str) -> bytes:
-        found, out = self.pattern.finditer(text), []
+            gone = after[where]
+            later = after[gone]
+            beside = np.flatnonzero(later[:-1] == where[1:])  # the next place starts right behind
+            if len(beside):
+                q = self.rank(np.full(len(beside), r), token[later[beside]])
+                again[word[where[beside[(q >= 0) & (q < r)]]]] = True
+            token[where], pair[gone] = r, -2
+            after[where] = later
+            last = later < 0
+            before[later[~last]] = where[~last]
+            pair[where[last]] = -1
+            earlier = before[where]
+            touched = np.concatenate([where[~last], earlier[earlier >= 0]])
+            if len(touched):
+                pair[touched] = q = self.rank(token[touched], token[after[touched]])
+                index(touched)
+                if (low := (q >= 0) & (q < r)).any() and not one_by_one:
+                    again[word[touched[low]]] = True
+        alive = pair != -2
+        kept, total = token[alive].astype("<u4"), np.concatenate([[0], alive.cumsum()])
+        counts = np.diff(np.concatenate([[0], total[ends]]))
+        if again.any():
+            redone, sizes = self.replay([w for w, x in zip(words, again) if x], one_by_one=True)
+            parts = np.split(kept, np.cumsum(counts)[:-1])
+            for at, new in zip(np.flatnonzero(again), np.split(redone, np.cumsum(sizes)[:-1])):
+                parts[at], counts[at] = new, len(new)
+            kept = np.concatenate(parts)
+        return kept, counts
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A word that is a token has its own id, any other is replayed."""
+        new = [w.encode() for w in words]
+        whole = np.array([self.ranks.get(w, -1) for w in new], dtype=np.int64)
+        merged, counts = self.replay([w for w, known in zip(new, whole) if known < 0])
+        sizes = np.ones(len(new), dtype=np.int64)
+        sizes[whole < 0] = counts
+        tokens = np.repeat(whole, sizes)
+        tokens[tokens < 0] = merged
+        return tokens, sizes
+
+    def cut(self, text: str) -> Iterator[list[str]]:
+        if len(text) <= BLOCK:
+            yield self.pattern.findall(text)
+            return
+        found = self.pattern.finditer(text)
         while words := [m.group() for m in islice(found, WORDS)]:
-            self.learn(words)
-            out.append(b"".join(map(self.words.__getitem__, words)))
-            self.forget()
-        return b"".join(out)
+            yield words
 
 
 #: What a Python worker has loaded, so that its next tasks need not.
@@ -167,17 +190,6 @@ def _replay_of(data: bytes, pattern: str) -> Replay:
     return _LOADED[key]
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for at, text in enumerate(texts):
-        if size and size + len(text) > BLOCK:
-            yield start, at
-            start, size = at, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -195,7 +207,7 @@ def encode(
         replay = _replay_of(sent.value, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for start, end in _blocks(texts):
+            for start, end in blocks(texts, BLOCK):
                 ids = replay.block(texts[start:end])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, end - start), pa.array(ids, pa.binary())],

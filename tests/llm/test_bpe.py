@@ -9,7 +9,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hydroframe.llm import bpe
+from hydroframe.llm import bpe, wordstore
 from hydroframe.llm.workload import op1_byte_bpe
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -56,11 +56,13 @@ def test_operator_over_odd_rows(spark, monkeypatch):
 def test_a_text_longer_than_a_block(monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 1000)
     monkeypatch.setattr(bpe, "WORDS", 77)
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(wordstore, "REMEMBERED", 50)
+    monkeypatch.setattr(wordstore, "WORDS", 31)
     text = " ".join(f"word{n % 913} né" for n in range(3000))
     replay = bpe.Replay(RANKS, P.PATTERN)
     assert ids(replay.block([text])[0]) == ENCODING.encode_ordinary(text)
-    assert list(bpe._blocks(["a" * 900, "b" * 200, "c" * 5000, "d"])) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert ids(replay.block([text[:900], "né"])[1]) == ENCODING.encode_ordinary("né")
+    assert list(wordstore.blocks(["a" * 900, "b" * 200, "c" * 5000, "d"], 1000)) == [(0, 1), (1, 2), (2, 3), (3, 4)]
 
 
 @pytest.mark.parametrize("sf", ["sf0.01"])
