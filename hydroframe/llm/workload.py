@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hydroframe.llm import (
     bpe,
     fingerprint,
+    packing,
     quality_rules,
     sharding,
     simhash,
@@ -127,3 +128,9 @@ REPEAT_WINDOW = 35
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of windows that occur elsewhere."""
     return substring_dedup.remove_repeats(load(spark, sf_dir, "documents"), window=REPEAT_WINDOW)
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 4096 tokens."""
+    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
