@@ -35,6 +35,20 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def row_and(docs: DataFrame, *columns: Column) -> DataFrame:
-    """The input row in one struct `row`, so that no column added can clash with its columns."""
-    return docs.select(F.struct("*").alias("row"), *columns)
+def aside(docs: DataFrame) -> list[Column]:
+    """The input's columns under names of our own, so that no column added can clash with them.
+
+    They are carried flat and become a struct at the end (`row_of`): Spark 4.1 loses fields
+    of a struct that passes several generators.
+    """
+    return [F.col(f"`{name}`").alias(f"__in_{n}") for n, name in enumerate(docs.columns)]
+
+
+def carried(docs: DataFrame) -> list[str]:
+    return [f"__in_{n}" for n in range(len(docs.columns))]
+
+
+def row_of(docs: DataFrame) -> Column:
+    """The input's row as one struct `row`."""
+    named = zip(carried(docs), docs.columns)
+    return F.struct(*(F.col(ours).alias(name) for ours, name in named)).alias("row")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import WORD, row_and, whole_text
+from hydroframe.llm.common import WORD, aside, carried, row_of, whole_text
 
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
@@ -89,8 +89,9 @@ def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     Texts of any length take time in proportion to n log n.
     """
     text = F.col("text")
-    split = row_and(docs, whole_text(F.col(text_column)).alias("text")).select(
-        "row",
+    own = carried(docs)
+    split = docs.select(*aside(docs), whole_text(F.col(text_column)).alias("text")).select(
+        *own,
         "text",
         F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("lines"),
@@ -99,7 +100,7 @@ def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     later = F.greatest(n - 2, F.lit(0))
     pairs = F.zip_with(F.slice(words, 1, later), F.slice(words, 2, later), lambda a, b: F.struct(a, b))
     windows = F.zip_with(pairs, F.slice(words, 3, later), lambda p, c: F.xxhash64(p, c))
-    counted = split.select("row", "text", "words", "lines", windows.alias("windows")).select(
+    counted = split.select(*own, "text", "words", "lines", windows.alias("windows")).select(
         "*", _twice(F.col("windows")).alias("twice")
     )
     repeats = _repeat_words(F.col("windows"), F.col("twice"))
@@ -115,7 +116,7 @@ def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     }
     q = F.struct(*(value.cast("long").alias(name) for name, value in numbers.items()))
     # A generator keeps filters on `q` above it, so that no statistic is worked out twice.
-    return counted.select("row", F.explode(F.array(q)).alias("q"))
+    return counted.select(*own, F.explode(F.array(q)).alias("q")).select(row_of(docs), "q")
 
 
 def base_failed(q: str = "q") -> Column:

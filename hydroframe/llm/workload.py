@@ -13,6 +13,7 @@ from hydroframe.llm import (
     fingerprint,
     packing,
     quality_rules,
+    secret_scan,
     sharding,
     simhash,
     substring_dedup,
@@ -134,3 +135,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of at most 4096 tokens."""
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, and the text without them as a digest."""
+    docs = load(spark, sf_dir, "documents")
+    model = secret_scan.train(secret_scan.planted_findings(docs), docs)
+    found = secret_scan.scan(docs, model, path_column="source")
+    return found.select(
+        "row.doc_id",
+        F.size("findings").cast("long").alias("n_findings"),
+        "findings",
+        F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"),
+    )

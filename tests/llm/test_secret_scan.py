@@ -1,0 +1,82 @@
+"""Secret scans: candidates against Python's matches, held-out secrets, odd rows."""
+
+import random
+import re
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from hydroframe.llm import secret_scan as S
+from hydroframe.llm.workload import op2_secret_scan
+
+SF = "/root/testdata/sf0.01"
+CANDIDATE = regex.compile(S.CANDIDATE)
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    return S.train(S.planted_findings(docs), docs)
+
+
+def test_candidates_positions_and_redaction(spark):
+    everything = S.Model([1.0], [], [0.0] * S._SYMBOLS**2)
+    rng = random.Random(6)
+    bits = ["a1" * 9, 'key="abcdefghijklmnopqrst"', " ", "\n", "plain words", "é😀", "=", "0123456789abcdef==", "x" * 30, ". "]
+    texts = [None, "", " ", "z9" * 8, "a" * 100_000, "b1, " * 9000 + "c3" * 9, ("q7" * 8 + "; ") * 1500]
+    texts += ["".join(rng.choices(bits, k=rng.randrange(1, 400))) for _ in range(60)]
+    rows = [(n if n % 6 else None, t, "x", "y") for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, findings string, row string")
+    got = S.scan(docs, everything).select("row.text", "findings", "redacted").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = [(m.start(), len(m.group())) for m in CANDIDATE.finditer(r.text or "")]
+        assert [(f.start, f.length) for f in r.findings] == want
+        assert r.redacted == (r.text if r.text is None else CANDIDATE.sub(S.MARKER, r.text))
+    assert S.scan(docs.limit(0), everything).collect() == []
+
+
+def secret(rng, n, alphabet):
+    return "".join(rng.choices(alphabet, k=n))
+
+
+def test_held_out_secrets_and_look_alikes(spark, model):
+    rng = random.Random(11)
+    hexes, coded = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    bad, good = [], []
+    for n in range(150):
+        bad += [
+            f'la token = "{secret(rng, 40, hexes)}" queux', f"API_KEY: {secret(rng, 40, coded)}\nnext",
+            f"THE!! TOKEN!! = \"{secret(rng, 40, hexes).upper()}\"!! AND!!", f"password='{secret(rng, 24, coded)}'",
+        ]
+        good += [
+            f"fixed in commit {secret(rng, 40, hexes)} of main", f"sha256 {secret(rng, 64, hexes)}  file.txt",
+            f"card {secret(rng, 16, '0123456789')} end", f"see https://a.example.com/some-page-name/{n}2021",
+            'token = "your_token_here_12"', f"the averylongcompoundwordhere{n} was there",
+        ]
+    rows = [(t, True) for t in bad] + [(t, False) for t in good]
+    docs = spark.createDataFrame(rows, "text string, secret boolean")
+    got = S.scan(docs, model).select("row.secret", (F.size("findings") > 0).alias("found")).collect()
+    caught = [r.found for r in got if r.secret]
+    wrong = [r.found for r in got if not r.secret]
+    assert sum(caught) >= 0.95 * len(caught)
+    assert sum(wrong) <= 0.02 * len(wrong)
+
+
+def test_query_finds_the_tables_secrets(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    planted = re.compile(r'token = "([0-9a-f]{40})"', re.I)
+    got = {r.doc_id: r for r in op2_secret_scan(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for doc, text in docs.items():
+        assert [(f.start, f.length) for f in got[doc].findings] == [(m.start(1), 40) for m in planted.finditer(text)]
+        assert got[doc].n_findings == len(got[doc].findings)
+
+
+def test_one_label_and_no_findings(spark):
+    docs = spark.createDataFrame([(1, 'token = "0123456789abcdef0123"')], "doc_id long, text string")
+    none = spark.createDataFrame([], "text string, path string, secret boolean")
+    assert S.scan(docs, S.train(none, docs)).first().findings == []
+    one = spark.createDataFrame([("x = 0123456789abcdefg", None, True)], none.schema)
+    assert len(S.scan(docs, S.train(one, docs.limit(0))).first().findings) == 1
