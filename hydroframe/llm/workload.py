@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hydroframe.llm import (
     bpe,
     fingerprint,
+    license_scan,
     packing,
     quality_rules,
     secret_scan,
@@ -149,3 +150,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "findings",
         F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"),
     )
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence families and where they are named."""
+    docs = load(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(license_scan.labelled_paragraphs(docs)))
