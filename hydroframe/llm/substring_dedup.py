@@ -167,8 +167,7 @@ def _anchored(keyed: DataFrame, window: int) -> DataFrame:
 
 
 def _passages(found: DataFrame, window: int) -> DataFrame:
-    """Of texts and their hits, a passage for each: `key`, `th`, `start`, `words`; key null for
-    passages of hot anchors, which are cut into windows: `words` is the window's digest."""
+    """Of texts and their hits, a passage for each: `key` (null for hot anchors), `th`, `start`, `words`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = {"key": pa.int64(), "th": pa.binary(), "start": pa.int32(), "words": pa.binary()}
@@ -178,12 +177,7 @@ def _passages(found: DataFrame, window: int) -> DataFrame:
                 words = text.encode().split()
                 for hit in {(h["anchor"], h["first"], h["last"], h["hot"]) for h in hits}:
                     anchor, first, last, hot = hit
-                    if hot:
-                        for at in range(first, last + 1):
-                            digest = hashlib.md5(b" ".join(words[at : at + window])).digest()
-                            out.append((None, th, at, digest))
-                    else:
-                        out.append((anchor, th, first, b" ".join(words[first : last + window])))
+                    out.append((None if hot else anchor, th, first, b" ".join(words[first : last + window])))
                 if len(out) > 4000:
                     yield _batch({n: (v, t) for v, (n, t) in zip(zip(*out), columns.items())})
                     out = []
@@ -214,7 +208,7 @@ def shard_spans(passages: list[tuple[bytes, int, bytes]], window: int) -> Iterat
 
 
 def _spans(passages: DataFrame, window: int) -> DataFrame:
-    """`th`, `start`, `stop`: repeated spans, shard by shard."""
+    """`th`, `spans` (start, stop): repeated spans, shard by shard."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         key, held = None, []
@@ -240,10 +234,51 @@ def _spans(passages: DataFrame, window: int) -> DataFrame:
             yield _batch({n: (v, t) for v, (n, t) in zip(zip(*out), kinds.items())})
 
     dealt = passages.where("key is not null").repartition("key").sortWithinPartitions("key")
-    indexed = dealt.select("key", "th", "start", "words").mapInArrow(run, "th binary, start int, stop int")
-    counted = passages.where("key is null").select("th", "start", "words")
-    again = counted.groupBy("words").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("words")
-    return indexed, counted.join(again, "words").select("th", "start", (F.col("start") + window).alias("stop"))
+    found = dealt.select("key", "th", "start", "words").mapInArrow(run, "th binary, start int, stop int")
+    return found.select("th", F.array(F.struct("start", "stop")).alias("spans"))
+
+
+def _windows(passages: DataFrame, window: int) -> DataFrame:
+    """`passage`, `n`, `at`, `digest` of every window of `words`, which starts `at` in its passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"passage": pa.binary(), "n": pa.int64(), "at": pa.int32(), "digest": pa.binary()}
+        for batch in batches:
+            out = []
+            for passage, n, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = text.split()
+                for at in range(len(words) - window + 1):
+                    digest = hashlib.md5(b" ".join(words[at : at + window])).digest()
+                    out.append((passage, n, at, digest))
+            if out:
+                yield _batch({name: (v, t) for v, (name, t) in zip(zip(*out), kinds.items())})
+
+    read = passages.select("passage", "n", "words")
+    return read.mapInArrow(run, "passage binary, n long, at int, digest binary")
+
+
+def _hot_spans(passages: DataFrame, window: int) -> DataFrame:
+    """`th`, `spans` for passages of hot anchors, told apart by MD5 digests.
+
+    Equal passages are one, with its number of places; two places make all of it repeated.
+    Of passages that occur once, the windows are looked up among those of all different
+    passages. Counts are partial before the shuffle, and a passage shared by very many
+    texts gives one row for each of them.
+    """
+    hot = passages.where("key is null").withColumn("passage", F.unhex(F.md5("words")))
+    kinds = stored(
+        hot.groupBy("passage").agg(F.count(F.lit(1)).alias("n"), F.first("words").alias("words")), "kinds"
+    )
+    windows = stored(_windows(kinds, window), "windows")
+    twice = windows.groupBy("digest").agg(F.sum("n").alias("times")).where("times > 1").select("digest")
+    alone = windows.where("n = 1").join(twice, "digest").select("passage", "at", (F.col("at") + window).alias("to"))
+    whole = kinds.where("n > 1").select(
+        "passage", F.lit(0).alias("at"), F.size(F.split(F.col("words").cast("string"), " ")).alias("to")
+    )
+    runs = alone.union(whole).groupBy("passage").agg(F.collect_list(F.struct("at", "to")).alias("runs"))
+    found = hot.select("passage", "th", "start").join(stored(runs, "runs"), "passage")
+    moved = lambda r: F.struct((F.col("start") + r["at"]).alias("start"), (F.col("start") + r["to"]).alias("stop"))
+    return found.select("th", F.transform("runs", moved).alias("spans"))
 
 
 #: Words and what lies before each.
@@ -295,7 +330,7 @@ def cleaned_texts(docs: DataFrame, text_column: str, window: int, with_text: boo
     text = whole_text(F.col(text_column))
     keyed = docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text"))
     found = stored(_anchored(keyed, window), "anchors")
-    counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     hits = found.join(counts, "anchor").groupBy("th").agg(
         F.collect_list(F.struct("anchor", "first", "last", (F.col("n") > GROUP).alias("hot"))).alias("hits")
     )
@@ -303,11 +338,11 @@ def cleaned_texts(docs: DataFrame, text_column: str, window: int, with_text: boo
     texts = keyed.groupBy("th").agg(F.first("text").alias("text"), (F.count(F.lit(1)) > 1).alias("copied"))
     passages = _passages(texts.join(hits, "th"), window)
     if hits.where("exists(hits, h -> h.hot)").isEmpty():
-        spans = _spans(passages, window)[0]
+        spans = _spans(passages, window)
     else:
         passages = stored(passages, "passages")
-        spans = DataFrame.union(*_spans(passages, window))
-    merged = spans.groupBy("th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        spans = _spans(passages, window).union(_hot_spans(passages, window))
+    merged = spans.groupBy("th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return _cleaned(texts.join(merged, "th", "left"), window, with_text)
 
 
