@@ -2,20 +2,23 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydroframe.functions.cells import is_bad, number_cell, text_cell, time_cell
 from hydroframe.sources.rdb import RdbText, position_in
 
-# A value column is named <series>_<parameter>; its qualifier column
-# has the suffix.
-SERIES_COLUMN = r"^[0-9]+_[0-9]{5}$"
+# A value column is named <series>_<parameter>, or with a statistic
+# <series>_<parameter>_<statistic>; its qualifier column has the suffix.
+SERIES_COLUMN = r"^[0-9]+_[0-9]{5}(_[0-9]{5})?$"
 QUALIFIER_SUFFIX = "_cd"
+# Fixed value: the day histories are asked for from.
+HISTORY_START = "1900-01-01"
 
-SERIES_KEY = ("site_no", "ts_id", "parameter_cd", "datetime", "tz_cd")
+SERIES_KEY = ("site_no", "ts_id", "parameter_cd", "statistic_cd", "datetime", "tz_cd")
 CELL_COLUMNS = ("value", "raw", "qualifier")
-HISTORY_START = "1900-01-01"
+# Columns of a file that have columns of their own in long form.
+INDEX_COLUMNS = ("site_no", "datetime", "tz_cd")
 
 
 def _series(names: Column) -> Column:
@@ -23,33 +26,60 @@ def _series(names: Column) -> Column:
     return F.transform(
         F.filter(names, lambda name: name.rlike(SERIES_COLUMN)),
         lambda name: F.struct(
-            F.substring_index(name, "_", 1).alias("ts_id"),
-            F.substring_index(name, "_", -1).alias("parameter_cd"),
+            F.split_part(name, F.lit("_"), F.lit(1)).alias("ts_id"),
+            F.split_part(name, F.lit("_"), F.lit(2)).alias("parameter_cd"),
+            F.nullif(F.split_part(name, F.lit("_"), F.lit(3)), F.lit("")).alias("statistic_cd"),
             position_in(names, name).alias("value_at"),
             position_in(names, F.concat(name, F.lit(QUALIFIER_SUFFIX))).alias("qualifier_at"),
         ),
     )
 
 
+def _others(names: Column) -> Column:
+    """Name and place of each column that is neither index, value nor qualifier."""
+    qualifiers = F.transform(
+        F.filter(names, lambda name: name.rlike(SERIES_COLUMN)),
+        lambda name: F.concat(name, F.lit(QUALIFIER_SUFFIX)),
+    )
+    placed = F.transform(names, lambda name, at: F.struct(name.alias("name"), at.alias("at")))
+    return F.filter(
+        placed,
+        lambda p: ~(
+            p["name"].isin(*INDEX_COLUMNS)
+            | p["name"].rlike(SERIES_COLUMN)
+            | F.array_contains(qualifiers, p["name"])
+        ),
+    )
+
+
 def long_observations(text: RdbText) -> DataFrame:
     """One row per data line and series, whatever series a file has.
 
-    `raw` keeps the cell as written, so that a token that is no number (`Ice`) stays
-    visible next to its null value. (file, block, line) tell where a row came from.
+    `raw` and `raw_time` keep cell and time as written, so that a token that is no number
+    (`Ice`) or no time stays visible next to its null. `attributes` holds the line's other
+    columns by name; null cells are left out. (file, block, line) tell where a row came from.
     """
     names = F.col("names")
     rows = text.rows(
         _series(names).alias("series"),
+        _others(names).alias("others"),
         position_in(names, "site_no").alias("site_at"),
         position_in(names, "datetime").alias("time_at"),
         position_in(names, "tz_cd").alias("zone_at"),
     )
+    time = F.get("cells", F.col("time_at"))
+    cells = F.col("cells")
+    named = F.transform(
+        "others", lambda o: F.struct(o["name"].alias("key"), text_cell(F.get(cells, o["at"])).alias("value"))
+    )
     # Cast what all series of a line share before the line is multiplied.
     shared = rows.select(
-        "file", "block", "line", "cells", "series",
+        "file", "block", "line", "cells", "series", *text.carried,
         text_cell(F.get("cells", F.col("site_at"))).alias("site_no"),
-        time_cell(F.get("cells", F.col("time_at"))).alias("datetime"),
+        time_cell(time).alias("datetime"),
+        text_cell(time).alias("raw_time"),
         text_cell(F.get("cells", F.col("zone_at"))).alias("tz_cd"),
+        F.map_from_entries(F.filter(named, lambda n: n["value"].isNotNull())).alias("attributes"),
     )
     # explode would add a condition on `series` that is pushed down to the file scan
     # and takes each file apart a second time; explode_outer adds none.
@@ -61,12 +91,16 @@ def long_observations(text: RdbText) -> DataFrame:
         "tz_cd",
         F.col("s.ts_id").alias("ts_id"),
         F.col("s.parameter_cd").alias("parameter_cd"),
+        F.col("s.statistic_cd").alias("statistic_cd"),
         number_cell(cell).alias("value"),
         text_cell(cell).alias("raw"),
         text_cell(F.get("cells", F.col("s.qualifier_at"))).alias("qualifier"),
+        "attributes",
+        "raw_time",
         "file",
         "block",
         "line",
+        *text.carried,
     )
 
 
@@ -87,6 +121,11 @@ def bad_tokens(long: DataFrame) -> DataFrame:
     return long.where(is_bad(F.col("raw"), F.col("value")))
 
 
+def timeless(long: DataFrame) -> DataFrame:
+    """Observations without a time: the token, if there is one, cannot be read."""
+    return long.where("datetime is null")
+
+
 def with_parameters(observations: DataFrame, parameters: DataFrame, on: list[str]) -> DataFrame:
     """Observations next to the description of their series.
 
@@ -103,6 +142,16 @@ def _bound(bound: str | datetime | None) -> Column | None:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def moments(spark: SparkSession, *bounds: str | datetime | None) -> list[datetime | None]:
+    """What the bounds mean, read as `in_window` reads them: any date text a cast takes, a date
+    its midnight, an empty one open (None). Text that is no date is an error."""
+    parsed = [_bound(b) for b in bounds]
+    row = spark.range(1).select(
+        *((F.lit(None) if p is None else p).cast("timestamp_ntz").alias(f"b{i}") for i, p in enumerate(parsed))
+    )
+    return list(row.first())
+
+
 def in_window(
     df: DataFrame,
     start: str | datetime | None,

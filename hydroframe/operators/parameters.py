@@ -95,29 +95,28 @@ def _from_lines(head_lines: DataFrame, marker: str) -> DataFrame:
     """The same with one row of bounds per file, which the comments are joined with once.
 
     A table begins behind the first marker and stops at the next bare or content line.
-    A file whose data begin before its marker has none.
+    A file whose data begin before its marker has none. The bounds come from one
+    aggregation: of bare lines only their numbers are gathered.
     """
-    value = F.col("value")
-    comments = head_lines.where(is_comment(value)).select("file", "line", "value")
-    markers = (
-        comments.withColumn("start", F.instr(_comment_text(value), marker))
-        .where("start > 1")
-        .groupBy("file")
-        .agg(F.min(F.struct("line", "start")).alias("marker"))
-        .select("file", F.col("marker.line").alias("first"), F.col("marker.start").alias("start"))
-    )
-    stops = head_lines.where(is_content(value) | (is_comment(value) & _is_bare(value)))
-    last = (
-        stops.select("file", "line", is_content(value).alias("content"))
-        .join(markers, "file")
+    value, line = F.col("value"), F.col("line")
+    comment = is_comment(value)
+    start = F.when(comment, F.instr(_comment_text(value), marker))
+    bounds = (
+        head_lines.where(comment | is_content(value))
         .groupBy("file")
         .agg(
-            F.min(F.when(F.col("line") > F.col("first"), F.col("line"))).alias("last"),
-            F.max(F.col("content") & (F.col("line") < F.col("first"))).alias("late"),
+            F.min(F.when(start > 1, F.struct(line, start.alias("start")))).alias("marker"),
+            F.min(F.when(~comment, line)).alias("content"),
+            F.collect_list(F.when(comment & _is_bare(value), line)).alias("bare"),
+        )
+        .where("marker is not null and (content is null or content > marker.line)")
+        .select(
+            "file",
+            F.col("marker.line").alias("first"),
+            F.col("marker.start").alias("start"),
+            F.least("content", F.array_min(F.filter("bare", lambda b: b > F.col("marker.line")))).alias("last"),
         )
     )
-    bounds = markers.join(last, "file", "left").where(~F.coalesce("late", F.lit(False)))
-    inside = (F.col("line") > F.col("first")) & (
-        F.col("last").isNull() | (F.col("line") < F.col("last"))
-    )
+    inside = (line > F.col("first")) & (F.col("last").isNull() | (line < F.col("last")))
+    comments = head_lines.where(comment).select("file", "line", "value")
     return comments.join(bounds, "file").where(inside).select("file", "start", "line", "value")

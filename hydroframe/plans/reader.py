@@ -17,14 +17,16 @@ from hydroframe.operators.observations import (
     SERIES_KEY,
     in_window,
     long_observations,
+    moments,
+    timeless,
     wide_observations,
 )
 from hydroframe.operators.parameters import parameter_table
 from hydroframe.plans import requests
-from hydroframe.plans.store import Dataset, Store
+from hydroframe.plans.store import Bound, Dataset, Store
 from hydroframe.sources.html import html_table
 from hydroframe.sources.rdb import RdbText
-from hydroframe.sources.service import fetch_lines, fetch_pages, landed
+from hydroframe.sources.service import fetch_pages, fetch_text, landed
 
 # Lifetimes of the datasets.
 STATIONS = Dataset("stations", key="state", ttl="1D")
@@ -45,7 +47,11 @@ Keys = str | list[str] | DataFrame
 
 
 class StationReader:
-    """`base_url` is the service; `store` keeps what was fetched."""
+    """`base_url` is the service; `store` keeps what was fetched.
+
+    Lines with more cells than columns, and observations whose time cannot be read, are
+    not stored but set aside as they came (`rejected`, `unplaced`).
+    """
 
     def __init__(self, base_url: str, store: Store, tasks: int | None = None):
         self.base_url = base_url
@@ -66,20 +72,18 @@ class StationReader:
     def read_station_data(
         self,
         sites: Keys,
-        start: str | None = None,
-        end: str | None = None,
+        start: Bound = None,
+        end: Bound = None,
         now: datetime | None = None,
     ) -> DataFrame:
         """Observations in the closed window; the store keeps the whole history."""
 
         def fetch(todo: DataFrame) -> DataFrame:
             url = requests.values_url(self.base_url, F.col("site_no"), F.col("since"))
-            return long_observations(
-                self._land("observations", todo.withColumn("url", url), "site_no")
-            )
+            text = self._land("observations", todo.withColumn("url", url), "site_no")
+            return self._timed("observations", long_observations(text))
 
-        rows = self._materialized(OBSERVATIONS, sites, fetch, now, start, end)
-        return in_window(rows, start, end)
+        return self._materialized(OBSERVATIONS, sites, fetch, now, start, end)
 
     def read_entire_station_data_for(self, sites: Keys) -> DataFrame:
         """Observations since the start of history, fetched without the store's help."""
@@ -88,15 +92,25 @@ class StationReader:
         return long_observations(self._land("full", keys.withColumn("url", url), "site_no"))
 
     def read_station_data_by_year(
-        self, sites: Keys, start: str, end: str, now: datetime | None = None
+        self, sites: Keys, start: Bound, end: Bound, now: datetime | None = None
     ) -> DataFrame:
         """Observations in the window, fetched with one request per site and year."""
         keys, run_ts = self._keys(sites, "site_no"), self._now(now)
-        plan = requests.yearly_requests(self.base_url, keys, F.lit(start), F.lit(end), run_ts)
-        rows = long_observations(self._land("yearly", plan, "url"))
-        first, last = sorted([start or _text(now), end or _text(now)])
+        first, last = sorted(moments(self.spark, start or _text(now), end or _text(now)))
+        bounds = (F.lit(first.isoformat(sep=" ")), F.lit(last.isoformat(sep=" ")))
+        plan = requests.yearly_requests(self.base_url, keys, *bounds, run_ts)
+        rows = self._timed("yearly", long_observations(self._land("yearly", plan, "url")))
         return in_window(rows, first, last)
 
+    def rejected(self, name: str) -> DataFrame | None:
+        """(file, block, line, value) of lines with more cells than columns, of all fetches of
+        `name` (stations, observations, full, yearly, parameters, catalog)."""
+        return self.store.aside(f"rejected-{name}")
+
+    def unplaced(self, name: str) -> DataFrame | None:
+        """Observations without a readable time, with what stood there in `raw_time`."""
+        return self.store.aside(f"unplaced-{name}")
+
     def read_station_parameters(self, sites: Keys, now: datetime | None = None) -> DataFrame:
         """The sites' series with their descriptions."""
 
@@ -131,7 +145,18 @@ class StationReader:
 
     def _land(self, name: str, plan: DataFrame, file: str) -> RdbText:
         folder = f"{self.store.root}/landed/{name}/{uuid.uuid4().hex}"
-        return landed(fetch_lines(plan, "url", file, self.tasks), folder)
+        text = landed(fetch_text(plan, "url", file, self.tasks), folder)
+        rejected = text.rejected()
+        if not rejected.isEmpty():
+            self.store.set_aside(f"rejected-{name}", rejected)
+        return text
+
+    def _timed(self, name: str, long: DataFrame) -> DataFrame:
+        """The rows that have a time; the others are set aside."""
+        lost = timeless(long)
+        if not lost.isEmpty():
+            self.store.set_aside(f"unplaced-{name}", lost)
+        return long.where("datetime is not null").drop("raw_time")
 
     def _keys(self, keys: Keys, name: str) -> DataFrame:
         if isinstance(keys, DataFrame):
@@ -148,23 +173,41 @@ def _text(now: datetime | None) -> str:
     return moment.isoformat(sep=" ")
 
 
-def as_wide(long: DataFrame) -> DataFrame:
-    """One column per series and qualifier, as in the station files.
+def as_wide(
+    long: DataFrame, series: list[str] | None = None, attributes: list[str] | None = None, most: int = 2000
+) -> DataFrame:
+    """One column per series, qualifier and attribute, as in the station files.
 
-    For one site or a few: the series found become columns.
+    `series` and `attributes` name the columns wanted. Without, those found become columns,
+    `most` at most: for one site or a few. Of repeated rows the one written last counts.
     """
-    name = F.concat_ws("_", "ts_id", "parameter_cd")
-    names = [r[0] for r in long.select(name).distinct().orderBy(name).collect()]
+    name = F.concat_ws("_", "ts_id", "parameter_cd", "statistic_cd")
+    if series is None:
+        series = _found(long.select(name.alias("name")), most)
+    if attributes is None:
+        attributes = _found(long.select(F.explode(F.map_keys("attributes")).alias("name")), most)
     cells = long.withColumn("series", name)
     index = ["site_no", "datetime", "tz_cd"]
-    pivoted = wide_observations(
-        cells, index, "series", names, F.first(F.struct("value", "qualifier"), ignorenulls=True)
-    )
-    return pivoted.select(
-        *index,
+    place = F.struct(*(c for c in ("file", "block", "line") if c in long.columns), "value", "raw", "qualifier")
+    cell = F.max_by(F.struct("value", "qualifier"), place)
+    pivoted = wide_observations(cells, index, "series", series, cell)
+    last = F.max_by("attributes", place).alias("attributes")
+    named = long.groupBy(*index).agg(last)
+    same = [pivoted[c].eqNullSafe(named[c]) for c in index]
+    joined = pivoted.join(named, same)
+    return joined.select(
+        *(pivoted[c] for c in index),
+        *(named["attributes"][a].alias(a) for a in attributes),
         *(
             column
-            for n in names
-            for column in (F.col(f"`{n}`.value").alias(n), F.col(f"`{n}`.qualifier").alias(f"{n}_cd"))
+            for n in series
+            for column in (pivoted[n]["value"].alias(n), pivoted[n]["qualifier"].alias(f"{n}_cd"))
         ),
     )
+
+
+def _found(names: DataFrame, most: int) -> list[str]:
+    found = [r[0] for r in names.distinct().orderBy("name").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} columns; name the wanted ones")
+    return found

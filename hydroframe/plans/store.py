@@ -4,12 +4,16 @@ Layout of one dataset under `root/<dataset>`:
 
     data/gen=<id>/period=<p>/bucket=<b>/*.parquet   rows, never changed once written
     marks/<id>                                      key, fetched_at, high_water
-    commits/version=<n>                             which generation holds each (period, bucket)
+    commits/<n>-<id>                                which generation holds each (period, bucket)
+    aside/<id>                                      rows that cannot be stored, as fetched
 
 A refresh rewrites only the (period, bucket) partitions its rows fall into and then
 commits a new version; readers keep the version they started with. Buckets are hashes
 of the key, so that a read by key opens one bucket however many keys there are. What
 falls into one partition is written by several tasks when it is large.
+
+A commit is a folder of its own, and counts once its writer has marked it complete. The
+newest is told by the folders' names; what a writer left that died is never looked at.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from hydroframe.operators.observations import in_window, moments
 from hydroframe.operators.refresh import freshness, refetch_since
 from hydroframe.operators.upsert import upsert_agg
 
@@ -34,6 +39,7 @@ PLACE_FIELDS = [StructField("period", StringType()), StructField("bucket", LongT
 MANIFEST_SCHEMA = "period string, bucket bigint, gen string"
 # A commit holds its manifest and one row with the last columns.
 COMMIT_SCHEMA = f"{MANIFEST_SCHEMA}, marks string, fields string, buckets int"
+Bound = str | datetime | None
 ALL_TIMES = "all"
 FEW_KEYS = 1000
 
@@ -44,7 +50,8 @@ class Dataset:
 
     With `identity` columns a refresh is a cell-level upsert, see `upsert_agg` for
     `order` and `present`; without, it replaces all rows of the refreshed keys.
-    `time` splits the storage by `period`, too, a month unless a pattern says otherwise.
+    `time` splits the storage by `period`, too, a month unless a pattern says otherwise;
+    the names a pattern gives must sort as the times do.
     """
 
     name: str
@@ -108,23 +115,31 @@ class Store:
         self,
         dataset: Dataset,
         keys: DataFrame | None = None,
-        start: str | None = None,
-        end: str | None = None,
+        start: Bound = None,
+        end: Bound = None,
     ) -> DataFrame:
-        """The committed rows, opening only the buckets of `keys` and the periods asked for."""
+        """The committed rows of the closed window, opening only the buckets of `keys` and the
+        periods asked for. Bounds are those of `in_window`: periods and condition come from
+        the same moments."""
         version = self._latest(dataset)
         places = version.manifest.items()
         if dataset.time and (start or end):
+            start, end = moments(self.spark, start, end)
             # Rows without a time lie under ALL_TIMES and are in no window.
-            first = (start or "")[: len(dataset.period)]
-            last = (end or "9999-99-99")[: len(dataset.period)]
-            places = [(p, gen) for p, gen in places if first <= p[0] <= last]
+            first, last = self._periods_of(dataset, start, end)
+            places = [
+                (p, gen)
+                for p, gen in places
+                if p[0] != ALL_TIMES and (first or p[0]) <= p[0] <= (last or p[0])
+            ]
         if keys is not None:
             wanted = self._buckets_of(dataset, keys, version.buckets)
             places = [(p, gen) for p, gen in places if p[1] in wanted]
         rows = self._rows(dataset, version.fields, dict(places))
         if keys is not None:
             rows = self._of_keys(rows, keys, dataset.key)
+        if dataset.time and (start or end):
+            rows = in_window(rows, start, end, dataset.time)
         return rows.drop(*PLACE)
 
     def marks(self, dataset: Dataset) -> DataFrame:
@@ -150,8 +165,8 @@ class Store:
         keys: DataFrame,
         fetch: Callable[[DataFrame], DataFrame],
         now: Column,
-        start: str | None = None,
-        end: str | None = None,
+        start: Bound = None,
+        end: Bound = None,
     ) -> DataFrame:
         """Rows of the requested keys, after fetching those that are absent or stale.
 
@@ -170,8 +185,9 @@ class Store:
     ) -> int:
         """Bring fetched rows of `keys` into the dataset; returns the new version.
 
-        Without `keys` the keys of the rows count as fetched. The fetched rows are computed once, into a generation of their own. Partitions
-        that held nothing before are committed as they are.
+        Without `keys` the keys of the rows count as fetched. The fetched rows are computed
+        once, into a generation of their own. Partitions that held nothing before are
+        committed as they are.
         """
         before = self._latest(dataset)
         stored = [f for f in rows.schema if f.name not in dataset.order]
@@ -216,13 +232,24 @@ class Store:
 
         def wrap(fetch: Callable[[DataFrame], DataFrame]) -> Callable[..., DataFrame]:
             @functools.wraps(fetch)
-            def read(keys: DataFrame, now: Column, **window: str) -> DataFrame:
+            def read(keys: DataFrame, now: Column, **window: Bound) -> DataFrame:
                 return self.materialize(dataset, keys, fetch, now, **window)
 
             return read
 
         return wrap
 
+    def set_aside(self, name: str, rows: DataFrame) -> None:
+        """Keep rows that belong to a dataset but cannot be stored in it."""
+        rows.write.parquet(f"{self.root}/{name}/aside/{uuid.uuid4().hex}")
+
+    def aside(self, name: str) -> DataFrame | None:
+        """All rows set aside for a dataset; None if there never were any."""
+        folders = self._complete_folders(f"{self.root}/{name}/aside")
+        if not folders:
+            return None
+        return self.spark.read.option("mergeSchema", "true").parquet(*folders)
+
     # -- parts -------------------------------------------------------------------
 
     def _folder(self, dataset: Dataset, kind: str) -> str:
@@ -231,6 +258,39 @@ class Store:
     def _bucket(self, dataset: Dataset, buckets: int) -> Column:
         return F.pmod(F.xxhash64(dataset.key), F.lit(buckets)).cast("bigint")
 
+    def _periods_of(self, dataset: Dataset, *bounds: datetime | None) -> list[str | None]:
+        """Names of the periods that moments lie in."""
+        named = [
+            F.date_format(F.lit(b).cast("timestamp_ntz"), dataset.period).cast("string").alias(f"p{i}")
+            for i, b in enumerate(bounds)
+        ]
+        return list(self.spark.range(1).select(*named).first())
+
+    def _complete_folders(self, folder: str) -> list[str]:
+        """Folders inside `folder` whose writer has finished."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            return []
+        found = [status.getPath() for status in system.listStatus(path) if status.isDirectory()]
+        done = lambda p: system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return sorted(p.toString() for p in found if done(p))
+
+    def _newest_commit(self, dataset: Dataset) -> tuple[int, str] | None:
+        """Number and folder of the newest complete commit, by names alone; of two with the
+        same number the one of the smaller name, for all readers alike."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(dataset, "commits"))
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            return None
+        names = [s.getPath().getName() for s in system.listStatus(path)]
+        numbered = [(int(m[1]), n) for n in names if (m := re.fullmatch(r"(\d+)-[0-9a-f]+", n))]
+        for number, name in sorted(numbered, key=lambda x: (-x[0], x[1])):
+            folder = f"{self._folder(dataset, 'commits')}/{name}"
+            if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")):
+                return number, folder
+        return None
+
     def _buckets_of(self, dataset: Dataset, keys: DataFrame, buckets: int) -> set[int]:
         return {row[0] for row in keys.select(self._bucket(dataset, buckets)).distinct().collect()}
 
@@ -309,22 +369,23 @@ class Store:
         return path
 
     def _write_commit(self, dataset: Dataset, version: Version, marks: str) -> None:
-        """Fails if another writer committed the same version before."""
+        """Fails if another writer has committed the same version."""
         rows = [(*place, gen, None, None, None) for place, gen in version.manifest.items()]
         rows.append((None, None, None, marks, version.fields.json(), version.buckets))
         commit = self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1)
-        commit.write.parquet(f"{self._folder(dataset, 'commits')}/version={version.number}")
+        before = self._newest_commit(dataset)
+        folder = f"{self._folder(dataset, 'commits')}/{version.number}-{uuid.uuid4().hex}"
+        if before is None or before[0] < version.number:
+            commit.write.parquet(folder)
+            before = self._newest_commit(dataset)
+        if before[1] != folder:
+            raise ValueError(f"{dataset.name}: version {version.number} already exists")
 
     def _latest(self, dataset: Dataset) -> Version:
         key = dataset.key
         marks_schema = f"{key} string, fetched_at timestamp_ntz, high_water timestamp_ntz"
-        try:
-            commits = self.spark.read.schema(f"{COMMIT_SCHEMA}, version bigint").parquet(
-                self._folder(dataset, "commits")
-            )
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        newest = self._newest_commit(dataset)
+        if newest is None:
             return Version(
                 0,
                 {},
@@ -332,8 +393,8 @@ class Store:
                 StructType([StructField(key, StringType())]),
                 self.buckets,
             )
-        number = commits.agg(F.max("version")).first()[0]
-        rows = commits.where(F.col("version") == number).collect()
+        number, folder = newest
+        rows = self.spark.read.schema(COMMIT_SCHEMA).parquet(folder).collect()
         extra = next(r for r in rows if r.gen is None)
         return Version(
             number,

@@ -8,26 +8,33 @@ Files up to `whole_file_limit` bytes are read as one row each. Header and data
 lines then sit in the same row and are taken apart without join or shuffle.
 Larger files are read line by line in many splits; their data lines are joined
 with their headers, which are broadcast once their measured size is small.
+
+One rule holds in every layout and however files are split. A comment begins with `#`,
+blanks before it allowed; a line of blanks is nothing; the first other line is the
+header, the second the type row, and a line that repeats either word for word is no data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+import uuid
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions.cells import known_code, typed_cell
-from hydroframe.session import checkpointed
+from hydroframe.session import shared_folder
 
 WHOLE_FILE_LIMIT = 32 << 20
 BROADCAST_LIMIT = 64 << 20
 MOST_COLUMNS = 2000
+# The header pass: bytes of a file read at a time, files open and files held at a time.
+HEAD_BYTES, HEAD_THREADS, HEAD_FILES = 1 << 16, 16, 1000
 LINE_COLUMNS = "file string, block bigint, line bigint, value string"
-LINE_ARROW_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string())
 
 
 def split_lines(text: Column) -> Column:
@@ -49,6 +56,11 @@ def is_content(line: Column) -> Column:
     return ~F.ltrim(line).substr(1, 1).isin("", "#")
 
 
+def is_content_line(line: str) -> bool:
+    """`is_content` of one line in Python, for the few lines a file or response begins with."""
+    return line.lstrip(" ")[:1] not in ("", "#")
+
+
 def fits_header() -> Column:
     """At most `width` cells; cheaper than splitting the line a second time."""
     return F.expr(r"substring_index(value, '\t', width) <=> value")
@@ -63,27 +75,28 @@ def position_in(names: Column, name: str | Column) -> Column:
 class RdbText:
     """Station text in one or both of its two layouts.
 
-    documents: (file, value), one row per whole file.
+    documents: (file, value), one row per whole file; with `block` a row is one piece of
+        a file, which begins with the file's header and type row.
     lines: (file, block, line, value), ordered by (block, line) within a file.
     head_lines: lines of the same form that hold every comment, header and type line.
-    in_splits: `lines` are numbered per split, so that their numbers cannot be compared
-        with those of `head_lines`; header and type line are told by their text.
     broadcast_heads: the headers of `lines` were measured and fit a broadcast.
+    carried: further columns of documents and lines that every row keeps.
     """
 
     documents: DataFrame | None = None
     lines: DataFrame | None = None
     head_lines: DataFrame | None = None
-    in_splits: bool = False
     broadcast_heads: bool = False
+    carried: tuple[str, ...] = ()
 
     def heads(self) -> DataFrame:
         """(file, names, codes) of every file that has a header."""
         parts = []
         if self.documents is not None:
-            parts.append(_document_heads(self.documents).drop("content").where("names is not null"))
+            heads = _document_heads(self.documents).where("names is not null")
+            parts.append(heads.select("file", "names", "codes"))
         if self.lines is not None:
-            parts.append(line_heads(self.head_lines).drop("type_line"))
+            parts.append(line_heads(self.head_lines))
         return _stacked(parts)
 
     def columns(self) -> dict[str, str]:
@@ -96,8 +109,8 @@ class RdbText:
             )
         return dict(zip(found[0].names, found[0].codes)) if found else {}
 
-    def merged_columns(self) -> dict[str, str]:
-        """Columns of all headers together; an error if one has two types."""
+    def merged_columns(self, most: int = MOST_COLUMNS) -> dict[str, str]:
+        """Columns of all headers together, `most` at most; an error if one has two types."""
         cells = F.posexplode(F.arrays_zip("names", "codes")).alias("at", "column")
         found = (
             self.heads()
@@ -105,11 +118,11 @@ class RdbText:
             .groupBy(F.col("column.names").alias("name"))
             .agg(F.min("at").alias("at"), F.collect_set(F.right("column.codes", F.lit(1))).alias("codes"))
             .orderBy("at", "name")
-            .limit(MOST_COLUMNS + 1)
+            .limit(most + 1)
             .collect()
         )
-        if len(found) > MOST_COLUMNS:
-            raise ValueError("too many columns for one table; read observations in long form")
+        if len(found) > most:
+            raise ValueError(f"more than {most} columns; read observations in long form")
         for row in found:
             if len(row.codes) > 1:
                 raise ValueError(f"{row.name} has several types: {sorted(row.codes)}")
@@ -170,22 +183,15 @@ class RdbText:
 
     def _line_rows(self, head_columns: Iterable[Column]) -> DataFrame:
         texts = [F.array_join(c, "\t").alias(f"{c}_text") for c in ("names", "codes")]
-        heads = line_heads(self.head_lines)
-        if self.in_splits:
-            # A split may be cut otherwise when the files are read again.
-            heads = heads.select("file", *texts, _checked_width(), *head_columns)
-            repeats_head = F.col("value").isin(F.col("names_text"), F.col("codes_text"))
-            after_head = (F.col("block") > 0) | ~repeats_head
-        else:
-            heads = heads.select("file", "type_line", _checked_width(), *head_columns)
-            after_head = F.col("line") > F.col("type_line")
+        heads = line_heads(self.head_lines).select("file", *texts, _checked_width(), *head_columns)
         if self.broadcast_heads:
             heads = F.broadcast(heads)
+        value = F.col("value")
+        repeats_head = value.isin(F.col("names_text"), F.col("codes_text"))
         # One condition on both sides stays at the join; split in two, the part on the
         # line would be pushed below whatever computes the line and repeat it.
-        is_data = F.when(after_head, is_content(F.col("value"))).otherwise(False)
-        rows = self.lines.join(heads, "file").where(is_data)
-        return rows.drop("type_line", "names_text", "codes_text")
+        is_data = F.when(repeats_head, False).otherwise(is_content(value))
+        return self.lines.join(heads, "file").where(is_data).drop("names_text", "codes_text")
 
 
 def _stacked(parts: list[DataFrame]) -> DataFrame:
@@ -211,33 +217,36 @@ def _checked_width() -> Column:
 
 
 def _document_heads(documents: DataFrame) -> DataFrame:
+    kept = [c for c in documents.columns if c != "value"]
     content = F.filter(split_lines(F.col("value")), is_content)
-    return (
-        documents.select("file", content.alias("content"))
-        .select(
-            "file",
-            "content",
-            F.split(F.get("content", F.lit(0)), "\t").alias("names"),
-            F.split(F.get("content", F.lit(1)), "\t").alias("codes"),
-        )
+    return documents.select(*kept, content.alias("content")).select(
+        *kept,
+        "content",
+        F.get("content", F.lit(0)).alias("names_text"),
+        F.get("content", F.lit(1)).alias("codes_text"),
+        F.split(F.get("content", F.lit(0)), "\t").alias("names"),
+        F.split(F.get("content", F.lit(1)), "\t").alias("codes"),
     )
 
 
 def _document_rows(documents: DataFrame, head_columns: Iterable[Column]) -> DataFrame:
-    heads = _document_heads(documents).select("file", "content", _checked_width(), *head_columns)
-    carried = [c for c in heads.columns if c not in ("file", "content")]
+    kept = [c for c in documents.columns if c not in ("file", "block", "value")]
+    block = F.col("block") if "block" in documents.columns else F.lit(0)
+    heads = _document_heads(documents).select(
+        "file", block.cast("bigint").alias("block"), *kept, "content", "names_text", "codes_text",
+        _checked_width(), *head_columns,
+    )
     body = F.slice("content", 3, F.size("content"))
-    return heads.select("file", F.posexplode(body).alias("at", "value"), *carried).select(
-        "file",
-        F.lit(0).cast("bigint").alias("block"),
-        F.col("at").cast("bigint").alias("line"),
-        "value",
-        *carried,
-    )
+    carried = [c for c in heads.columns if c not in ("file", "block", "content")]
+    rows = heads.select("file", "block", F.posexplode(body).alias("at", "value"), *carried)
+    return rows.where(~F.col("value").isin(F.col("names_text"), F.col("codes_text"))).select(
+        "file", "block", F.col("at").cast("bigint").alias("line"), "value",
+        *(c for c in carried if c not in ("names_text", "codes_text")),
+    )
 
 
 def line_heads(head_lines: DataFrame) -> DataFrame:
-    """(file, type_line, names, codes): the first two content lines of each file.
+    """(file, names, codes): the first two content lines of each file.
 
     The row-number limit is applied before the shuffle, too: each task sends at most
     two lines per file.
@@ -250,95 +259,107 @@ def line_heads(head_lines: DataFrame) -> DataFrame:
     )
     header, types = F.col("nth") == 1, F.col("nth") == 2
     return first_two.groupBy("file").agg(
-        F.max(F.when(types, F.col("line"))).alias("type_line"),
         F.split(F.max(F.when(header, F.col("value"))), "\t").alias("names"),
         F.split(F.max(F.when(types, F.col("value"))), "\t").alias("codes"),
     )
 
 
+def heads_fit(heads: DataFrame) -> bool:
+    """Whether headers fit a broadcast, by an upper bound of what is built from them: texts,
+    names, codes and the places of each series."""
+    text = F.octet_length(F.concat_ws("\t", "file", F.array_join("names", "\t"), F.array_join("codes", "\t")))
+    size = F.lit(256) + text * 3 + F.coalesce(F.size("names"), F.lit(0)) * 192
+    return (heads.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_LIMIT
+
+
 def scan(
     spark: SparkSession,
     paths: str | list[str],
     whole_file_limit: int = WHOLE_FILE_LIMIT,
+    arrival: str | None = None,
     **options: str,
 ) -> RdbText:
     """Station files under `paths`, each read in the layout that suits its size.
 
     The size condition is on file metadata, so either scan opens its own files only. A
-    compressed file counts by its compressed size: lower the limit for those.
+    compressed file counts by its compressed size: lower the limit for those. `arrival`
+    names a column for the files' modification time, which every row then carries.
+
+    The headers of large files are read by a pass of their own, which stops behind the type
+    row: it reads as much as files have leading lines, not as much as they have data,
+    wherever the header stands.
     """
     name, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    carried = (arrival,) if arrival else ()
+    extra = [F.col("_metadata.file_modification_time").alias(arrival)] if arrival else []
     documents = (
         spark.read.options(**options)
         .text(paths, wholetext=True)
         .where(size <= whole_file_limit)
-        .select(name.alias("file"), "value")
+        .select(name.alias("file"), *extra, "value")
     )
-    listing = spark.read.format("binaryFile").options(**options).load(paths).select("length")
+    listing = spark.read.format("binaryFile").options(**options).load(paths)
     if listing.where(F.col("length") > whole_file_limit).isEmpty():
-        return RdbText(documents=documents)
-    lines = (
-        spark.read.options(**options)
-        .text(paths)
-        .where(size > whole_file_limit)
-        .select(
-            name.alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-            "value",
-        )
-    )
-    first_split = lines.where("block = 0").select("file", "value")
-    head_lines = checkpointed(first_split.mapInArrow(_leading_lines, LINE_COLUMNS))
-    heads = line_heads(head_lines).select(
-        "file",
-        F.octet_length(F.concat(F.array_join("names", "\t"), F.lit("\t"), "file")).alias("size"),
+        return RdbText(documents=documents, carried=carried)
+    text = spark.read.options(**options).text(paths).where(size > whole_file_limit)
+    lines = text.select(
+        name.alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        *extra,
+        "value",
     )
-    found = heads.agg(F.count("file"), F.sum("size")).first()
-    # A file whose header does not lie in its first split must fail, not vanish.
-    if found[0] < listing.where(F.col("length") > whole_file_limit).count():
-        content = lines.where(is_content(F.col("value"))).select("file").distinct()
-        lost = content.join(heads, "file", "left_anti").take(1)
-        if lost:
-            raise ValueError(f"no header in the first split of {lost[0].file}")
+    large = listing.where(F.col("length") > whole_file_limit).select(name.alias("file"), "path")
+    head_lines = _landed_heads(spark, large)
     return RdbText(
         documents=documents,
         lines=lines,
         head_lines=head_lines,
-        in_splits=True,
-        broadcast_heads=2 * (found[1] or 0) <= BROADCAST_LIMIT,
+        broadcast_heads=heads_fit(line_heads(head_lines)),
+        carried=carried,
     )
 
 
-def _leading_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The comments, header and type line each file starts with, numbered from 0.
+def _landed_heads(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """LINE_COLUMNS of the lines that files (file, path) begin with, as a table in the shared folder.
 
-    A file's first split arrives in order and in one piece; behind the type line its
-    rows are skipped unread.
+    Spark's readers cannot be stopped inside a split, so the driver opens the files, many at
+    a time, and reads their beginnings only. It holds HEAD_FILES of them at once.
     """
-    current, number, content = None, 0, 0
-    for batch in batches:
-        files = batch.column(0).dictionary_encode()
-        codes = files.indices.to_numpy()
-        starts = np.flatnonzero(np.diff(codes, prepend=-1))
-        held = []
-        for start, end in zip(starts, [*starts[1:], len(codes)]):
-            file = files.dictionary[int(codes[start])].as_py()
-            if file != current:
-                current, number, content = file, 0, 0
-            for value in batch.column(1).slice(start, end - start):
+    folder = f"{shared_folder(spark)}/heads-{uuid.uuid4().hex}"
+    names = iter(files.toLocalIterator())
+    with ThreadPoolExecutor(HEAD_THREADS) as pool:
+        while some := list(islice(names, HEAD_FILES)):
+            found = pool.map(lambda row: _leading_lines(spark, row.path), some)
+            rows = [(row.file, 0, at, line) for row, lines in zip(some, found) for at, line in enumerate(lines)]
+            spark.createDataFrame(rows, LINE_COLUMNS).write.mode("append").parquet(folder)
+    return spark.read.schema(LINE_COLUMNS).parquet(folder)
+
+
+def _leading_lines(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a file up to its type row, or all if it has none."""
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(settings).open(place)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(settings).getCodec(place)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    found, rest, content = [], b"", 0
+    try:
+        while content < 2:
+            data = bytes(stream.readNBytes(HEAD_BYTES))
+            if not data and not rest:
+                break
+            # A carriage return at the end may be half a line end.
+            *whole, rest = re.split(rb"\r\n|\n|\r(?!$)", rest + data) if data else [rest, b""]
+            for line in whole:
+                found.append(line.decode("utf-8", "replace"))
+                content += is_content_line(found[-1])
                 if content == 2:
                     break
-                line = value.as_py()
-                content += line.lstrip(" ")[:1] not in ("", "#")
-                held.append((file, 0, number, line))
-                number += 1
-        if held:
-            columns = zip(*held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, LINE_ARROW_TYPES)],
-                names=["file", "block", "line", "value"],
-            )
+    finally:
+        stream.close()
+    return found
 
 
 def read_rdb(

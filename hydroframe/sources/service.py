@@ -1,11 +1,12 @@
-"""Responses of the station service as lines, fetched by the executors.
+"""Responses of the station service, fetched by the executors.
 
-Two entries share one reader. `fetch_lines` takes a request plan of any size; its
+Two entries share one reader. `fetch_text` takes a request plan of any size; its
 addresses never pass through the driver. The `station_service` data source takes a
 list of addresses as an option, one input partition each.
 
-A response is read once, in order, and landed before it is parsed (`landed`), so that
-neither a retry of a later stage nor the header pass asks the service again.
+A response becomes pieces of whole lines, each led by the response's own header and type
+row, so that its lines are taken apart by Spark without a join. It is read once, in order,
+and landed before it is parsed (`landed`): a retry of a later stage asks nobody again.
 """
 
 from __future__ import annotations
@@ -19,60 +20,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from hydroframe.sources.rdb import BROADCAST_LIMIT, RdbText
+from hydroframe.sources.rdb import RdbText, is_content_line
 
-LINE_SCHEMA = "file string, block bigint, line bigint, value string, kind string"
-ARROW_SCHEMA = pa.schema(
-    [("file", pa.string()), ("block", pa.int64()), ("line", pa.int64()),
-     ("value", pa.string()), ("kind", pa.string())]
-)
-BATCH_LINES = 8192
+TEXT_SCHEMA = "file string, block bigint, value string"
+ARROW_SCHEMA = pa.schema([("file", pa.string()), ("block", pa.int64()), ("value", pa.string())])
+# Characters of a piece, but for its header and the end of its last line.
+PIECE = 1 << 20
 TIMEOUT_SECONDS = 600
 
 
-def response_lines(url: str) -> Iterator[tuple[str, int, int, str, str]]:
-    """Non-blank lines of one response; the first two content lines are its head."""
-    content = 0
+def response_pieces(url: str) -> Iterator[tuple[int, str]]:
+    """Number and text of each piece; the first has the leading comments, too."""
     with urlopen(url, timeout=TIMEOUT_SECONDS) as response:
         text = io.TextIOWrapper(response, encoding="utf-8", errors="replace")
-        for number, line in enumerate(text):
-            line = line.rstrip("\n")
-            if line.startswith("#"):
-                kind = "comment"
-            elif not line.strip(" "):
-                continue
-            else:
-                content += 1
-                kind = "head" if content <= 2 else "body"
-            yield url, 0, number, line, kind
-
-
-def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == BATCH_LINES:
-            yield _batch(held)
-            held = []
-    if held:
-        yield _batch(held)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(column, field.type) for column, field in zip(zip(*rows), ARROW_SCHEMA)]
+        leading, head = [], []
+        for line in text:
+            leading.append(line)
+            if is_content_line(line.rstrip("\n")):
+                head.append(line)
+                if len(head) == 2:
+                    break
+        begin, number = "".join(leading), 0
+        while (data := text.read(PIECE)) or not number:
+            yield number, begin + data + text.readline()
+            begin, number = "".join(head), number + 1
+
+
+def _batch(file: str, number: int, value: str) -> pa.RecordBatch:
+    columns = [pa.array([x], field.type) for x, field in zip((file, number, value), ARROW_SCHEMA)]
     return pa.RecordBatch.from_arrays(columns, schema=ARROW_SCHEMA)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for url, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield from _batches((name, *rest) for _, *rest in response_lines(url))
+            for number, value in response_pieces(url):
+                yield _batch(name, number, value)
 
 
-def fetch_lines(
+def fetch_text(
     plan: DataFrame, url: str = "url", name: str | None = None, tasks: int | None = None
 ) -> DataFrame:
-    """Lines of every planned response; `tasks` requests run at a time.
+    """(file, block, value): every planned response in pieces; `tasks` requests run at a time.
 
     `file` is the address, or the plan's column `name` if that is one per request.
     """
@@ -80,29 +69,18 @@ def fetch_lines(
     return (
         plan.select(F.col(url).cast("string"), F.col(name or url).cast("string").alias("name"))
         .repartition(tasks)
-        .mapInArrow(_fetch, LINE_SCHEMA)
+        .mapInArrow(_fetch, TEXT_SCHEMA)
     )
 
 
-def landed(lines: DataFrame, folder: str) -> RdbText:
-    """Write fetched lines to `folder`, split by kind, and return them as station text.
-
-    The header pass then opens the small `head` and `comment` parts only.
-    """
-    lines.write.partitionBy("kind").parquet(folder)
-    return read_landed(lines.sparkSession, folder)
+def landed(pieces: DataFrame, folder: str) -> RdbText:
+    """Write fetched pieces to `folder` and return them as station text."""
+    pieces.write.parquet(folder)
+    return read_landed(pieces.sparkSession, folder)
 
 
 def read_landed(spark: SparkSession, folder: str) -> RdbText:
-    # kind is a column of the schema, so that an empty landing can be read too.
-    stored = spark.read.schema(LINE_SCHEMA).parquet(folder)
-    heads = stored.where("kind = 'head'")
-    size = heads.agg(F.sum(F.octet_length("file") + F.octet_length("value"))).first()[0] or 0
-    return RdbText(
-        lines=stored.where("kind = 'body'").drop("kind"),
-        head_lines=stored.where("kind <> 'body'").drop("kind"),
-        broadcast_heads=size <= BROADCAST_LIMIT,
-    )
+    return RdbText(documents=spark.read.schema(TEXT_SCHEMA).parquet(folder))
 
 
 def fetch_pages(plan: DataFrame, url: str = "url", tasks: int | None = None) -> DataFrame:
@@ -131,7 +109,7 @@ class StationService(DataSource):
         return "station_service"
 
     def schema(self) -> str:
-        return LINE_SCHEMA
+        return TEXT_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return StationServiceReader(self.options.get("urls", ""))
@@ -150,7 +128,8 @@ class StationServiceReader(DataSourceReader):
         return [Request(url) for url in self.urls]
 
     def read(self, partition: Request) -> Iterator[pa.RecordBatch]:
-        return _batches(response_lines(partition.url))
+        for number, value in response_pieces(partition.url):
+            yield _batch(partition.url, number, value)
 
 
 def register(spark: SparkSession) -> None:

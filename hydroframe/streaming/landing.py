@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from hydroframe.operators.observations import long_observations
+from hydroframe.operators.observations import long_observations, timeless
 from hydroframe.plans.store import Dataset, Store
 from hydroframe.sources.rdb import scan
 
 MAX_FILES = 10_000
+# Fixed schema of Spark's binaryFile source.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+ARRIVED = "arrived"
+
+
+def literal_path(path: str) -> str:
+    """The path as a pattern that only it fits."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def stream_upsert(
@@ -27,16 +38,28 @@ def stream_upsert(
     batch reader, whole files of one header each. The driver sees at most `max_files`
     names at a time. Repeating a micro-batch after a failure changes nothing: the
     upsert is idempotent.
+
+    Files are taken in order of their modification times, and within a micro-batch the
+    rows of the later file win: the result does not depend on `max_files`, as long as
+    files that hold the same cells differ in their times. Observations without a
+    readable time are set aside.
     """
+    ordered = replace(dataset, order=(ARRIVED, *dataset.order))
 
     def refresh(batch: DataFrame, _: int) -> None:
-        paths = [row.path for row in batch.select("path").collect()]
-        if paths:
-            store.commit(dataset, None, long_observations(scan(spark, paths)), now)
+        # Spark lists a file more than once where another's name looks like a pattern.
+        paths = [literal_path(row.path) for row in batch.select("path").distinct().collect()]
+        if not paths:
+            return
+        long = long_observations(scan(spark, paths, arrival=ARRIVED))
+        lost = timeless(long)
+        if not lost.isEmpty():
+            store.set_aside(f"unplaced-{dataset.name}", lost)
+        store.commit(ordered, None, long.where("datetime is not null").drop("raw_time"), now)
 
     arrivals = (
         spark.readStream.format("binaryFile")
-        .schema(spark.read.format("binaryFile").load(landing).schema)
+        .schema(FILE_SCHEMA)
         .option("maxFilesPerTrigger", max_files)
         .load(landing)
         .select("path")

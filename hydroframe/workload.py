@@ -127,10 +127,14 @@ def rdb_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RdbText(documents=documents).table(dict(title.values()))
 
 
-def parameter_line(number: str, code: str, text: str) -> Column:
+# The service's marker with room for longer codes.
+WIDE_MARKER = f"{MARKER.split()[0]}{' ' * 12}{MARKER.split()[1]}{' ' * 32}{MARKER.split()[2]}"
+
+
+def parameter_line(number: str, code: str, text: str, marker: str = MARKER) -> Column:
     """A line of a parameter table, its cells below the words of the marker."""
-    words = MARKER.split()
-    code_at, text_at = MARKER.index(words[1]), MARKER.index(words[2])
+    words = marker.split()
+    code_at, text_at = marker.index(words[1]), marker.index(words[2])
     return F.concat(
         F.lit("#   "),
         F.rpad(F.col(number).cast("string"), code_at, " "),
@@ -139,21 +143,20 @@ def parameter_line(number: str, code: str, text: str) -> Column:
     )
 
 
-@query("select p_brand file, cast(p_partkey as varchar) k, substring(p_type, 1, 9) b, p_name n from part")
+@query("select p_brand file, cast(p_partkey as varchar) k, p_type b, p_name n from part")
 def param_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as one comment header per brand, with noise before and behind the table."""
     part = load(spark, sf_dir, "part")
     files = part.select(F.col("p_brand").alias("file")).distinct()
-    line = F.col("p_partkey")
-    cut = part.withColumn("code", F.substring("p_type", 1, 9))
-    table = numbered_lines(cut, F.col("p_brand"), line, parameter_line("p_partkey", "code", "p_name"))
+    rendered = parameter_line("p_partkey", "p_type", "p_name", WIDE_MARKER)
+    table = numbered_lines(part, F.col("p_brand"), F.col("p_partkey"), rendered)
     # The closing lines come last whatever the number of parts.
     last = F.lit(2**62)
     ends = files.select("file", F.posexplode(F.array(F.lit("#"), F.lit("#   P  Provisional"))))
     after = numbered_lines(ends, F.col("file"), last + F.col("pos"), F.col("col"))
-    before = head_of(files, F.lit("# ---- WARNING ----"), F.lit("#"), F.lit(f"#   {MARKER}"))
+    before = head_of(files, F.lit("# ---- WARNING ----"), F.lit("#"), F.lit(f"#   {WIDE_MARKER}"))
     lines = before.unionByName(table).unionByName(after)
-    return parameter_table(RdbText(lines=lines, head_lines=lines)).select(
+    return parameter_table(RdbText(lines=lines, head_lines=lines), WIDE_MARKER).select(
         "file",
         F.col("TS_ID").alias("k"),
         F.col("Parameter").alias("b"),
@@ -293,6 +296,40 @@ def long_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+select cast(l_suppkey as varchar) site_no, l_shipdate datetime, '1' ts_id, '00060' parameter_cd,
+       '00003' statistic_cd, l_quantity as value, l_returnflag qualifier,
+       l_linestatus line_status, cast(l_linenumber as varchar) line_no
+from lineitem
+""")
+def observation_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with a statistic in the column's name and two columns that are no values."""
+    items = load(spark, sf_dir, "lineitem")
+    values = tabbed("l_suppkey", "l_shipdate", "l_linestatus", "l_quantity", "l_returnflag", "l_linenumber")
+    number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    body = numbered_lines(items, F.col("l_suppkey"), number, values)
+    head = head_of(
+        items.select(F.col("l_suppkey").cast("string").alias("file")).distinct(),
+        F.lit("site_no\tdatetime\tline_status\t1_00060_00003\t1_00060_00003_cd\tline_no"),
+        F.lit("15s\t20d\t10s\t14n\t10s\t5s"),
+    )
+    long = observations.long_observations(RdbText(lines=body, head_lines=head))
+    return long.select(
+        "site_no", "datetime", "ts_id", "parameter_cd", "statistic_cd", "value", "qualifier",
+        F.col("attributes")["line_status"].alias("line_status"), F.col("attributes")["line_no"].alias("line_no"),
+    )
+
+
+@query("""
+select cast(cid as integer) position, name,
+       case type when 'TIMESTAMP' then 'timestamp_ntz' when 'VARCHAR' then 'string' else lower(type) end as type
+from pragma_table_info('events')
+""")
+def schema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the events table."""
+    return stations.schema_table(load(spark, sf_dir, "events"))
+
+
 # -- observations ----------------------------------------------------------------
 
 

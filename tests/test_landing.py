@@ -1,5 +1,8 @@
 """The landing stream gives the same table as one batch."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from hydroframe.operators.observations import long_observations
@@ -45,8 +48,29 @@ def test_stream_equals_batch(spark, tmp_path):
 
     batch = Store(spark, str(tmp_path / "batch"))
     first = scan(spark, [str(landing / n) for n in ("a.rdb", "b.rdb", "c.rdb")])
-    batch.commit(OBSERVATIONS, None, long_observations(first), now)
-    batch.commit(OBSERVATIONS, None, long_observations(scan(spark, str(landing / "d.rdb"))), now)
+    batch.commit(OBSERVATIONS, None, long_observations(first).drop("raw_time"), now)
+    second_file = long_observations(scan(spark, str(landing / "d.rdb")))
+    batch.commit(OBSERVATIONS, None, second_file.drop("raw_time"), now)
     assert rows_of(streamed) == rows_of(batch)
     marks = {r.site_no: str(r.high_water) for r in streamed.marks(OBSERVATIONS).collect()}
     assert marks == {"01": "2021-10-03 00:00:00", "02": "2021-10-01 00:00:00"}
+
+
+@pytest.mark.parametrize("max_files", [1, 2, 10])
+def test_the_result_does_not_depend_on_the_batch_size(spark, tmp_path, max_files):
+    """Overlapping files of one site: the later one wins, whatever the names and batches."""
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    names = ["b.rdb", "a [1].rdb", "c {x}*.rdb", "a.rdb"]
+    for n, name in enumerate(names):
+        file_of(landing, name, "01", "11_00095", f"2021-10-01\tPST\t{n}\tP", f"2021-10-0{n + 2}\tPST\t{n}\tP")
+        os.utime(landing / name, (1_600_000_000 + 60 * n,) * 2)
+    file_of(landing, "z.rdb", "02", "11_00095", "soon\tPST\t1\tP", "2021-10-01\tPST\t8\tP")
+    store = Store(spark, str(tmp_path / "store"))
+    now = F.lit("2021-11-03").cast("timestamp_ntz")
+    stream_upsert(
+        spark, str(landing), store, OBSERVATIONS, now, str(tmp_path / "state"), max_files=max_files
+    ).awaitTermination()
+    got = sorted((r.site_no, r.datetime.day, r.value) for r in store.read(OBSERVATIONS).collect())
+    assert got == [("01", 1, 3.0), ("01", 2, 0.0), ("01", 3, 1.0), ("01", 4, 2.0), ("01", 5, 3.0), ("02", 1, 8.0)]
+    assert [r.raw_time for r in store.aside("unplaced-observations").collect()] == ["soon"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hydroframe.functions.cells import number_cell
 from hydroframe.operators import observations
 from hydroframe.sources import rdb
+from hydroframe.session import settings
 from hydroframe.sources.rdb import read_rdb, scan
 
 STATIONS = (
@@ -179,16 +180,21 @@ def test_splits_may_change_between_header_and_data_pass(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-def test_a_header_beyond_the_first_split_fails(spark, tmp_path):
-    put(tmp_path, a="# c\n" * 20_000 + STATIONS)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", 8 << 10)
-    spark.conf.set("spark.sql.files.openCostInBytes", 1)
-    try:
-        with pytest.raises(ValueError, match="no header in the first split"):
-            scan(spark, str(tmp_path), whole_file_limit=0)
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+@pytest.fixture(params=[8 << 10, 64 << 10, 128 << 20])
+def split_size(spark, request):
+    with settings(spark, spark__sql__files__maxPartitionBytes=request.param, spark__sql__files__openCostInBytes=1):
+        yield request.param
+
+
+def test_one_meaning_of_lines_at_any_size(spark, tmp_path, limit, split_size):
+    """A late header, indented comments, and headers and type rows repeated among the data."""
+    rows = [f"2021-10-01 00:{i % 60:02d}\tPST\t{i}\tP" for i in range(1500)]
+    text = values("01", "1_00010", rows)
+    late = "# c\n  # indented\n" * 6000 + text + "  # behind\n" + text + "\n   \n" + text
+    put(tmp_path, a=late, b="#\n \n", c=values("02", "2_00010", ["2021-10-01\tPST\t7\tP"]))
+    long = observations.long_observations(scan(spark, str(tmp_path), whole_file_limit=limit))
+    got = long.groupBy("site_no").agg(F.count("*"), F.sum("value")).collect()
+    assert sorted(map(tuple, got)) == [("01", 4500, 3.0 * sum(range(1500))), ("02", 1, 7.0)]
 
 
 def test_large_ids_stay_text(spark, tmp_path):

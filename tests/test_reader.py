@@ -1,10 +1,13 @@
 """The whole path on addresses of local files: fetch, land, store, refresh, read."""
 
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from hydroframe.operators.observations import long_observations, moments
+from hydroframe.operators.parameters import parameter_table
 from hydroframe.plans.reader import OBSERVATIONS, STATIONS, StationReader, as_wide
 from hydroframe.operators.upsert import parts_of, stacked_parts
 from hydroframe.plans.store import Dataset, Store
@@ -125,7 +128,8 @@ def test_history_is_refreshed_from_the_last_day(reader, answers):
     assert again.count() == 2
 
     wide = as_wide(rows.where("site_no = '01'"))
-    assert wide.columns == ["site_no", "datetime", "tz_cd", "16223_00095", "16223_00095_cd"]
+    assert wide.columns == ["site_no", "datetime", "tz_cd", "agency_cd", "16223_00095", "16223_00095_cd"]
+    assert {r.agency_cd for r in wide.collect()} == {"AG"}
     assert wide.count() == 4
 
 
@@ -212,9 +216,119 @@ def test_data_source(spark, answers):
     )
     df = spark.read.format("station_service").option("urls", urls).load()
     assert df.rdd.getNumPartitions() == 2
-    assert {r.kind: r["count"] for r in df.groupBy("kind").count().collect()} == {
-        "comment": 2, "head": 4, "body": 2,
+    rows = service.RdbText(documents=df).table({"site_no": "15s", "station_nm": "50s"})
+    assert sorted(map(tuple, rows.collect())) == [("01", "A"), ("02", "B")]
+
+
+def test_a_response_in_pieces(spark, answers, tmp_path, monkeypatch):
+    """Pieces end with lines, whatever their size, and carry the header themselves."""
+    rows = [f"2021-10-01 00:{i % 60:02d}\tPST\t{i}\tP" for i in range(500)]
+    answers.values("01", "", *rows)
+    url = answers.url + "/iv/?format=rdb,1.0&sites=01&siteStatus=all"
+    body = next((answers.folder / "iv").iterdir())
+    body.write_text(" # indented\n\n" + body.read_text())
+    for size in (1, 700, 1 << 20):
+        monkeypatch.setattr(service, "PIECE", size)
+        pieces = list(service.response_pieces(url))
+        frame = spark.createDataFrame([("f", n, v) for n, v in pieces], service.TEXT_SCHEMA)
+        text = service.landed(frame, str(tmp_path / f"landed{size}"))
+        got = long_observations(text).orderBy("block", "line").collect()
+        assert [r.value for r in got] == [float(i) for i in range(500)]
+        assert [r.Description for r in parameter_table(text).collect()] == ["Specific conductance"]
+        assert "Join" not in long_observations(text)._jdf.queryExecution().toString()
+
+
+BOUNDS = [None, "", "2021", "2021-9", "2021-9-1", "2021-09-01", "2021-10-05 12:00", "2021-9-30 23:59:59",
+          datetime(2021, 9, 5, 6), datetime(2021, 12, 31), "2022-1-1", "1999"]
+
+
+def test_stored_windows_lose_no_row(spark, reader, answers):
+    times = ["2021-01-01 00:00", "2021-09-01 00:00", "2021-09-05 06:00", "2021-09-30 23:59:59", "2021-10-05 12:00",
+             "2021-12-31 00:00", "2022-01-01 00:00", "2020-02-29 01:00"]
+    answers.values("01", "&startDT=1900-01-01", *(f"{t}\tPST\t{n}\tP" for n, t in enumerate(times)))
+    every = reader.read_station_data("01", now=DAY)
+    kept = [(r.datetime, r.value) for r in every.collect()]
+    for start in BOUNDS:
+        for end in BOUNDS:
+            low, high = moments(spark, start, end)
+            want = sorted((t, v) for t, v in kept if (low is None or t >= low) and (high is None or t <= high))
+            stored = reader.store.read(OBSERVATIONS, start=start, end=end)
+            assert sorted((r.datetime, r.value) for r in stored.collect()) == want, (start, end)
+
+
+def test_unreadable_times_and_rejected_lines_are_kept(reader, answers):
+    full = "&startDT=1900-01-01"
+    answers.values("01", full, "soon\tPST\t1\tP", "later\tPST\t2\tP", "2021-13-99\tPST\t3\tP", "2021-10-01\tPST\t4\tP",
+                   "2021-10-02\tPST\t5\tP\tsurplus")
+    assert [r.value for r in reader.read_station_data("01", now=DAY).collect()] == [4.0]
+    aside = reader.unplaced("observations").collect()
+    assert sorted((r.raw_time, r.raw) for r in aside) == [("2021-13-99", "3"), ("later", "2"), ("soon", "1")]
+    assert [r.value.split("\t")[-1] for r in reader.rejected("observations").collect()] == ["surplus"]
+    assert reader.rejected("stations") is None
+
+
+def test_yearly_dates_in_any_form_and_order(reader, answers):
+    for year in (2020, 2021):
+        rows = [f"{year}-09-01\tPST\t1\tP", f"{year}-10-15\tPST\t2\tP"]
+        answers.values("01", f"&startDT={year}-01-01&endDT={year}-12-31", *rows)
+    for dates in (("2021-9-1", "2020-10-15"), ("2020-10-15", datetime(2021, 9, 1))):
+        got = reader.read_station_data_by_year("01", *dates, DAY)
+        assert sorted(r.datetime for r in got.collect()) == [datetime(2020, 10, 15), datetime(2021, 9, 1)]
+
+
+def test_every_column_of_a_station_is_kept(reader, answers):
+    """Statistics in names, other columns as attributes, repeated rows: the last one counts."""
+    body = (
+        "agency_cd\tsite_no\tdatetime\ttz_cd\t1_00010_00003\t1_00010_00003_cd\t2_00060\t2_00060_cd\tnote\n"
+        "5s\t15s\t20d\t6s\t14n\t10s\t14n\t10s\t20s\n"
+        "AG\t01\t2021-10-01\tPST\t1\tP\t5\tA\t\nAG\t01\t2021-10-01\tPST\t2\tA\t6\tP\tclear\n"
+    )
+    (answers.folder / "iv" / "?format=rdb,1.0&sites=01&startDT=1900-01-01&siteStatus=all").write_text(body)
+    long = reader.read_entire_station_data_for("01")
+    assert {(r.ts_id, r.parameter_cd, r.statistic_cd) for r in long.collect()} == {
+        ("1", "00010", "00003"), ("2", "00060", None),
     }
+    wide = as_wide(long)
+    assert wide.columns[3:] == ["agency_cd", "note", "1_00010_00003", "1_00010_00003_cd", "2_00060", "2_00060_cd"]
+    assert tuple(wide.first())[3:] == ("AG", "clear", 2.0, "A", 6.0, "P")
+    assert as_wide(long, ["2_00060"], []).columns[3:] == ["2_00060", "2_00060_cd"]
+    stored = reader.read_station_data("01", now=DAY).collect()
+    assert sorted((r.ts_id, r.value, r.attributes["note"]) for r in stored) == [("1", 2.0, "clear"), ("2", 6.0, "clear")]
+
+
+def test_a_writer_that_died_does_not_block(reader, answers):
+    answers.stations("ca", "01\tA")
+    reader.read_stations_for_state("ca", DAY)
+    commits = Path(reader.store.root) / "stations" / "commits"
+    for name in ("version=2", "2-abc", "9-def", "2"):
+        (commits / name).mkdir()
+    (commits / "2-abc" / "part-0.parquet").write_text("half a file")
+    answers.stations("ca", "01\tB")
+    fresh = reader.read_stations_for_state("ca", datetime(2021, 11, 5))
+    assert [r.station_nm for r in fresh.collect()] == ["B"]
+    again = reader.read_stations_for_state("ca", datetime(2021, 11, 9))
+    assert [r.station_nm for r in again.collect()] == ["B"]
+
+
+def test_the_newest_commit_is_found_without_opening_old_ones(reader, answers):
+    answers.stations("ca", "01\tA")
+    for day in (1, 3, 5):
+        reader.read_stations_for_state("ca", datetime(2021, 11, day))
+    commits = sorted((Path(reader.store.root) / "stations" / "commits").iterdir())
+    for old in commits[:-1]:
+        for file in old.glob("*.parquet"):
+            file.write_text("gone")
+    assert reader.store.read(STATIONS).count() == 1
+
+
+def test_rows_of_a_file_are_sorted_by_key_and_time(reader, answers):
+    rows = [f"2021-10-{d:02d}\tPST\t{d}\tP" for d in (9, 3, 27, 1, 14)]
+    for site in ("03", "01", "02"):
+        answers.values(site, "&startDT=1900-01-01", *rows)
+    reader.read_station_data(["01", "02", "03"], now=DAY)
+    for file in reader.store.read(OBSERVATIONS).inputFiles():
+        stored = [(r.site_no, r.datetime) for r in reader.spark.read.parquet(file).collect()]
+        assert stored == sorted(stored)
 
 
 def test_two_writers_cannot_commit_the_same_version(reader, answers):
@@ -253,6 +367,7 @@ def test_a_hot_folder_is_written_by_several_tasks(spark, tmp_path):
         F.lit("01").alias("site_no"),
         F.lit("1").alias("ts_id"),
         F.lit("00010").alias("parameter_cd"),
+        F.lit(None).cast("string").alias("statistic_cd"),
         (F.lit("2021-10-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id").cast("double")))
         .alias("datetime"),
         F.lit("PST").alias("tz_cd"),
