@@ -32,6 +32,16 @@ def query(function: Query) -> Query:
     return function
 
 
+def equals(sql: str) -> Callable[[Query], Query]:
+    """The SQL a query must agree with."""
+
+    def register(function: Query) -> Query:
+        SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -126,6 +136,27 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPEAT_WINDOW = 35
 
 
+@equals(r"""
+with split as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') words from documents
+), starts as (
+    select doc_id, words, unnest(range(1, len(words) - 33)) i from split where len(words) >= 35
+), windows as (
+    select doc_id, i, array_to_string(words[i:i + 34], ' ') w from starts
+), repeated as (
+    select doc_id, i from windows where w in (select w from windows group by w having count(*) > 1)
+), removed as (
+    select distinct doc_id, unnest(range(i, i + 35)) place from repeated
+), each as (
+    select doc_id, unnest(words) word, unnest(range(1, len(words) + 1)) place from split
+), kept as (
+    select doc_id, count(*) n, string_agg(word, ' ' order by place) line
+    from each anti join removed using (doc_id, place) group by doc_id
+)
+select doc_id, cast(len(words) as bigint) n_words, len(words) - coalesce(n, 0) n_removed,
+       sha256(coalesce(line, '')) kept_sha256
+from split left join kept using (doc_id)
+""")
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of windows that occur elsewhere."""
