@@ -52,7 +52,7 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("distance,group", [(4, 4000), (4, 5), (3, 4000), (1, 3), (0, 4000), (6, 4)])
+@pytest.mark.parametrize("distance,group", [(4, 4000), (4, 5), (1, 3), (6, 4)])
 def test_links_reach_what_all_comparisons_reach(spark, monkeypatch, distance, group):
     monkeypatch.setattr(S, "GROUP", group)
     prints = sorted({signed(p) for p in clustered(random.Random(distance), 60)})
