@@ -1,8 +1,5 @@
 """Session settings the package is tuned for, and the shared scratch folder."""
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import SparkSession
 
 
@@ -31,20 +28,3 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the checkpoint folder, or the warehouse where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
-@contextmanager
-def settings(spark: SparkSession, **values: str | int) -> Iterator[None]:
-    """Session settings (`__` for `.`) that hold for the jobs started inside."""
-    names = {key: key.replace("__", ".") for key in values}
-    before = {key: spark.conf.get(name, None) for key, name in names.items()}
-    try:
-        for key, value in values.items():
-            spark.conf.set(names[key], str(value))
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(names[key])
-            else:
-                spark.conf.set(names[key], value)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from hydroframe.functions.cells import number_cell
 from hydroframe.operators import observations
 from hydroframe.sources import rdb
-from hydroframe.session import settings
 from hydroframe.sources.rdb import read_rdb, scan
+from tests.settings import settings
 
 STATIONS = (
     "# ---- WARNING ----\n"
