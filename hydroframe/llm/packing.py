@@ -52,6 +52,8 @@ class WordTokens(WordStore):
     letters are encoded many in one call: each ends with its one token of a word end.
     """
 
+    remembered, characters_remembered = 700_000, 10_000_000
+
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
@@ -166,6 +168,7 @@ def pieces(
                     ],
                     names,
                 )
+        model.forget()  # idle workers keep no words
 
     read = docs.select(F.col(id_column).alias("id"), whole_text(F.col(text_column)).alias("text"))
     kind = read.schema[0].dataType.simpleString()

@@ -8,8 +8,6 @@ import numpy as np
 
 #: Words put together at once.
 WORDS = 250_000
-#: Encoded words a worker remembers, and their characters.
-REMEMBERED, CHARACTERS = 300_000, 8_000_000
 
 
 class Words(dict):
@@ -27,6 +25,9 @@ class Words(dict):
 class WordStore:
     """Encodes texts word by word. Subclasses cut texts and encode new words."""
 
+    #: Encoded words a worker remembers, and their characters.
+    remembered, characters_remembered = 300_000, 8_000_000
+
     def __init__(self) -> None:
         self.forget()
 
@@ -70,7 +71,7 @@ class WordStore:
 
     def block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > REMEMBERED or self.characters > CHARACTERS:
+        if len(self.words) > self.remembered or self.characters > self.characters_remembered:
             self.forget()
         split = list(map(self.numbers, texts))
         self.learn()

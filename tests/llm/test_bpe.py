@@ -56,7 +56,7 @@ def test_operator_over_odd_rows(spark, monkeypatch):
 def test_a_text_longer_than_a_block(monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 1000)
     monkeypatch.setattr(bpe, "WORDS", 77)
-    monkeypatch.setattr(wordstore, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe.Replay, "remembered", 50)
     monkeypatch.setattr(wordstore, "WORDS", 31)
     text = " ".join(f"word{n % 913} né" for n in range(3000))
     replay = bpe.Replay(RANKS, P.PATTERN)
