@@ -6,8 +6,8 @@ in rank order, each at all its places at once, and only the two neighbours of a
 pair are looked up again. Documents are then put together from their words' ids.
 
 Merges never cross a word, so the replay over a block's words gives what the replay over
-the whole corpus's words would. Blocks need no shuffle, a task holds one block, and words
-already encoded in the same Python worker are remembered up to a bound.
+the whole corpus's words would. Blocks need no shuffle, a task holds one block, and
+remembers words it has encoded up to a bound.
 """
 
 from __future__ import annotations
@@ -213,6 +213,7 @@ def encode(
                     [batch.column(0).slice(start, end - start), pa.array(ids, pa.binary())],
                     [id_column, "ids"],
                 )
+        replay.forget()  # idle workers keep no words
 
     read = docs.select(F.col(id_column), whole_text(F.col(text_column)))
     kind = read.schema[0].dataType.simpleString()
