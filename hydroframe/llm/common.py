@@ -35,6 +35,17 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def some_texts(docs: DataFrame, text: Column, most: int) -> DataFrame:
+    """`text`: `most` of the different texts, those of the smallest hashes.
+
+    The bound is found over the hashes alone, so that no text is sorted or sent for it.
+    """
+    hashed = docs.select(F.xxhash64(text).alias("h"))
+    last = hashed.distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    chosen = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).where(F.col("h") <= F.lit(last))
+    return chosen.dropDuplicates(["h"]).select("text")
+
+
 def aside(docs: DataFrame) -> list[Column]:
     """The input's columns under names of our own, so that no column added can clash with them.
 

@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import aside, carried, row_of, whole_text
+from hydroframe.llm.common import aside, carried, row_of, some_texts, whole_text
 
 #: A run of 16 or more characters of keys with a digit in it, or assigned to something.
 CANDIDATE = (
@@ -216,8 +216,7 @@ def _worth(tree: tuple | float, features: Column, names: list[str]) -> Column:
 
 def _words_of(docs: DataFrame, text_column: str, most: int) -> tuple[list[str], list[float]]:
     """The commonest words of a bounded number of documents, and the likelihood of symbol pairs."""
-    text = whole_text(F.col(text_column))
-    sample = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(most)
+    sample = some_texts(docs, whole_text(F.col(text_column)), most)
     words = sample.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,24}"), 0)).alias("word"))
     counted = words.groupBy(F.lower("word").alias("word")).count()
     common = counted.where("length(word) >= 4").orderBy(F.desc("count"), "word").limit(DICTIONARY).collect()
@@ -309,8 +308,7 @@ def scan(
 def planted_findings(docs: DataFrame, text_column: str = "text", most: int = DOCUMENTS) -> DataFrame:
     """Labelled findings for training: made-up secrets and look-alikes between words of up to
     `most` documents. Text, path, secret."""
-    sample = docs.select(whole_text(F.col(text_column)).alias("text")).distinct()
-    sample = sample.orderBy(F.xxhash64("text"), "text").limit(most)
+    sample = some_texts(docs, whole_text(F.col(text_column)), most)
     word = lambda n: F.coalesce(F.get("w", F.lit(n)), F.lit("word"))
     digest = F.sha2("text", 512)
     hexes = lambda n: F.substring(digest, 1, n)
