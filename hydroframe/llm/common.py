@@ -35,6 +35,18 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+#: Rows of an Arrow batch: texts may be long, and JVM and Python worker hold a batch each.
+BATCH_ROWS = 1000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The frame itself, after seeing to it that its session sends few rows at a time to Python."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return docs
+
+
 def some_texts(docs: DataFrame, text: Column, most: int) -> DataFrame:
     """`text`: `most` of the different texts, those of the smallest hashes.
 

@@ -22,14 +22,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hydroframe.llm.common import WORD, stored, whole_text
+from hydroframe.llm.common import WORD, aside, carried, small_batches, stored, whole_text
 from hydroframe.llm.fingerprint import WordHashes
 
 WINDOW, ANCHOR = 35, 16
+#: Rows a task turns into Python objects at a time.
+ROWS = 500
 #: Occurrences of an anchor whose passages are indexed together.
 GROUP = 2000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -143,6 +147,12 @@ def anchors(words: list[bytes], known: WordHashes, window: int) -> tuple[np.ndar
     return hashes[least[first]].view(np.int64), first.astype(np.int32), last.astype(np.int32)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
@@ -153,7 +163,7 @@ def _anchored(keyed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
         names = ["th", "anchor", "first", "last"]
-        for batch in batches:
+        for batch in _slices(batches):
             for th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = text.encode().split()
                 if len(words) < window or th in seen:
@@ -166,15 +176,35 @@ def _anchored(keyed: DataFrame, window: int) -> DataFrame:
     return keyed.mapInArrow(run, "th binary, anchor long, first int, last int")
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """The rows with `packed`, the compressed text, in place of `text`; null stays null."""
+    others = [c for c in keyed.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in _slices(batches):
+            made = [None if t is None else compress(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in others), pa.array(made, pa.binary())], [*others, "packed"]
+            )
+
+    schema = T.StructType([keyed.schema[c] for c in others]).add("packed", "binary")
+    return keyed.mapInArrow(run, schema)
+
+
 def _passages(found: DataFrame, window: int) -> DataFrame:
     """Of texts and their hits, a passage for each: `key` (null for hot anchors), `th`, `start`, `words`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = {"key": pa.int64(), "th": pa.binary(), "start": pa.int32(), "words": pa.binary()}
-        for batch in batches:
+        columns, seen = {"key": pa.int64(), "th": pa.binary(), "start": pa.int32(), "words": pa.binary()}, set()
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in _slices(batches):
             out: list[tuple] = []
-            for th, text, hits in zip(*(c.to_pylist() for c in batch.columns)):
-                words = text.encode().split()
+            for th, packed, hits in zip(*(batch.column(n).to_pylist() for n in ("th", "packed", "hits"))):
+                if th in seen:
+                    continue
+                seen.add(th)
+                words = unpack(packed).split() if packed is not None else []
                 for hit in {(h["anchor"], h["first"], h["last"], h["hot"]) for h in hits}:
                     anchor, first, last, hot = hit
                     out.append((None if hot else anchor, th, first, b" ".join(words[first : last + window])))
@@ -184,7 +214,7 @@ def _passages(found: DataFrame, window: int) -> DataFrame:
             if out:
                 yield _batch({n: (v, t) for v, (n, t) in zip(zip(*out), columns.items())})
 
-    return found.select("th", "text", "hits").mapInArrow(run, "key long, th binary, start int, words binary")
+    return found.mapInArrow(run, "key long, th binary, start int, words binary")
 
 
 def shard_spans(passages: list[tuple[bytes, int, bytes]], window: int) -> Iterator[tuple[bytes, int, int]]:
@@ -212,7 +242,7 @@ def _spans(passages: DataFrame, window: int) -> DataFrame:
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         key, held = None, []
-        for batch in batches:
+        for batch in _slices(batches):
             for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != key and held:
                     yield held
@@ -243,7 +273,7 @@ def _windows(passages: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"passage": pa.binary(), "n": pa.int64(), "at": pa.int32(), "digest": pa.binary()}
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for passage, n, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = text.split()
@@ -285,9 +315,8 @@ def _hot_spans(passages: DataFrame, window: int) -> DataFrame:
 _SPACED = re.compile(rb"[\x20\x09-\x0D]*" + WORD.encode())
 
 
-def cut(text: str, removed: np.ndarray) -> str:
+def cut(data: bytes, removed: np.ndarray) -> str:
     """The text without its removed words; a kept word keeps the space before it."""
-    data = text.encode()
     parts = _SPACED.findall(data)
     tail = data[sum(map(len, parts)) :]
     kept = [part for part, gone in zip(parts, removed) if not gone]
@@ -296,54 +325,72 @@ def cut(text: str, removed: np.ndarray) -> str:
     return b"".join(kept + [tail] * (not removed[-1])).decode()
 
 
-def _cleaned(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """`th`, `n_words`, `n_removed`, `kept_sha256`, `kept`: the text if it has changed."""
+def _cleaned(found: DataFrame, kept: list[str], window: int, with_text: bool) -> DataFrame:
+    """The columns `kept`, `text` without what is removed (null if not wanted), `n_words`,
+    `n_removed`, `kept_sha256`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {
-            "th": pa.binary(), "n_words": pa.int64(), "n_removed": pa.int64(),
-            "kept_sha256": pa.string(), "kept": pa.string(),
-        }
-        for batch in batches:
+        made = {"text": pa.string(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in _slices(batches):
             out = []
-            for th, text, copied, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                words = text.encode().split()
-                n = len(words)
-                removed = np.zeros(n, dtype=bool)
-                if copied and n >= window:
+            for packed, copied, spans in zip(*(batch.column(n).to_pylist() for n in ("packed", "copied", "spans"))):
+                data = unpack(packed) if packed is not None else b""
+                words = data.split()
+                removed = np.zeros(len(words), dtype=bool)
+                if copied and len(words) >= window:
                     removed[:] = True
                 for span in spans or ():
                     removed[span["start"] : span["stop"]] = True
                 gone = int(removed.sum())
-                kept = [w for w, x in zip(words, removed.tolist()) if not x] if gone else words
-                digest = hashlib.sha256(b" ".join(kept)).hexdigest()
-                out.append((th, n, gone, digest, cut(text, removed) if with_text and gone else None))
+                left = [w for w, x in zip(words, removed.tolist()) if not x] if gone else words
+                digest = hashlib.sha256(b" ".join(left)).hexdigest()
+                text = None
+                if with_text and packed is not None:
+                    text = cut(data, removed) if gone else data.decode()
+                out.append((text, len(words), gone, digest))
             if out:
-                yield _batch({name: (v, t) for v, (name, t) in zip(zip(*out), kinds.items())})
+                columns = [pa.array(v, t) for v, t in zip(zip(*out), made.values())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(name) for name in kept), *columns], [*kept, *made]
+                )
 
-    schema = "th binary, n_words long, n_removed long, kept_sha256 string, kept string"
-    return texts.select("th", "text", "copied", "spans").mapInArrow(run, schema)
+    fields = [found.schema[name] for name in kept]
+    schema = T.StructType(fields).add("text", "string").add("n_words", "long").add("n_removed", "long")
+    return found.select(*kept, "packed", "copied", "spans").mapInArrow(run, schema.add("kept_sha256", "string"))
 
 
-def cleaned_texts(docs: DataFrame, text_column: str, window: int, with_text: bool) -> DataFrame:
-    """A row for each distinct text, named by its MD5 digest `th`."""
-    text = whole_text(F.col(text_column))
-    keyed = docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text"))
-    found = stored(_anchored(keyed, window), "anchors")
+def cleaned(
+    docs: DataFrame, text_column: str = "text", window: int = WINDOW, with_text: bool = True
+) -> DataFrame:
+    """The other columns of `docs`, carried under names of our own (`common.carried`), and
+    `text` without its repeated words, `n_words`, `n_removed`, `kept_sha256`.
+
+    Rows meet what is found in their texts by the texts' MD5 digests `th`, once to cut the
+    passages to compare and once to remove what is repeated. Texts travel compressed.
+    """
+    text = F.col(text_column)
+    columns = [c for c, name in zip(aside(docs), docs.columns) if name != text_column]
+    kept = [c for c, name in zip(carried(docs), docs.columns) if name != text_column]
+    keyed = small_batches(docs).select(F.unhex(F.md5(whole_text(text))).alias("th"), text.alias("text"), *columns)
+    found = stored(_anchored(keyed.select("th", whole_text(F.col("text"))), window), "anchors")
     counts = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     hits = found.join(counts, "anchor").groupBy("th").agg(
         F.collect_list(F.struct("anchor", "first", "last", (F.col("n") > GROUP).alias("hot"))).alias("hits")
     )
     hits = stored(hits, "hits")
-    texts = keyed.groupBy("th").agg(F.first("text").alias("text"), (F.count(F.lit(1)) > 1).alias("copied"))
-    passages = _passages(texts.join(hits, "th"), window)
+    copies = keyed.groupBy("th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = stored(copies.select("th", F.lit(True).alias("copied")), "copies")
+    keyed = _packed(keyed)
+    passages = _passages(keyed.join(hits.hint("merge"), "th"), window)
     if hits.where("exists(hits, h -> h.hot)").isEmpty():
         spans = _spans(passages, window)
     else:
         passages = stored(passages, "passages")
         spans = _spans(passages, window).union(_hot_spans(passages, window))
     merged = spans.groupBy("th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return _cleaned(texts.join(merged, "th", "left"), window, with_text)
+    marks = merged.join(copies, "th", "full")
+    return _cleaned(keyed.join(marks.hint("merge"), "th", "left"), kept, window, with_text)
 
 
 def remove_repeats(
@@ -358,9 +405,10 @@ def remove_repeats(
     columns are ignored. Nothing is approximate: hashes choose what is compared, words decide
     (windows of a shard of more than GROUP passages are told apart by their MD5 digests).
     """
-    cleaned = cleaned_texts(docs, text_column, window, with_text=False).drop("kept")
-    named = docs.select(F.col(id_column), F.unhex(F.md5(whole_text(F.col(text_column)))).alias("th"))
-    return named.join(cleaned, "th").select(id_column, "n_words", "n_removed", "kept_sha256")
+    rows = docs.select(F.col(id_column), F.col(text_column))
+    (own,) = (c for c, name in zip(carried(rows), rows.columns) if name != text_column)
+    found = cleaned(rows, text_column, window, with_text=False)
+    return found.select(F.col(own).alias(id_column), "n_words", "n_removed", "kept_sha256")
 
 
 def without_repeats(
@@ -369,20 +417,12 @@ def without_repeats(
     """The rows of `docs` with the repeated words cut out of their texts; kept words keep the
     space before them, other texts stay as they are (a null one too). Rows stay, even where
     nothing of their text does. `length_column` gets the new number of characters."""
-    cleaned = stored(
-        cleaned_texts(docs, text_column, window, with_text=True)
-        .where("n_removed > 0")
-        .select("th", F.col("kept").alias("__kept")),
-        "cleaned",
-    )
-    th = F.unhex(F.md5(whole_text(F.col(text_column))))
-    joined = docs.select(F.struct("*").alias("row"), th.alias("th")).join(cleaned, "th", "left")
+    found = cleaned(docs, text_column, window)
+    changed = F.col("n_removed") > 0
     columns = []
-    for name in docs.columns:
-        value = F.col(f"row.`{name}`")
-        if name == text_column:
-            value = F.coalesce(F.col("__kept"), value)
-        elif name == length_column:
-            value = F.coalesce(F.length("__kept").cast(docs.schema[name].dataType), value)
+    for ours, name in zip(carried(docs), docs.columns):
+        value = F.col("text" if name == text_column else ours)
+        if name == length_column:
+            value = F.when(changed, F.length("text").cast(docs.schema[name].dataType)).otherwise(value)
         columns.append(value.alias(name))
-    return joined.select(*columns)
+    return found.select(*columns)
