@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import whole_text
+from hydroframe.llm.common import small_batches, whole_text
 from hydroframe.llm.wordstore import WordStore, blocks
 
 #: Characters of the texts whose words are replayed together, if one text has not more.
@@ -215,7 +215,7 @@ def encode(
                 )
         replay.forget()  # idle workers keep no words
 
-    read = docs.select(F.col(id_column), whole_text(F.col(text_column)))
+    read = small_batches(docs).select(F.col(id_column), whole_text(F.col(text_column)))
     kind = read.schema[0].dataType.simpleString()
     return read.mapInArrow(run, f"`{id_column}` {kind}, ids binary")
 

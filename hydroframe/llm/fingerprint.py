@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import whole_text
+from hydroframe.llm.common import small_batches, whole_text
 
 #: Hashes in a sketch, words in a shingle.
 K, SHINGLE = 128, 5
@@ -82,7 +82,7 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             made = [sketch_text(text, known, k) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], [id_column, "sketch"])
 
-    read = docs.select(F.col(id_column), whole_text(F.col(text_column)))
+    read = small_batches(docs).select(F.col(id_column), whole_text(F.col(text_column)))
     kind = read.schema[0].dataType.simpleString()
     return read.mapInArrow(run, f"`{id_column}` {kind}, sketch string")
 
@@ -144,7 +144,8 @@ def edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     once; the first document of a range goes to the range before it as well, so that each
     task has every neighbour it needs. A task streams its sorted rows, holding two texts.
     """
-    read = docs.select(F.col(id_column).cast("long").alias("id"), whole_text(F.col(text_column)).alias("text"))
+    text = whole_text(F.col(text_column)).alias("text")
+    read = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), text)
     n_bytes = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = int(min(max(128, n_bytes // BUCKET), MOST_BUCKETS))
     shares = [n / wanted for n in range(1, wanted)]

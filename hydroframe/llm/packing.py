@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import stored, whole_text
+from hydroframe.llm.common import small_batches, stored, whole_text
 from hydroframe.llm.wordstore import Words, WordStore, blocks
 
 CAPACITY, END = 4096, 1
@@ -170,7 +170,7 @@ def pieces(
                 )
         model.forget()  # idle workers keep no words
 
-    read = docs.select(F.col(id_column).alias("id"), whole_text(F.col(text_column)).alias("text"))
+    read = small_batches(docs).select(F.col(id_column).alias("id"), whole_text(F.col(text_column)).alias("text"))
     kind = read.schema[0].dataType.simpleString()
     return read.mapInArrow(
         run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, place long"

@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import stored, whole_text
+from hydroframe.llm.common import small_batches, stored, whole_text
 from hydroframe.llm.components import components
 
 BITS, SEED = 64, 42
 #: Fingerprints of one variant that are compared in one task; more are indexed again.
 GROUP = 4000
+#: Rows of variants worked on together, and more until a group ends.
+TOGETHER = 1 << 15
 #: Groups up to this size are compared many at a time.
 SMALL = 16
 #: Shingles whose bits are counted at once.
@@ -63,7 +65,7 @@ def fingerprints(docs: DataFrame, text_column: str = "text", shingle: int = 4) -
                 [*batch.columns[1:], pa.array(made, pa.int64())], [*others, "fingerprint"]
             )
 
-    read = docs.select(whole_text(F.col(text_column)).alias("text"), *others)
+    read = small_batches(docs).select(whole_text(F.col(text_column)).alias("text"), *others)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[1:]]
     return read.mapInArrow(run, ", ".join([*fields, "fingerprint long"]))
 
@@ -129,15 +131,21 @@ def _near(fs: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Whole groups of the rows, which come sorted by key: (keys, fingerprints)."""
-    keys, fs = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
     for batch in batches:
-        keys = np.concatenate([keys, batch.column(0).to_numpy()])
-        fs = np.concatenate([fs, batch.column(1).to_numpy()])
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n < TOGETHER:
+            continue
+        keys, fs = (np.concatenate(side) for side in zip(*held))
+        cut = int(np.searchsorted(keys, keys[-1]))
         if cut:
             yield keys[:cut], fs[:cut]
-            keys, fs = keys[cut:], fs[cut:]
-    yield keys, fs
+        held, n = [(keys[cut:], fs[cut:])], len(keys) - cut
+    if held:
+        keys, fs = (np.concatenate(side) for side in zip(*held))
+        yield keys, fs
 
 
 class Joined:
