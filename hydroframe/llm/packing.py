@@ -5,7 +5,7 @@ most the capacity. The program wants the fewest sequences that cover the histogr
 solved by multiplicative weights: a knapsack dynamic program prices configurations by the
 lengths' weights, and weights fall with what is covered already. Whole numbers of the
 configurations found are taken, what is left is solved again, and the last pieces are put
-best-fit, longest first, into what has room.
+best-fit, longest first, into what has room, equal ones together.
 
 The driver solves over the histogram only, at most `capacity` numbers however large the
 corpus. Pieces get their places by their rank among pieces of equal length, from counts of
@@ -235,53 +235,103 @@ def _weighted(demand: np.ndarray, rounds: int) -> dict[Configuration, float]:
     return found
 
 
+def _take(
+    found: dict[Configuration, int], left: np.ndarray, configuration: Configuration, times: int
+) -> None:
+    """The configuration `times` times, without the pieces of which no more are left."""
+    while times > 0:
+        configuration = tuple((l, min(k, int(left[l]))) for l, k in configuration if left[l])
+        if not configuration:
+            return
+        now = min(times, *(int(left[l]) // k for l, k in configuration))
+        found[configuration] += now
+        for l, k in configuration:
+            left[l] -= k * now
+        times -= now
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
-    """Configurations and how many sequences each fills; every piece has exactly one place."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
+    """Configurations and how many sequences each fills; every piece has exactly one place.
+
+    Configurations that fill a sequence waste nothing and are taken first, round after round.
+    Of what they leave, the program's solution is rounded down whatever it fills, so that the
+    last best-fit has no more pieces than configurations hold. Rounding may cost more than the
+    program gains: the fewest sequences of both, and of the first solution rounded alone, count.
+    """
+    every = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
-        left[length] = n
-    found: dict[Configuration, int] = defaultdict(int)
+        every[length] = n
+    full: dict[Configuration, int] = defaultdict(int)
+    left, first = every.copy(), None
     for _ in range(SOLUTIONS):
         if left.sum() < 64:
             break
         before = left.sum()
-        for configuration, wanted in sorted(_weighted(left, ROUNDS).items(), key=lambda x: -x[1]):
+        solution = sorted(_weighted(left, ROUNDS).items(), key=lambda x: -x[1])
+        first = first or solution
+        for configuration, wanted in solution:
             fits = min(int(left[l]) // k for l, k in configuration)
-            times = min(fits, int(np.ceil(wanted)))
-            if times and sum(l * k for l, k in configuration) >= capacity * 0.999:
-                found[configuration] += times
-                for l, k in configuration:
-                    left[l] -= k * times
+            if fits and sum(l * k for l, k in configuration) >= capacity * 0.999:
+                _take(full, left, configuration, min(fits, int(np.ceil(wanted))))
         if left.sum() > 0.9 * before:
             break
-    for configuration in _best_fit(left):
-        found[configuration] += 1
-    return sorted(found.items())
-
-
-def _best_fit(left: np.ndarray) -> list[Configuration]:
-    """What is left, longest first, each piece into the fullest sequence that has room.
-
-    A number's bits tell the rooms that occur, so that the smallest that fits is its lowest bit."""
+    plans = [_best_fit(full, left)]
+    for found, rest, solution in ((full.copy(), left, None), (defaultdict(int), every, first)):
+        if rest.sum() < 64:
+            continue
+        rest = rest.copy()
+        for configuration, wanted in solution or _weighted(rest, ROUNDS).items():
+            _take(found, rest, configuration, int(wanted))
+        plans.append(_best_fit(found, rest))
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _best_fit(found: dict[Configuration, int], left: np.ndarray) -> list[tuple[Configuration, int]]:
+    """The sequences found, and what is left: longest first, each piece into the fullest
+    sequence that has room, else into a new one.
+
+    Equal sequences are one group of (pieces by length, times). Equal pieces fill a group at
+    once, so that the work is bounded by lengths and groups. A number's bits tell the rooms
+    that occur, so that the smallest that fits is its lowest bit."""
     capacity = len(left) - 1
-    with_room: dict[int, list[list[int]]] = defaultdict(list)
-    rooms, every = 0, []
-    for length in range(capacity, 0, -1):
-        for _ in range(int(left[length])):
+    with_room: dict[int, list[tuple[Configuration, int]]] = defaultdict(list)
+    rooms, made = 0, defaultdict(int)
+
+    def put(configuration: Configuration, times: int, room: int) -> None:
+        nonlocal rooms
+        if times and room:
+            with_room[room].append((configuration, times))
+            rooms |= 1 << room
+        elif times:
+            made[configuration] += times
+
+    for configuration, times in found.items():
+        put(configuration, times, capacity - sum(l * k for l, k in configuration))
+    for length in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[length])
+        while n:
             fitting = rooms >> length
             if fitting:
                 room = length + (fitting & -fitting).bit_length() - 1
-                sequence = with_room[room].pop()
+                configuration, times = with_room[room].pop()
                 if not with_room[room]:
                     rooms &= ~(1 << room)
             else:
-                room, sequence = capacity, []
-                every.append(sequence)
-            sequence.append(length)
-            if room > length:
-                with_room[room - length].append(sequence)
-                rooms |= 1 << (room - length)
-    return [tuple((l, sequence.count(l)) for l in dict.fromkeys(sequence)) for sequence in every]
+                room, configuration = capacity, ()
+                times = -(-n // (capacity // length))
+            most = min(room // length, n)
+            whole = min(times, n // most)
+            spare = min(n - whole * most, most) if whole < times else 0
+            for copies, filled in ((most, whole), (spare, 1 if spare else 0)):
+                held = dict(configuration)
+                held[length] = held.get(length, 0) + copies
+                put(tuple(sorted(held.items(), reverse=True)), filled, room - copies * length)
+            put(configuration, times - whole - (1 if spare else 0), room)
+            n -= whole * most + spare
+    for group in with_room.values():
+        for configuration, times in group:
+            made[configuration] += times
+    return sorted(made.items())
 
 
 def _slots(plan: list[tuple[Configuration, int]]) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -316,8 +366,8 @@ def pack(
     Pieces are written once, before they are counted, so that a task that runs again cannot
     number them otherwise. The driver gets one number for each length. The table of slots
     has as many rows as configurations have lengths: each solution finds at most one
-    configuration for a length and round, so the bound is capacity x ROUNDS x SOLUTIONS
-    configurations, whatever the corpus.
+    configuration for a length and round, of which rounding and best-fit make some more, so
+    the bound is in proportion to capacity x ROUNDS x SOLUTIONS, whatever the corpus.
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, model_path, id_column, text_column, capacity, end), "pieces")

@@ -102,6 +102,26 @@ def test_more_than_half_a_sequence_each_cannot_share():
     assert K.solve({}, 100) == []
 
 
+def test_loose_configurations_are_rounded_too():
+    """Best-fit alone takes 11000 sequences here; no configuration fills one to 99.9 %."""
+    histogram = {510: 6000, 270: 6000, 260: 6000, 230: 12000}
+    plan = K.solve(histogram, 1005)
+    assert sum(times for _, times in plan) <= 9000 * 1.01
+    used = Counter()
+    for configuration, times in plan:
+        assert sum(l * k for l, k in configuration) <= 1005
+        for l, k in configuration:
+            used[l] += k * times
+    assert used == histogram
+
+
+def test_equal_pieces_are_placed_at_once():
+    plan = K.solve({3000: 10**9, 1400: 10**9 + 1, 700: 3}, 4096)
+    assert len(plan) < 20
+    assert sum(times for _, times in plan) == 10**9 + 10**9 // 2 + 1
+    assert sum(k * times for c, times in plan for l, k in c if l == 1400) == 10**9 + 1
+
+
 def test_knapsack_equals_trying_all():
     rng = np.random.default_rng(0)
     for _ in range(20):
