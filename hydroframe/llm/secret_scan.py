@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import aside, carried, row_of, some_texts, whole_text
+from hydroframe.llm.common import aside, carried, row_of, some_texts, stored, whole_text
 
 #: A run of 16 or more characters of keys with a digit in it, or assigned to something.
 CANDIDATE = (
@@ -34,8 +34,10 @@ BEFORE, AFTER = 48, 24
 MARKER = "[SECRET]"
 
 TREES, DEPTH, SEED = 16, 6, 7
-#: Documents that lend their words to training, and words of the dictionary.
-DOCUMENTS, DICTIONARY = 2000, 400
+#: Documents that lend their words to planted findings.
+DOCUMENTS = 2000
+#: Least share a word of the dictionary has among all words: 1 / SHARE words at most.
+SHARE = 1e-4
 
 #: Words beside a candidate that speak for a secret, and for something else.
 SECRET_WORDS = r"(?i)(key|token|secret|passw|pwd|credential|bearer|private|signature|auth)"
@@ -155,7 +157,7 @@ def _share(token: Column, of: str) -> Column:
 
 def _features(model_pairs: list[float], dictionary: list[str]) -> dict[str, Callable[[Column, Column], Column]]:
     """Each feature of a candidate `p` in the path `path`, as a number."""
-    words = "|".join(map(re.escape, sorted(dictionary, key=lambda w: (-len(w), w)))) or "(?!)"
+    words = _any_of(dictionary)
     change = "(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return {
@@ -214,29 +216,48 @@ def _worth(tree: tuple | float, features: Column, names: list[str]) -> Column:
     return F.when(below, _worth(left, features, names)).otherwise(_worth(right, features, names))
 
 
-def _words_of(docs: DataFrame, text_column: str, most: int) -> tuple[list[str], list[float]]:
-    """The commonest words of a bounded number of documents, and the likelihood of symbol pairs."""
-    sample = some_texts(docs, whole_text(F.col(text_column)), most)
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,24}"), 0)).alias("word"))
-    counted = words.groupBy(F.lower("word").alias("word")).count()
-    common = counted.where("length(word) >= 4").orderBy(F.desc("count"), "word").limit(DICTIONARY).collect()
+def _words_of(docs: DataFrame, text_column: str) -> tuple[list[str], list[float]]:
+    """The words that are frequent in all documents, and the likelihood of symbol pairs.
+
+    One aggregation with partial counts; its table is as long as there are different words."""
+    found = F.regexp_extract_all(F.lower(whole_text(F.col(text_column))), F.lit("[a-z]{2,24}"), 0)
+    counted = stored(docs.select(F.explode(found).alias("word")).groupBy("word").count(), "words")
+    long = counted.where("length(word) >= 4")
+    total = long.agg(F.sum("count")).first()[0] or 0
+    common = long.where(F.col("count") >= total * SHARE).select("word").collect()
     pair = F.explode(F.regexp_extract_all(_folded(F.col("word")), F.lit("(?=(..))."), 1))
     pairs = counted.select(pair.alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("n")).collect()
     n = [[0.5] * _SYMBOLS for _ in range(_SYMBOLS)]
     for r in pairs:  # at most 38 x 38
         n[ord(r.pair[0]) - 65][ord(r.pair[1]) - 65] += r.n
-    return [r.word for r in common], [math.log(x / sum(row)) for row in n for x in row]
+    return sorted(r.word for r in common), [math.log(x / sum(row)) for row in n for x in row]
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of the longest word that fits, as a tree of prefixes."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [re.escape(letter) + pattern(node[letter]) for letter in sorted(node) if letter]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)}){'?' if '' in node else ''}"
+
+    return pattern(tree) or "(?!)"
 
 
-def train(
-    labelled: DataFrame, docs: DataFrame, text_column: str = "text", most: int = DOCUMENTS
-) -> Model:
+def train(labelled: DataFrame, docs: DataFrame, text_column: str = "text") -> Model:
     """The forest of labelled findings (text, path, secret boolean; each text holds the finding
-    and its surroundings). Up to `most` documents of `docs` give the dictionary and the
-    likelihoods of character pairs. Texts without a candidate, and null labels, are left out.
+    and its surroundings). All of `docs` give the dictionary and the likelihoods of character
+    pairs. Texts without a candidate, and null labels, are left out.
     With findings of one label only, everything gets that label; with none, nothing is a secret.
     """
-    dictionary, pairs = _words_of(docs, text_column, most)
+    dictionary, pairs = _words_of(docs, text_column)
     features = _features(pairs, dictionary)
     names = list(features)
     known = labelled.where("secret is not null").select("text", "path", F.col("secret").cast("double").alias("label"))

@@ -80,3 +80,14 @@ def test_one_label_and_no_findings(spark):
     assert S.scan(docs, S.train(none, docs)).first().findings == []
     one = spark.createDataFrame([("x = 0123456789abcdefg", None, True)], none.schema)
     assert len(S.scan(docs, S.train(one, docs.limit(0))).first().findings) == 1
+
+
+def test_words_of_all_documents_count(spark):
+    """More texts than planted findings are made of; each word is in many of them."""
+    texts = spark.range(3 * S.DOCUMENTS).selectExpr("concat('entwicklung', char(97 + id % 26), ' ', char(97 + id % 23), 'qz ', id) AS text")
+    dictionary, pairs = S._words_of(texts, "text")
+    assert dictionary == [f"entwicklung{chr(97 + n)}" for n in range(26)]
+    qz = (ord("q") - 97) * S._SYMBOLS + ord("z") - 97
+    assert pairs[qz] > S.math.log(0.9)
+    assert re.sub(S._any_of(["abcd", "abcdef", "bcde", "x"]), "-", "abcdefabcdebcdeax") == "--e-a-"
+    assert re.sub(S._any_of([]), "-", "abc") == "abc"
