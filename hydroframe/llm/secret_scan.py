@@ -1,6 +1,7 @@
 """Secret scans: a random forest tells secrets from false positives.
 
-Candidates are runs of the characters secrets are made of. A forest, trained on labelled
+Candidates are long runs of the characters keys are made of, and runs of any length and of
+more characters where an assignment, a secret's name or `user:` stands before them. A forest, trained on labelled
 findings, judges each by its length, its character transitions, how much of it dictionary
 words cover, its path and its neighbouring words. The trees become one conditional
 expression over the candidates of a text: scanning is one projection, without a shuffle,
@@ -25,11 +26,22 @@ from pyspark.sql import functions as F
 from hydroframe.llm.common import aside, carried, row_of, some_texts, stored, whole_text
 
 #: A run of 16 or more characters of keys with a digit in it, or assigned to something.
+LONG = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])|(?<=[=:][\"' ]{0,2}))[A-Za-z0-9+/_-]{16,}={0,2}"
+#: What passwords are made of: no white space and no quotes. And what one ends with where no quote does.
+WIDE, LAST = r"[!#-&(-~\u00a1-\u024f]", r"[A-Za-z0-9!#$%&*+/=@^_~-]"
+#: A name that a secret is assigned to, as far as it stands before the sign.
+NAMED = r"(?i:passw(?:or)?d|passphrase|pass|pwd|secret|token|key|credentials?|bearer|auth)"
+#: Of any length: the password of user:password@, what is assigned in quotes, what has a digit
+#: and is assigned or follows a secret's name, and what is assigned to such a name.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])|(?<=[=:][\"' ]{0,2}))[A-Za-z0-9+/_-]{16,}={0,2}"
+    r"(?<=:)(?![/@])[!#-&(-.0-9;-~\u00a1-\u024f]+(?=@[A-Za-z0-9])"
+    rf"|(?<=[=:]>? ?[\"']){WIDE}+(?=[\"'])"
+    rf"|(?<=[=:]>? ?)(?![/=:>(])(?:(?={WIDE}*[0-9])|(?<={NAMED}[A-Za-z_]{{0,8}} ?[=:]>? ?)){WIDE}*{LAST}"
+    rf"|(?<= )(?<={NAMED} )(?={WIDE}*[0-9]){WIDE}*{LAST}"
+    rf"|{LONG}"
 )
-#: A chunk ends where no candidate, and no assignment before one, can be cut.
-CHUNK = r"(?s).{1,4096}[A-Za-z0-9+/_=:\"' -]*"
+#: A chunk ends before white space, where no candidate, and no assignment before one, can be cut.
+CHUNK = rf"(?s).{{1,4096}}(?:[^ \t\n\x0B\f\r]| (?=[=:])|(?<=[=:>][\"' ]?) |(?<={NAMED}) )*+"
 BEFORE, AFTER = 48, 24
 MARKER = "[SECRET]"
 
@@ -162,6 +174,9 @@ def _features(model_pairs: list[float], dictionary: list[str]) -> dict[str, Call
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return {
         "length": lambda p, path: F.length(p["token"]).cast("double"),
+        "lower": lambda p, path: _share(p["token"], "[a-z]"),
+        "at_sign": lambda p, path: flag(p["before"].rlike(":$") & p["after"].startswith("@")),
+        "account": lambda p, path: flag(p["before"].rlike("://[^\\s:/@]*:$")),
         "digits": lambda p, path: _share(p["token"], "[0-9]"),
         "upper": lambda p, path: _share(p["token"], "[A-Z]"),
         "signs": lambda p, path: _share(p["token"], "[^A-Za-z0-9]"),
@@ -177,6 +192,7 @@ def _features(model_pairs: list[float], dictionary: list[str]) -> dict[str, Call
         "assigned": lambda p, path: flag(p["before"].rlike("[=:]\\s*[\"']?$")),
         "quoted": lambda p, path: flag(p["before"].rlike("[\"']$") & p["after"].rlike("^[\"']")),
         "secret_word": lambda p, path: flag(F.right(p["before"], F.lit(24)).rlike(SECRET_WORDS)),
+        "password_word": lambda p, path: flag(F.right(p["before"], F.lit(16)).rlike("(?i)(passw|pwd|passphrase)")),
         "other_word": lambda p, path: flag(F.right(p["before"], F.lit(24)).rlike(OTHER_WORDS)),
         "address": lambda p, path: flag(p["before"].rlike("(://\\S*|[./\\\\@])$") | p["after"].rlike("^[@./\\\\]\\w")),
         "test_path": lambda p, path: flag(path.rlike(TEST_PATH)),
@@ -338,6 +354,9 @@ def planted_findings(docs: DataFrame, text_column: str = "text", most: int = DOC
     plain = lambda n: F.regexp_replace(F.lower(word(n)), "[^a-z]", "")
     name = F.concat_ws("-", plain(3), plain(4), plain(5), plain(6))
     uuid = F.concat_ws("-", *(F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    signed = lambda at, n: F.translate(F.substring(coded, at, n), "aeiostAEIOST", "@3!0$7&%*.#^")
+    mixed = F.concat(F.initcap(plain(3)), F.lit("$"), F.substring(number, 1, 3), F.lit("!"))
+    weak = F.concat(plain(4), F.substring(number, 2, 2), plain(5))
     quoted = lambda key, value: F.concat(F.lit(key + ' = "'), value, F.lit('"'))
     after = lambda key, value: F.concat(F.lit(key), value)
     secrets = [
@@ -345,6 +364,12 @@ def planted_findings(docs: DataFrame, text_column: str = "text", most: int = DOC
         after("SECRET=", hexes(64)), quoted("password", F.substring(coded, 3, 20)), quoted("key", hexes(32)),
         after("aws AKIA", F.upper(F.substring(digest, 1, 16))), after("Authorization: Bearer ", F.substring(coded, 1, 48)),
         after("ghp_", F.regexp_replace(F.substring(coded, 1, 36), "[+/=]", "x")), quoted("client_secret", coded),
+        quoted("password", signed(1, 12)), after("PWD=", weak), after("password: ", mixed), quoted("passwd", mixed),
+        F.concat(F.lit("postgres://user:"), F.substring(coded, 5, 9), F.lit("@host/db")), after("DB_PASSWORD=", signed(7, 10)),
+        F.concat(F.lit("https://admin:"), weak, F.lit("@www.example.com")), quoted("secret", F.substring(coded, 2, 10)),
+        F.concat(F.lit("mysql://root:"), mixed, F.lit("@db.local:3306")), after("passwd = ", weak), quoted("pwd", weak),
+        after("password ", mixed), after("PASSWORD=", F.substring(coded, 9, 8)), quoted("db_password", mixed),
+        after("pwd: ", F.concat(plain(5), F.substring(number, 1, 3))), after("MYSQL_PWD=", F.concat(plain(6), F.substring(number, 3, 1), plain(3))),
     ]
     others = [
         after("commit ", hexes(40)), after("sha256:", hexes(64)), after("id ", uuid), F.substring(number, 1, 16),
@@ -353,6 +378,16 @@ def planted_findings(docs: DataFrame, text_column: str = "text", most: int = DOC
         quoted("api_key", F.lit("xxxxxxxxxxxxxxxx1")), quoted("key", F.concat(plain(3), plain(4), plain(5), F.lit("2"))),
         after("order ", F.substring(number, 3, 18)), F.concat(plain(7), plain(8), plain(9), plain(10), F.lit("1")),
         quoted("name", F.concat(name, F.lit("-config-name-value"))), after("version ", F.concat(F.lit("2021-01-02-"), F.substring(number, 1, 8))),
+        after("page: ", F.substring(number, 1, 2)), after("time 12:", F.substring(number, 1, 2)), after("key: ", plain(3)),
+        after("port = ", F.substring(number, 1, 4)), quoted("class", plain(3)), quoted("href", F.concat(plain(3), F.lit(".html"))),
+        after("password: ", plain(3)), after("The token: ", plain(4)), after("key ", F.substring(number, 1, 2)),
+        F.concat(F.lit("mailto:"), plain(3), F.lit("@example.com")), quoted("password", F.lit("********")),
+        after("http://localhost:", F.concat(F.substring(number, 1, 4), F.lit("/"), plain(3))), quoted("name", plain(4)),
+        quoted("id", F.concat(plain(3), F.lit("-"), F.substring(number, 1, 2))), after("date: 2021-01-", F.substring(number, 1, 2)),
+        after("price: $", F.substring(number, 1, 3)), after("password: ", F.lit("${PASSWORD1}")), quoted("password", F.lit("changeme")),
+        quoted("color", F.concat(F.lit("#"), hexes(6))), quoted("width", F.concat(F.substring(number, 1, 2), F.lit("%"))),
+        F.concat(F.lit("at 12:"), F.substring(number, 1, 2), F.lit("@"), plain(3)), F.concat(F.lit("at 9:"), F.substring(number, 3, 2), F.lit("@www.example.com")),
+        after("score: ", F.concat(F.substring(number, 1, 1), F.lit("-"), F.substring(number, 2, 1))), after("v=", hexes(8)),
     ]
     cases = F.array(
         *(F.struct(x.alias("x"), F.lit(True).alias("secret")) for x in secrets),

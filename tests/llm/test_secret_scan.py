@@ -91,3 +91,31 @@ def test_words_of_all_documents_count(spark):
     assert pairs[qz] > S.math.log(0.9)
     assert re.sub(S._any_of(["abcd", "abcdef", "bcde", "x"]), "-", "abcdefabcdebcdeax") == "--e-a-"
     assert re.sub(S._any_of([]), "-", "abc") == "abc"
+
+
+def test_short_and_wide_secrets_are_found(spark, model):
+    rng = random.Random(5)
+    wide = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789!@#$%&*."
+    bad = ['password = "Tr0ub4dor&3"', "PWD=hunter2pass", "postgres://user:s3cretPw@host", "db_password: 'x9!kQ.7#vL'"]
+    bad += [f'set password = "{secret(rng, 12, wide)}" here' for _ in range(50)]
+    good = ["The key: never give up.", "It was 12:30@home then", "page: 12 of 20", 'class="menu"', "mailto:bob@example.com"]
+    good += ["http://localhost:8080/index", "password: required", "the token is lost", 'href="page.html"', "Note: see 4"]
+    docs = spark.createDataFrame([(t, True) for t in bad] + [(t, False) for t in good], "text string, secret boolean")
+    got = S.scan(docs, model).select("row.text", "row.secret", "redacted").collect()
+    missed = [r.text for r in got if r.secret and S.MARKER not in r.redacted]
+    assert not set(missed) & set(bad[:4]) and len(missed) <= 3, missed
+    assert [r.text for r in got if not r.secret and S.MARKER in r.redacted] == []
+    by_text = {r.text: r.redacted for r in got}
+    assert by_text[bad[0]] == f'password = "{S.MARKER}"'
+    assert by_text[bad[2]] == f"postgres://user:{S.MARKER}@host"
+
+
+def test_short_candidates_and_chunks(spark):
+    """Candidates behind an assignment or a name equal Python's matches wherever chunks end."""
+    everything = S.Model([1.0], [], [0.0] * S._SYMBOLS**2)
+    rng = random.Random(8)
+    bits = ["password", "=", " ", ":", "'", '"', "a1!", "key ", "x.", "\n", "é", "@host", "/", ">", "user:", "😀", "word, "]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 4000))) for _ in range(60)] + ["= " * 9000, "password " * 3000]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in S.scan(docs, everything).select("row.text", "findings").collect():
+        assert [(f.start, f.length) for f in r.findings] == [(m.start(), len(m.group())) for m in CANDIDATE.finditer(r.text)]
