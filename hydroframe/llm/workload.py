@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hydroframe.llm import (
     bpe,
+    divergence,
     fingerprint,
     license_scan,
     packing,
@@ -188,3 +189,47 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's licence families and where they are named."""
     docs = load(spark, sf_dir, "documents")
     return license_scan.scan(docs, license_scan.train(license_scan.labelled_paragraphs(docs)))
+
+
+@equals(r"""
+with rows as (
+    select row_number() over () n, coalesce(lang, '') lang, coalesce(source, '') source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') text
+    from documents
+), found as (
+    select n, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from rows
+), vocabulary as (
+    select lang, term, count(*) c from found group by all having count(distinct n) >= 3
+), counts as (
+    select lang, source, term, count(*) c from found semi join vocabulary using (lang, term) group by all
+), groups as (
+    select distinct lang, source from rows
+), langs as (
+    select lang, sum(c) n, count(*) v from vocabulary group by all
+), sizes as (
+    select lang, source, coalesce(sum(c), 0) n from groups left join counts using (lang, source) group by all
+), shares as (
+    select g.lang, g.source, w.term, coalesce(k.c, 0) c,
+           1 + (1000000000 * (coalesce(k.c, 0)::hugeint + 1)) // (g.n + l.v)::hugeint p,
+           1 + (1000000000 * (w.c::hugeint + 1)) // (l.n + l.v)::hugeint q
+    from sizes g join langs l using (lang) join vocabulary w using (lang)
+    left join counts k on k.lang = g.lang and k.source = g.source and k.term = w.term
+), sums as (
+    select a.lang, a.source, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) f
+    from shares a join shares b using (lang, term) where a.source != b.source group by all
+), pairs as (
+    select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0)::bigint "value"
+    from groups a join groups b on a.lang = b.lang and a.source != b.source
+    left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+), terms as (
+    select lang, source, 'term' part, term item, (((p - q) * (p - q)) // q)::bigint "value"
+    from shares where c > 0 and p > q
+)
+select *, cast(row_number() over (partition by lang, source, part order by "value" desc, item) as int) "rank"
+from (select * from pairs union all select * from terms)
+qualify part = 'pair' or "rank" <= 200
+""")
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group of a language's sources: how far it is from each other source, and in which terms."""
+    return divergence.audit(load(spark, sf_dir, "documents"))
