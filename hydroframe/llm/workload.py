@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hydroframe.llm import (
     bpe,
+    conversation_repair,
     divergence,
     fingerprint,
     license_scan,
@@ -233,3 +234,10 @@ qualify part = 'pair' or "rank" <= 200
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every group of a language's sources: how far it is from each other source, and in which terms."""
     return divergence.audit(load(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, its cheapest repair, and the repaired rows as a digest."""
+    rows = load(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(rows), rows)

@@ -1,0 +1,189 @@
+"""Conversation repair against a search over all edits."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from functools import lru_cache
+
+import pytest
+
+from hydroframe.llm import conversation_repair as repair
+from hydroframe.llm import workload
+from tests.settings import settings
+
+SF_DIR = "/root/testdata/sf0.01"
+BLANK = re.compile(r"[\x20\x09-\x0D]*")
+
+
+def damaged(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        key = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        fault = zlib.crc32(key.encode()) % 20
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        role = "user" if fault == 4 else role
+        out += [(conv, turn, role, text)] * {0: 0, 3: 2}.get(fault, 1)
+    return out
+
+
+def faults(rows):
+    seen, out = set(), []
+    for _, _, role, text in rows:
+        said = text.strip(" \t\n\x0b\x0c\r")
+        if not said:
+            out.append("blank")
+        elif (role, text) in seen:
+            out.append("duplicate")
+        else:
+            out.append("truncated" if said[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def plain(rows):
+    """(cost, audit, repaired lines) by a search over all edits, letter by letter."""
+    said = faults(rows)
+    moves = {"": "su", "s": "u", "u": "a", "a": "u"}
+    names = {"u": "user", "a": "assistant"}
+
+    @lru_cache(maxsize=None)
+    def best(i, last, inserts):
+        found = []
+        if i == len(rows) and last in ("", "a"):
+            found.append((0, "", ()))
+        if inserts:
+            for new in set(moves[last]) & set("ua"):
+                cost, audit, lines = best(i, new, inserts - 1)
+                found.append((cost + 5, "I" + audit, (names[new] + ":", *lines)))
+        if i < len(rows):
+            role, text = rows[i][2:]
+            cost, audit, lines = best(i + 1, last, inserts)
+            found.append((cost + 2, "D" + audit, lines))
+            if said[i] not in ("blank", "duplicate"):
+                more = 5 if said[i] == "truncated" else 0
+                if role[:1] and role[0] in moves[last]:
+                    cost, audit, lines = best(i + 1, role[0], inserts)
+                    found.append((cost + more, "K" + audit, (f"{role}:{text}", *lines)))
+                for new in set(moves[last]) & set("ua"):
+                    cost, audit, lines = best(i + 1, new, inserts)
+                    found.append((cost + more + 1, "R" + audit, (f"{names[new]}:{text}", *lines)))
+        return min(found, default=(float("inf"), "", ()))
+
+    return best(0, "", 2 * len(rows) + 2)
+
+
+def report(rows, ids):
+    out = []
+    for conv in ids:
+        own = [r for r in rows if r[0] == conv]
+        own.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3][:32], hashlib.sha256(r[3].encode()).digest()))
+        turns = {r[1] for r in own} - {None}
+        said = faults(own)
+        pairs = zip(own, own[1:])
+        cost, audit, lines = plain(own)
+        out.append((
+            conv, max(turns) - min(turns) + 1 - len(turns) if turns else 0,
+            *(said.count(x) for x in ("blank", "duplicate", "truncated")),
+            sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in pairs),
+            cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest(),
+        ))
+    return sorted(out, key=repr)
+
+
+def reported(spark, rows, ids=None):
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    every = data if ids is None else spark.createDataFrame([(i,) for i in ids], "conv_id long")
+    return sorted(map(tuple, repair.repair_report(data, every).collect()), key=repr)
+
+
+SYMBOLS = [repair.MUST_GO, *itertools.product("sua?", (False, True))]
+
+
+def expanded(runs):
+    """Rows whose symbols are those of the runs."""
+    rows = []
+    for n, (initial, cut) in enumerate(x for x, length in runs for _ in range(length)):
+        role = {"s": "system", "u": "user", "a": "assistant", "?": "tool", "-": "user"}[initial]
+        rows.append((0, n, role, "" if initial == "-" else f"t{n}" + ("" if cut else ".")))
+    return rows
+
+
+def test_cheapest_of_all_short_conversations():
+    for n in range(4):
+        for symbols in itertools.product(SYMBOLS, repeat=n):
+            runs = [(s, 1) for s in symbols]
+            assert repair.cheapest(repair.merged(runs)) == plain(expanded(runs))[:2], symbols
+
+
+def test_cheapest_of_runs():
+    draw = random.Random(4)
+    for _ in range(150):
+        runs = repair.merged((draw.choice(SYMBOLS), draw.randrange(1, 9)) for _ in range(draw.randrange(1, 5)))
+        assert repair.cheapest(runs) == plain(expanded(runs))[:2], runs
+
+
+def test_runs_of_a_million_rows():
+    million = 1_000_000
+    cost, audit = repair.cheapest([(("u", False), million)])
+    assert (cost, audit.count("K"), audit.count("R")) == (million // 2, million // 2, million // 2)
+    assert repair.cheapest([(("s", False), 1), (repair.MUST_GO, million)]) == (2 * million + 2, "D" * (million + 1))
+
+
+def test_query_equals_search(spark):
+    rows = [tuple(r) for r in workload.load(spark, SF_DIR, "conversations").collect()]
+    got = sorted(map(tuple, workload.QUERIES["op13_conversation_repair"](spark, SF_DIR).collect()), key=repr)
+    assert got == report(damaged(rows), {r[0] for r in rows})
+
+
+ODD = [
+    (None, None, None, None), (None, 1, "user", "Hi."), (None, None, "assistant", "x"), (1, None, "user", "Same."),
+    (1, None, "user", "Same."), (1, 5, "user", "Same."), (1, 5, "assistant", " "), (2, 1, "", "Empty role."),
+    (2, 2, "Users", "Capital."), (2, 3, "sudo", "Starts with s."), (2, 3, "user", "a.\x0b\r\n"),
+    (2, 3, "user", "b" * 40 + "1"), (2, 3, "user", "b" * 40 + "2"), (3, 1, "user", " \t"), (3, 7, "user", ""),
+    (4, 1, "tool", "\U0001f600."), (4, 2, "assistant", "ok?"), (4, -3, "system", "be good!"),
+]
+
+
+def test_odd_rows(spark):
+    assert reported(spark, damaged(ODD), [None, 1, 2, 3, 4, 99]) == report(damaged(ODD), [None, 1, 2, 3, 4, 99])
+    plain_rows = [(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in ODD]
+    assert reported(spark, ODD) == report(plain_rows, {None, 1, 2, 3, 4})
+
+
+def test_damage(spark):
+    rows = [*ODD, *((c, t, "system", f"Text {t}. Go!") for c in range(9) for t in range(40))]
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(map(tuple, repair.damaged(data).collect()), key=repr) == sorted(damaged(rows), key=repr)
+
+
+def test_one_conversation_over_many_tasks(spark):
+    draw = random.Random(5)
+    roles = ["user", "assistant", "user", "assistant", "system", "tool"]
+    rows = [(7, draw.randrange(60), draw.choice(roles), draw.choice(["Ja.", "No", "Doch!", ""])) for _ in range(90)]
+    rows += [(8, 1, "user", "Copy.")] * 50
+    with settings(spark, spark__sql__shuffle__partitions=7, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        assert reported(spark, rows) == report(rows, {7, 8})
+
+
+def test_other_columns_and_empty_table(spark):
+    schema = "id string, n int, who string, said string, conv_id int, place int, audit string, turn string, head int"
+    rows = [("x", 1, "user", "Hi.", 1, 1, "DD", "t", 2), ("x", 2, "user", "Ho.", 2, 1, "K", "u", 2)]
+    data = spark.createDataFrame(rows, schema)
+    names = dict(conversation="id", turn="n", role="who", text="said")
+    found = repair.audits(data, **names).cache()
+    assert [(r.conv_id, r.cost, r.audit) for r in found.collect()] == [("x", 1, "KR")]
+    made = repair.repaired(data, found, **names).collect()
+    assert [tuple(r) for r in made] == [("x", 0, "user", "Hi.", "K"), ("x", 1, "assistant", "Ho.", "R")]
+    assert repair.audits(data.limit(0), **names).collect() == []
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 7, 8, 1000])
+def test_powers_equal_single_steps(length):
+    for symbol in SYMBOLS:
+        single = repair.END
+        for _ in range(length):
+            single = repair.applied(repair.power(symbol, 0), single)
+        assert repair.before(symbol, length, repair.END) == single
