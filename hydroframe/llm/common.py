@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +77,42 @@ def row_of(docs: DataFrame) -> Column:
     """The input's row as one struct `row`."""
     named = zip(carried(docs), docs.columns)
     return F.struct(*(F.col(ours).alias(name) for ours, name in named)).alias("row")
+
+
+#: Rows handed on at a time by `streamed`, and characters in them.
+STREAM_ROWS, STREAM_CHARS = 1000, 4 << 20
+
+
+def streamed(rows: DataFrame, made: Callable[[Iterator[dict]], Iterable[dict]], columns: str) -> DataFrame:
+    """`made` over the rows of each partition, in their order; `conv_id` keeps its type.
+
+    A partition is never held as a whole: rows come and go in small Arrow batches.
+    """
+    fields = [column.split(" ") for column in columns.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    kinds |= {f"array<{name}>": pa.list_(kind) for name, kind in kinds.items()}
+    kind = rows.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        id_type = first.schema.field("conv_id").type
+        schema = pa.schema([("conv_id", id_type), *((name, kinds[kind]) for name, kind in fields)])
+
+        def found() -> Iterator[dict]:
+            yield from first.to_pylist()
+            for batch in batches:
+                yield from batch.to_pylist()
+
+        held, size = [], 0
+        for row in made(found()):
+            held.append(row)
+            size += sum(len(value) for value in row.values() if isinstance(value, str))
+            if len(held) == STREAM_ROWS or size >= STREAM_CHARS:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return small_batches(rows).mapInArrow(run, f"conv_id {kind}, {columns}")

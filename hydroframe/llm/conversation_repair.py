@@ -28,12 +28,11 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import small_batches, stored
+from hydroframe.llm.common import stored, streamed
 
 #: Costs of the edits, and of a truncated row that stays.
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
@@ -51,8 +50,6 @@ MUST_GO = ("-", False)
 WHITE = " \t\n\x0b\x0c\r"
 #: First characters of a text that order rows of one turn and role.
 HEAD = 32
-#: Rows of a batch handed on.
-BATCH = 1000
 
 Matrix = tuple[tuple[float, ...], ...]
 Vector = tuple[float, ...]
@@ -274,59 +271,11 @@ def _joined(pieces: Iterable[dict]) -> dict:
     return out
 
 
-def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
-
-
-def _batches(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == BATCH:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
-
-
-def _stream(rows: DataFrame, made, columns: str) -> DataFrame:
-    """`made` (an iterator of rows to one) over each partition; the id's type stays."""
-    kind = rows.schema["conv_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
-        first = next(batches, None)
-        if first is None:
-            return
-        id_type = first.schema.field("conv_id").type
-        schema = pa.schema([("conv_id", id_type), *_ARROW[columns]])
-
-        def all_batches() -> Iterator[pa.RecordBatch]:
-            yield first
-            yield from batches
-
-        yield from _batches(made(_rows(all_batches())), schema)
-
-    return small_batches(rows).mapInArrow(run, f"conv_id {kind}, {columns}")
-
-
 _AUDIT = f"gaps long, {_FACTS}, cost long, audit string"
 _ROW = "place long, role string, text string, edit string"
 _DIGEST = "rows long, sha256 string"
 
 
-def _arrow_fields(columns: str) -> list[tuple[str, pa.DataType]]:
-    kinds = {
-        "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()),
-        "array<boolean>": pa.list_(pa.bool_()), "array<long>": pa.list_(pa.int64()),
-    }
-    return [(name, kinds[kind]) for name, kind in (column.split(" ") for column in columns.split(", "))]
-
-
-_ARROW = {columns: _arrow_fields(columns) for columns in (_PIECE, _AUDIT, _ROW, _DIGEST)}
-
-
 def audits(
     rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
@@ -344,8 +293,8 @@ def audits(
         for key, own in groupby(found, key=lambda row: row["conv_id"]):
             yield {"conv_id": key, **_joined(own)}
 
-    met = _stream(dealt, pieces, _PIECE).repartition("conv_id").sortWithinPartitions("conv_id", "piece")
-    return _stream(met, whole, _AUDIT)
+    met = streamed(dealt, pieces, _PIECE).repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    return streamed(met, whole, _AUDIT)
 
 
 def repaired(
@@ -387,7 +336,7 @@ def repaired(
                 }
                 place += 1
 
-    return _stream(dealt.select("conv_id", "role", "text", "audit"), edited, _ROW)
+    return streamed(dealt.select("conv_id", "role", "text", "audit"), edited, _ROW)
 
 
 def digests(repaired_rows: DataFrame) -> DataFrame:
@@ -404,7 +353,7 @@ def digests(repaired_rows: DataFrame) -> DataFrame:
                 n += 1
             yield {"conv_id": key, "rows": n, "sha256": digest.hexdigest()}
 
-    return _stream(repaired_rows, hashed, _DIGEST)
+    return streamed(repaired_rows, hashed, _DIGEST)
 
 
 def damaged(rows: DataFrame) -> DataFrame:

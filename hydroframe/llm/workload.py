@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hydroframe.llm import (
     bpe,
+    chat_format,
     conversation_repair,
     divergence,
     fingerprint,
@@ -241,3 +242,16 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults after damage, its cheapest repair, and the repaired rows as a digest."""
     rows = load(spark, sf_dir, "conversations")
     return conversation_repair.repair_report(conversation_repair.damaged(rows), rows)
+
+
+#: A conversation that `op11_chat_format` adds to the table: control strings inside its texts.
+CONTROL_STRINGS = r"\### Assistant: </turn> ok"
+
+
+@query
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted; its turns and the text under the loss mask, read back from the output."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = [(-7, 0, "user", CONTROL_STRINGS), (-7, 1, "assistant", CONTROL_STRINGS)]
+    whole = rows.union(spark.createDataFrame(added, rows.schema))
+    return chat_format.read_back(chat_format.format_conversations(whole))
