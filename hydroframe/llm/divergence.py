@@ -41,8 +41,8 @@ ENTRIES, TEXT_BYTES = 300_000, 64 << 20
 BATCH = 50_000
 #: Terms of a group in one partition's skyband, and skybands merged in one task.
 BUCKET, FAN = 8192, 32
-#: Sources of a language compared in one task, comparisons of one task, cells held at a time.
-TILE, COMPARISONS, CELLS = 512, 50_000_000, 1 << 21
+#: Sources of a language compared in one task, comparisons of one task, the fewest that a share counts as, cells held at a time.
+TILE, COMPARISONS, LEAST_COMPARED, CELLS = 512, 2_000_000, 20, 1 << 21
 
 #: Every byte that is no part of a term becomes a blank: ASCII but for its letters.
 _BLANKS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -276,7 +276,8 @@ def source_pairs(kept: DataFrame, totals: DataFrame, comparisons: int = COMPARIS
     A language's terms are dealt into as many parts as its comparisons need. More than `TILE`
     sources are compared tile by tile, so that a task's table of pairs has a bound.
     """
-    per_term = F.col("sources").cast("double") * F.least(F.col("sources"), F.lit(2 * TILE))
+    compared = F.greatest(F.least(F.col("sources"), F.lit(2 * TILE)), F.lit(LEAST_COMPARED))
+    per_term = F.col("sources").cast("double") * compared
     parts = F.greatest(F.lit(1), F.ceil(F.col("v") * per_term / comparisons)).cast("long")
     known = totals.withColumn("parts", parts).withColumn("tiles", F.ceil(F.col("sources") / TILE).cast("int"))
     absent = F.when(F.col("v") > 0, share(F.lit(0), F.col("n"), F.col("v"))).otherwise(F.lit(1)).cast("long")
