@@ -53,6 +53,60 @@ def upsert_agg(
     )
 
 
+#: The column that tells for each cell, by its name, who wrote it last.
+WRITTEN = "written"
+
+
+def stamped(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    stamp: list[str],
+    present: dict[str, str] | None = None,
+) -> DataFrame:
+    """One row per key of rows that just came, with the last writer of each cell in `WRITTEN`.
+
+    Of repeated keys the last row by `order` wins, cell by cell; `stamp`, the columns that
+    `order` begins with, is what is kept of the winner's place.
+    """
+    if list(order[: len(stamp)]) != list(stamp):
+        raise ValueError(f"the order {list(order)} does not begin with {list(stamp)}")
+    present = present or {}
+    cells = _all_columns([rows], [*keys, *order])
+    there = {c: F.col(present.get(c, c)).isNotNull() for c in cells}
+    merged = rows.groupBy(*keys).agg(
+        *(F.max_by(c, F.when(there[c], F.struct(*order))).alias(c) for c in cells),
+        *(F.max(F.when(there[c], F.struct(*stamp))).alias(f"_by_{i}") for i, c in enumerate(cells)),
+    )
+    return merged.select(*keys, *cells, _writers({c: F.col(f"_by_{i}") for i, c in enumerate(cells)}))
+
+
+def upsert_stamped(frames: list[DataFrame], keys: list[str], present: dict[str, str] | None = None) -> DataFrame:
+    """Upsert of frames of unique keys whose cells know their last writers: the later writer wins.
+
+    The result does not depend on which frame came first, or on how rows were dealt into
+    frames. A cell without a writer is older than any with one; between equal writers the
+    first frame counts.
+    """
+    present = present or {}
+    cells = _all_columns(frames, [*keys, WRITTEN])
+    ranked = [df.select("*", F.lit(-i).alias("_rank")) for i, df in enumerate(frames)]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
+    writer = {c: F.try_element_at(WRITTEN, F.lit(c)) for c in cells}
+    there = {c: F.col(present.get(c, c)).isNotNull() for c in cells}
+    merged = union.groupBy(*keys).agg(
+        *(F.max_by(c, F.when(there[c], F.struct(writer[c], F.col("_rank")))).alias(c) for c in cells),
+        *(F.max(F.when(there[c], writer[c])).alias(f"_by_{i}") for i, c in enumerate(cells)),
+    )
+    return merged.select(*keys, *cells, _writers({c: F.col(f"_by_{i}") for i, c in enumerate(cells)}))
+
+
+def _writers(of: dict[str, Column]) -> Column:
+    """Cell names to their writers; cells nobody wrote are left out."""
+    entries = F.array(*(F.struct(F.lit(c).alias("key"), by.alias("value")) for c, by in of.items()))
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias(WRITTEN)
+
+
 def _all_columns(frames: list[DataFrame], without: list[str]) -> list[str]:
     """Columns of all frames in order of appearance."""
     names = dict.fromkeys(c for df in frames for c in df.columns)

@@ -32,7 +32,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from hydroframe.operators.observations import in_window, moments
 from hydroframe.operators.refresh import freshness, refetch_since
-from hydroframe.operators.upsert import upsert_agg
+from hydroframe.operators.upsert import WRITTEN, stamped, upsert_agg, upsert_stamped
 
 PLACE = ["period", "bucket"]
 PLACE_FIELDS = [StructField("period", StringType()), StructField("bucket", LongType())]
@@ -50,6 +50,8 @@ class Dataset:
 
     With `identity` columns a refresh is a cell-level upsert, see `upsert_agg` for
     `order` and `present`; without, it replaces all rows of the refreshed keys.
+    With `stamp`, the columns `order` begins with, every cell keeps its last writer, and the
+    later writer wins whichever refresh it came in; without, the later refresh wins.
     `time` splits the storage by `period`, too, a month unless a pattern says otherwise;
     the names a pattern gives must sort as the times do.
     """
@@ -59,6 +61,7 @@ class Dataset:
     ttl: str
     identity: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
+    stamp: tuple[str, ...] = ()
     present: dict[str, str] = field(default_factory=dict)
     time: str | None = None
     period: str = "yyyy-MM"
@@ -92,7 +95,8 @@ def _wider(old: StructType, new: StructType) -> StructType:
     """Fields of both; a dataset may gain columns but not change their types."""
     types = {f.name: f.dataType for f in old}
     for f in new:
-        if types.setdefault(f.name, f.dataType) != f.dataType:
+        # Whether parts of a type may be null says nothing about what is stored.
+        if types.setdefault(f.name, f.dataType).simpleString() != f.dataType.simpleString():
             raise ValueError(f"{f.name} is stored as {types[f.name]}, fetched as {f.dataType}")
     return StructType([StructField(name, kind) for name, kind in types.items()])
 
@@ -140,7 +144,7 @@ class Store:
             rows = self._of_keys(rows, keys, dataset.key)
         if dataset.time and (start or end):
             rows = in_window(rows, start, end, dataset.time)
-        return rows.drop(*PLACE)
+        return rows.drop(*PLACE, WRITTEN)
 
     def marks(self, dataset: Dataset) -> DataFrame:
         """(key, fetched_at, high_water): one row per key ever fetched."""
@@ -190,13 +194,16 @@ class Store:
         committed as they are.
         """
         before = self._latest(dataset)
-        stored = [f for f in rows.schema if f.name not in dataset.order]
-        fields = _wider(before.fields, StructType(stored))
-
+        dataset, rows = self._with_writers(dataset, rows, before.fields, now)
         incoming = self._placed(dataset, rows, before.buckets)
-        if dataset.identity:
+        if dataset.stamp:
+            keys_of = [*dataset.identity, *PLACE]
+            incoming = stamped(incoming, keys_of, list(dataset.order), list(dataset.stamp), dataset.present)
+        elif dataset.identity:
             incoming = self._upserted(dataset, [incoming], dataset.order)
-        arrived = self._written(dataset, incoming.drop(*dataset.order))
+        incoming = incoming.drop(*dataset.order)
+        fields = _wider(before.fields, StructType([f for f in incoming.schema if f.name not in PLACE]))
+        arrived = self._written(dataset, incoming)
         new = arrived.manifest
         if keys is None:
             keys = arrived.rows.select(dataset.key)
@@ -303,11 +310,27 @@ class Store:
             }
         )
 
+    def _with_writers(
+        self, dataset: Dataset, rows: DataFrame, stored: StructType, now: Column
+    ) -> tuple[Dataset, DataFrame]:
+        """Rows without writers that meet cells which have some were written at the time of the refresh."""
+        if dataset.stamp or WRITTEN not in stored.names:
+            return dataset, rows
+        writer = stored[WRITTEN].dataType.valueType
+        for f in writer.fields:
+            if f.name not in rows.columns:
+                rows = rows.withColumn(f.name, (now if f.name == writer[0].name else F.lit(None)).cast(f.dataType))
+        stamp = tuple(writer.names)
+        rest = (c for c in dataset.order if c not in stamp)
+        return replace(dataset, order=(*stamp, *rest), stamp=stamp), rows
+
     def _upserted(
         self, dataset: Dataset, frames: list[DataFrame], order: tuple[str, ...] = ()
     ) -> DataFrame:
         # The identity decides the place, so grouping by both groups by the identity.
         keys = [*dataset.identity, *PLACE]
+        if dataset.stamp:
+            return upsert_stamped(frames, keys, dataset.present)
         return upsert_agg(frames, keys, list(order), dataset.present)
 
     def _written(self, dataset: Dataset, rows: DataFrame) -> Generation:

@@ -13,8 +13,8 @@ from hydroframe.plans.store import Dataset, Store
 from hydroframe.sources.rdb import scan
 
 MAX_FILES = 10_000
-# Fixed schema of Spark's binaryFile source.
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+# What the journal says of a file: a file that changes in any of these is a new one.
+JOURNAL_SCHEMA = "path string, modificationTime timestamp, length bigint"
 ARRIVED = "arrived"
 
 
@@ -23,6 +23,32 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
+def journal_folder(checkpoint: str) -> str:
+    return f"{checkpoint.rstrip('/')}/journal"
+
+
+def arrivals(spark: SparkSession, landing: str, checkpoint: str) -> DataFrame:
+    """(path, modificationTime, length) of the files in `landing` that the journal does not have.
+
+    No file is opened, and files of any age count: what is new is told by the journal alone.
+    """
+    journal = spark.read.schema(JOURNAL_SCHEMA).parquet(journal_folder(checkpoint))
+    listed = spark.read.format("binaryFile").load(landing).select("path", "modificationTime", "length").distinct()
+    return listed.join(journal, ["path", "modificationTime", "length"], "left_anti")
+
+
+def journalled(spark: SparkSession, landing: str, checkpoint: str, max_files: int = MAX_FILES) -> None:
+    """Enter new files into the journal, `max_files` at most into one of its own files.
+
+    What a lost job left half-entered is entered by the next run: an entry counts from the moment
+    its journal file is there.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(journal_folder(checkpoint))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    new = arrivals(spark, landing, checkpoint)
+    new.write.mode("append").option("maxRecordsPerFile", max_files).parquet(journal_folder(checkpoint))
+
+
 def stream_upsert(
     spark: SparkSession,
     landing: str,
@@ -34,20 +60,21 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Upsert every file that arrived since the last run, then stop.
 
-    The stream carries file names only; each micro-batch reads its files with the
-    batch reader, whole files of one header each. The driver sees at most `max_files`
-    names at a time. Repeating a micro-batch after a failure changes nothing: the
-    upsert is idempotent.
+    New files are entered into a journal next to the stream's checkpoint; the stream reads the
+    journal, so what it remembers grows with the runs and not with the files, and a file is
+    taken once whatever its modification time. A file that was written again is a new one.
+    Each micro-batch reads its files, `max_files` at most, with the batch reader. Repeating a
+    micro-batch after a failure changes nothing: the upsert is idempotent.
 
-    Files are taken in order of their modification times, and within a micro-batch the
-    rows of the later file win: the result does not depend on `max_files`, as long as
-    files that hold the same cells differ in their times. Observations without a
-    readable time are set aside.
+    Every cell keeps the modification time and name of the file it came from. The later file
+    wins, so the result depends neither on `max_files` nor on which run a file came in.
+    Observations without a readable time are set aside.
     """
-    ordered = replace(dataset, order=(ARRIVED, *dataset.order))
+    writer = (ARRIVED, "file")
+    order = (*writer, *(c for c in dataset.order if c not in writer))
+    ordered = replace(dataset, order=order, stamp=writer)
 
     def refresh(batch: DataFrame, _: int) -> None:
-        # Spark lists a file more than once where another's name looks like a pattern.
         paths = [literal_path(row.path) for row in batch.select("path").distinct().collect()]
         if not paths:
             return
@@ -57,16 +84,16 @@ def stream_upsert(
             store.set_aside(f"unplaced-{dataset.name}", lost)
         store.commit(ordered, None, long.where("datetime is not null").drop("raw_time"), now)
 
-    arrivals = (
-        spark.readStream.format("binaryFile")
-        .schema(FILE_SCHEMA)
-        .option("maxFilesPerTrigger", max_files)
-        .load(landing)
+    journalled(spark, landing, checkpoint, max_files)
+    names = (
+        spark.readStream.schema(JOURNAL_SCHEMA)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(journal_folder(checkpoint))
         .select("path")
     )
     return (
-        arrivals.writeStream.foreachBatch(refresh)
-        .option("checkpointLocation", checkpoint)
+        names.writeStream.foreachBatch(refresh)
+        .option("checkpointLocation", f"{checkpoint.rstrip('/')}/stream")
         .trigger(availableNow=True)
         .start()
     )
