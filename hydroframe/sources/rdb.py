@@ -7,7 +7,9 @@ common schema: each data line is matched with the header of its own file.
 Files up to `whole_file_limit` bytes are read as one row each. Header and data
 lines then sit in the same row and are taken apart without join or shuffle.
 Larger files are read line by line in many splits; their data lines are joined
-with their headers, which are broadcast once their measured size is small.
+with their headers, which are broadcast once their measured size is small. Larger headers
+are repeated for each part of their file and joined by file and part, so that no file is
+one key, however large it is. Tasks read the headers, each its file up to the type row.
 
 One rule holds in every layout and however files are split. A comment begins with `#`,
 blanks before it allowed; a line of blanks is nothing; the first other line is the
@@ -16,13 +18,11 @@ header, the second the type row, and a line that repeats either word for word is
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +32,12 @@ from hydroframe.session import shared_folder
 WHOLE_FILE_LIMIT = 32 << 20
 BROADCAST_LIMIT = 64 << 20
 MOST_COLUMNS = 2000
-# The header pass: bytes of a file read at a time, files open and files held at a time.
-HEAD_BYTES, HEAD_THREADS, HEAD_FILES = 1 << 16, 16, 1000
+# Bytes of a file whose lines share one copy of its header, where headers are not broadcast.
+PART_BYTES = 128 << 20
+# The header pass: lines that a task gets at a time, and a size that no file has.
+HEAD_LINES, WHOLE = 64, 1 << 60
 LINE_COLUMNS = "file string, block bigint, line bigint, value string"
+HEAD_SCHEMA = f"{LINE_COLUMNS}, parts bigint"
 
 
 def split_lines(text: Column) -> Column:
@@ -78,7 +81,8 @@ class RdbText:
     documents: (file, value), one row per whole file; with `block` a row is one piece of
         a file, which begins with the file's header and type row.
     lines: (file, block, line, value), ordered by (block, line) within a file.
-    head_lines: lines of the same form that hold every comment, header and type line.
+    head_lines: lines of the same form that hold every comment, header and type line; with
+        `parts`, the number of their file's parts, `lines` have a `part` below it.
     broadcast_heads: the headers of `lines` were measured and fit a broadcast.
     carried: further columns of documents and lines that every row keeps.
     """
@@ -184,14 +188,19 @@ class RdbText:
     def _line_rows(self, head_columns: Iterable[Column]) -> DataFrame:
         texts = [F.array_join(c, "\t").alias(f"{c}_text") for c in ("names", "codes")]
         heads = line_heads(self.head_lines).select("file", *texts, _checked_width(), *head_columns)
+        lines, on = self.lines, ["file"]
         if self.broadcast_heads:
-            heads = F.broadcast(heads)
+            heads, lines = F.broadcast(heads), lines.drop("part")
+        elif "part" in lines.columns:
+            parts = self.head_lines.groupBy("file").agg(F.max("parts").alias("parts"))
+            each = parts.select("file", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+            heads, on = heads.join(each, "file"), ["file", "part"]
         value = F.col("value")
         repeats_head = value.isin(F.col("names_text"), F.col("codes_text"))
         # One condition on both sides stays at the join; split in two, the part on the
         # line would be pushed below whatever computes the line and repeat it.
         is_data = F.when(repeats_head, False).otherwise(is_content(value))
-        return self.lines.join(heads, "file").where(is_data).drop("names_text", "codes_text")
+        return lines.join(heads, on).where(is_data).drop("names_text", "codes_text", "part")
 
 
 def _stacked(parts: list[DataFrame]) -> DataFrame:
@@ -285,9 +294,9 @@ def scan(
     compressed file counts by its compressed size: lower the limit for those. `arrival`
     names a column for the files' modification time, which every row then carries.
 
-    The headers of large files are read by a pass of their own, which stops behind the type
-    row: it reads as much as files have leading lines, not as much as they have data,
-    wherever the header stands.
+    The headers of large files are read by a pass of their own, a task for each file, which
+    stops behind the type row: it reads as much as files have leading lines, not as much as
+    they have data, wherever the header stands. The driver opens no file.
     """
     name, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
     carried = (arrival,) if arrival else ()
@@ -302,15 +311,16 @@ def scan(
     if listing.where(F.col("length") > whole_file_limit).isEmpty():
         return RdbText(documents=documents, carried=carried)
     text = spark.read.options(**options).text(paths).where(size > whole_file_limit)
+    block = F.col("_metadata.file_block_start")
     lines = text.select(
         name.alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        block.alias("block"),
+        F.floor(block / PART_BYTES).alias("part"),
         F.monotonically_increasing_id().alias("line"),
         *extra,
         "value",
     )
-    large = listing.where(F.col("length") > whole_file_limit).select(name.alias("file"), "path")
-    head_lines = _landed_heads(spark, large)
+    head_lines = _landed_heads(spark, paths, whole_file_limit, options)
     return RdbText(
         documents=documents,
         lines=lines,
@@ -320,46 +330,46 @@ def scan(
     )
 
 
-def _landed_heads(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """LINE_COLUMNS of the lines that files (file, path) begin with, as a table in the shared folder.
+def _landed_heads(
+    spark: SparkSession, paths: str | list[str], whole_file_limit: int, options: dict[str, str]
+) -> DataFrame:
+    """HEAD_SCHEMA of the lines that large files begin with, as a table in the shared folder.
 
-    Spark's readers cannot be stopped inside a split, so the driver opens the files, many at
-    a time, and reads their beginnings only. It holds HEAD_FILES of them at once.
+    Each file is one partition of a session of its own, whose task asks for no more
+    lines once it has the type row; so a file's beginning is read, by Spark's own reader.
     """
     folder = f"{shared_folder(spark)}/heads-{uuid.uuid4().hex}"
-    names = iter(files.toLocalIterator())
-    with ThreadPoolExecutor(HEAD_THREADS) as pool:
-        while some := list(islice(names, HEAD_FILES)):
-            found = pool.map(lambda row: _leading_lines(spark, row.path), some)
-            rows = [(row.file, 0, at, line) for row, lines in zip(some, found) for at, line in enumerate(lines)]
-            spark.createDataFrame(rows, LINE_COLUMNS).write.mode("append").parquet(folder)
-    return spark.read.schema(LINE_COLUMNS).parquet(folder)
-
-
-def _leading_lines(spark: SparkSession, path: str) -> list[str]:
-    """The lines of a file up to its type row, or all if it has none."""
-    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(settings).open(place)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(settings).getCodec(place)
-    if codec is not None:
-        stream = codec.createInputStream(stream)
-    found, rest, content = [], b"", 0
-    try:
-        while content < 2:
-            data = bytes(stream.readNBytes(HEAD_BYTES))
-            if not data and not rest:
-                break
-            # A carriage return at the end may be half a line end.
-            *whole, rest = re.split(rb"\r\n|\n|\r(?!$)", rest + data) if data else [rest, b""]
-            for line in whole:
-                found.append(line.decode("utf-8", "replace"))
-                content += is_content_line(found[-1])
-                if content == 2:
-                    break
-    finally:
-        stream.close()
-    return found
+    side = spark.newSession()
+    # A partition ends where the next file would make it larger than this: behind every file.
+    side.conf.set("spark.sql.files.maxPartitionBytes", WHOLE)
+    side.conf.set("spark.sql.files.openCostInBytes", WHOLE)
+    side.conf.set("spark.sql.files.minPartitionNum", 1)
+    side.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", HEAD_LINES)
+    size = F.col("_metadata.file_size")
+    text = side.read.options(**options).text(paths).where(size > whole_file_limit)
+    parts = (F.floor(size / PART_BYTES) + 1).cast("bigint")
+    begun = text.select(F.col("_metadata.file_path").alias("file"), parts.alias("parts"), "value")
+    begun.mapInArrow(_leading_lines, HEAD_SCHEMA).write.parquet(folder)
+    return spark.read.schema(HEAD_SCHEMA).parquet(folder)
+
+
+def _leading_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a file up to its type row, or all if it has none; nothing behind it is asked for."""
+    content = line = 0
+    for batch in batches:
+        values, n = batch.column("value").to_pylist(), 0
+        while n < len(values) and content < 2:
+            content += is_content_line(values[n])
+            n += 1
+        numbers = pa.array(range(line, line + n), pa.int64())
+        head = batch.slice(0, n)
+        yield pa.RecordBatch.from_arrays(
+            [head.column("file"), pa.array([0] * n, pa.int64()), numbers, head.column("value"), head.column("parts")],
+            ["file", "block", "line", "value", "parts"],
+        )
+        if content == 2:
+            return
+        line += n
 
 
 def read_rdb(

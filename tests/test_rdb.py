@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,48 @@ def test_one_meaning_of_lines_at_any_size(spark, tmp_path, limit, split_size):
     assert sorted(map(tuple, got)) == [("01", 4500, 3.0 * sum(range(1500))), ("02", 1, 7.0)]
 
 
+def test_one_large_file_is_no_hot_key(spark, tmp_path, monkeypatch):
+    """Headers too large to broadcast: a file's lines meet its header in many tasks, without adaptive execution."""
+    rows = [f"2021-10-01 00:{i % 60:02d}\tPST\t{i}\tP" for i in range(6000)]
+    put(tmp_path, large=values("01", "1_00010", rows), small=values("02", "2_00010", rows[:90]))
+    monkeypatch.setattr(rdb, "BROADCAST_LIMIT", 0)
+    monkeypatch.setattr(rdb, "PART_BYTES", 8 << 10)
+    with settings(
+        spark, spark__sql__files__maxPartitionBytes=8 << 10, spark__sql__files__openCostInBytes=1,
+        spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold=-1,
+        spark__sql__shuffle__partitions=16,
+    ):
+        text = scan(spark, str(tmp_path), whole_file_limit=0)
+        assert not text.broadcast_heads
+        long = observations.long_observations(text)
+        met = long.groupBy("site_no", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in met) == 6090
+    large = [r.n for r in met if r.site_no == "01"]
+    assert len(large) > 8 and max(large) < 6000 / 3
+
+
+def test_tasks_read_headers_and_no_more(spark, tmp_path):
+    """A header's task stops behind the type row, however long the comments before it and the data after."""
+    rows = [f"2021-10-01 00:{i % 60:02d}\tPST\t{i}\tP" for i in range(3000)]
+    put(tmp_path, a="# c\n" * 500 + values("01", "1_00010", rows), b=values("02", "2_00010", rows), c="# none\n")
+    text = scan(spark, str(tmp_path), whole_file_limit=0)
+    kept = {r.file.rsplit("/")[-1]: r["count"] for r in text.head_lines.groupBy("file").count().collect()}
+    assert kept == {"a.rdb": 500 + len(values("01", "1_00010", []).splitlines()), "b.rdb": len(values("02", "2_00010", []).splitlines()), "c.rdb": 1}
+
+    class Batches:
+        asked = 0
+
+        def __iter__(self):
+            for start in range(0, 6400, 64):
+                self.asked += 1
+                lines = ["# c"] * 64 if start < 128 else ["k\tv", "5s\t5n"] + ["a\t1"] * 62
+                yield pa.RecordBatch.from_pydict({"file": ["f"] * 64, "parts": [1] * 64, "value": lines})
+
+    batches = Batches()
+    assert sum(b.num_rows for b in rdb._leading_lines(iter(batches))) == 130
+    assert batches.asked == 3
+
+
 def test_large_ids_stay_text(spark, tmp_path):
     rows = "".join(f"AG\t{i:08d}\n" for i in range(50_000))
     df = read_rdb(spark, put(tmp_path, a=f"agency_cd\tsite_no\n5s\t15s\n{rows}"))
