@@ -3,7 +3,7 @@
 Layout of one dataset under `root/<dataset>`:
 
     data/gen=<id>/period=<p>/bucket=<b>/*.parquet   rows, never changed once written
-    marks/<id>                                      key, fetched_at, high_water
+    marks/<id>                                      key, fetched_at, high_water: what a refresh changed
     commits/<n>-<id>                                which generation holds each (period, bucket)
     aside/<id>                                      rows that cannot be stored, as fetched
 
@@ -12,6 +12,10 @@ commits a new version; readers keep the version they started with. Buckets are h
 of the key, so that a read by key opens one bucket however many keys there are. What
 falls into one partition is written by several tasks when it is large.
 
+Marks of all keys are the fold of the changes a commit lists. Its newest changes become one
+list when they are many, and meet older, larger ones only once they are as many as those:
+what is written follows the keys that were refreshed, not the keys there are.
+
 A commit is a folder of its own, and counts once its writer has marked it complete. The
 newest is told by the folders' names; what a writer left that died is never looked at.
 """
@@ -42,6 +46,8 @@ COMMIT_SCHEMA = f"{MANIFEST_SCHEMA}, marks string, fields string, buckets int"
 Bound = str | datetime | None
 ALL_TIMES = "all"
 FEW_KEYS = 1000
+# Lists of changed marks that a commit names at most, and how many of the newest become one.
+MOST_MARKS, FOLDED_MARKS = 32, 16
 
 
 @dataclass(frozen=True)
@@ -74,11 +80,14 @@ Manifest = dict[tuple[str, int], str]
 
 @dataclass(frozen=True)
 class Version:
-    """One committed state of a dataset."""
+    """One committed state of a dataset.
+
+    `marks` lists folders of changed marks, oldest first, each with its number of rows.
+    """
 
     number: int
     manifest: Manifest
-    marks: DataFrame
+    marks: list[tuple[str, int]]
     fields: StructType
     buckets: int
 
@@ -148,7 +157,7 @@ class Store:
 
     def marks(self, dataset: Dataset) -> DataFrame:
         """(key, fetched_at, high_water): one row per key ever fetched."""
-        return self._latest(dataset).marks
+        return self._folded(dataset, [path for path, _ in self._latest(dataset).marks])
 
     def status(self, dataset: Dataset, keys: DataFrame, now: Column) -> DataFrame:
         """Requested keys with `fetched_at`, `high_water` and whether they are stale."""
@@ -225,9 +234,9 @@ class Store:
         untouched = {p: gen for p, gen in before.manifest.items() if p not in touched}
         marks = self._written_marks(dataset, before.marks, keys, arrived.rows, now)
         after = replace(
-            before, number=before.number + 1, manifest=untouched | new, fields=fields
+            before, number=before.number + 1, manifest=untouched | new, marks=marks, fields=fields
         )
-        self._write_commit(dataset, after, marks)
+        self._write_commit(dataset, after)
         return after.number
 
     def cached(self, dataset: Dataset):
@@ -375,26 +384,54 @@ class Store:
         return rows.join(keys, key, "left_semi")
 
     def _written_marks(
-        self, dataset: Dataset, old: DataFrame, keys: DataFrame, arrived: DataFrame, now: Column
-    ) -> str:
-        """Marks after a refresh; a key without new rows counts as fetched, too."""
+        self,
+        dataset: Dataset,
+        old: list[tuple[str, int]],
+        keys: DataFrame,
+        arrived: DataFrame,
+        now: Column,
+    ) -> list[tuple[str, int]]:
+        """Marks after a refresh; a key without new rows counts as fetched, too.
+
+        Only marks that changed are written. The newest lists become one where they are
+        many, with every older list that has no more rows than those behind it.
+        """
         key = dataset.key
         latest = F.max(dataset.time) if dataset.time else F.max(F.lit(None))
         high = arrived.groupBy(key).agg(latest.cast("timestamp_ntz").alias("high_water"))
         fetched = keys.select(key).distinct().withColumn("fetched_at", now.cast("timestamp_ntz"))
-        merged = (
-            old.unionByName(fetched.join(high, key, "left"))
-            .groupBy(key)
-            .agg(F.max("fetched_at").alias("fetched_at"), F.max("high_water").alias("high_water"))
-        )
+        marks = [*old, self._new_marks(dataset, fetched.join(high, key, "left"))]
+        if len(marks) <= MOST_MARKS:
+            return marks
+        first = len(marks) - FOLDED_MARKS
+        rows = sum(n for _, n in marks[first:])
+        while first and marks[first - 1][1] <= rows:
+            first -= 1
+            rows += marks[first][1]
+        folded = self._folded(dataset, [path for path, _ in marks[first:]])
+        return [*marks[:first], self._new_marks(dataset, folded)]
+
+    def _new_marks(self, dataset: Dataset, marks: DataFrame) -> tuple[str, int]:
         path = f"{self._folder(dataset, 'marks')}/{uuid.uuid4().hex}"
-        merged.write.parquet(path)
-        return path
+        marks.write.parquet(path)
+        return path, self.spark.read.schema(marks.schema).parquet(path).count()
+
+    def _folded(self, dataset: Dataset, paths: list[str]) -> DataFrame:
+        """(key, fetched_at, high_water): one row per key of the listed changes."""
+        schema = f"`{dataset.key}` string, fetched_at timestamp_ntz, high_water timestamp_ntz"
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        changes = self.spark.read.schema(schema).parquet(*paths)
+        if len(paths) == 1:
+            return changes
+        return changes.groupBy(dataset.key).agg(
+            F.max("fetched_at").alias("fetched_at"), F.max("high_water").alias("high_water")
+        )
 
-    def _write_commit(self, dataset: Dataset, version: Version, marks: str) -> None:
+    def _write_commit(self, dataset: Dataset, version: Version) -> None:
         """Fails if another writer has committed the same version."""
         rows = [(*place, gen, None, None, None) for place, gen in version.manifest.items()]
-        rows.append((None, None, None, marks, version.fields.json(), version.buckets))
+        rows.append((None, None, None, json.dumps(version.marks), version.fields.json(), version.buckets))
         commit = self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1)
         before = self._newest_commit(dataset)
         folder = f"{self._folder(dataset, 'commits')}/{version.number}-{uuid.uuid4().hex}"
@@ -405,24 +442,16 @@ class Store:
             raise ValueError(f"{dataset.name}: version {version.number} already exists")
 
     def _latest(self, dataset: Dataset) -> Version:
-        key = dataset.key
-        marks_schema = f"{key} string, fetched_at timestamp_ntz, high_water timestamp_ntz"
         newest = self._newest_commit(dataset)
         if newest is None:
-            return Version(
-                0,
-                {},
-                self.spark.createDataFrame([], marks_schema),
-                StructType([StructField(key, StringType())]),
-                self.buckets,
-            )
+            return Version(0, {}, [], StructType([StructField(dataset.key, StringType())]), self.buckets)
         number, folder = newest
         rows = self.spark.read.schema(COMMIT_SCHEMA).parquet(folder).collect()
         extra = next(r for r in rows if r.gen is None)
         return Version(
             number,
             {(r.period, r.bucket): r.gen for r in rows if r.gen is not None},
-            self.spark.read.schema(marks_schema).parquet(extra.marks),
+            [(path, rows) for path, rows in json.loads(extra.marks)],
             StructType.fromJson(json.loads(extra.fields)),
             extra.buckets,
         )

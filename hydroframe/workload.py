@@ -7,6 +7,7 @@ read back by the operators, so that every query works on whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from hydroframe.functions import cells, times
 from hydroframe.operators import observations, refresh, stations, upsert
 from hydroframe.operators.parameters import MARKER, parameter_table
 from hydroframe.plans import requests
+from hydroframe.plans.store import Dataset, Store
+from hydroframe.session import shared_folder
 from hydroframe.sources import html
 from hydroframe.sources.rdb import RdbText
 
@@ -552,6 +555,38 @@ def upsert_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upsert_agg(list(stored_and_refetched(spark, sf_dir)), ["user_id", "ts"])
 
 
+@query(f"""
+select cast(user_id as varchar) user_id, ts, value, q from ({UPSERT_SQL})
+where user_id in (select c_custkey from customer where c_mktsegment = 'BUILDING')
+  and ts between timestamp '2024-01-05' and timestamp '2024-01-25'
+""")
+def store_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events kept in a store, refreshed there from each user's last day, and some users' window read back."""
+    events = load(spark, sf_dir, "events").withColumn("user_id", F.col("user_id").cast("string"))
+    dataset = Dataset("events", key="user_id", ttl="1D", identity=("user_id", "ts"), time="ts")
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=4)
+
+    @store.cached(dataset)
+    def kept(requested: DataFrame) -> DataFrame:
+        """What the service knew at first."""
+        known = events.where(F.col("ts") < local("2024-01-20 12:00:00")).join(requested, "user_id")
+        return known.select("user_id", "ts", "value", F.lit("P").alias("q"))
+
+    @store.cached(dataset)
+    def refreshed(requested: DataFrame) -> DataFrame:
+        """What it knows later: other values from the day asked for, and none for errors."""
+        known = events.join(requested, "user_id").where(F.col("ts") >= F.col("since").cast("timestamp_ntz"))
+        value = F.when(F.col("event_type") != "error", F.col("value") * 2)
+        return known.select("user_id", "ts", value.alias("value"), F.lit("A").alias("q"))
+
+    keys = events.select("user_id")
+    kept(keys, local("2024-01-20 12:00:00"))
+    refreshed(keys, local(NOW))
+    some = load(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    wanted = some.select(F.col("c_custkey").cast("string").alias("user_id"))
+    return store.read(dataset, wanted, "2024-01-05", "2024-01-25")
+
+
 @query("""
 select cast(case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as int) part_idx,
        count(*) n, count(case when o_orderstatus <> 'P' then o_totalprice end) price,

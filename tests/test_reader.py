@@ -10,6 +10,7 @@ from hydroframe.operators.observations import long_observations, moments
 from hydroframe.operators.parameters import parameter_table
 from hydroframe.plans.reader import OBSERVATIONS, STATIONS, StationReader, as_wide
 from hydroframe.operators.upsert import parts_of, stacked_parts
+from hydroframe.plans import store as store_module
 from hydroframe.plans.store import Dataset, Store
 from hydroframe.sources import service
 from hydroframe.sources.html import SITE_TYPE_COLUMNS
@@ -393,3 +394,21 @@ def test_a_hot_folder_is_written_by_several_tasks(spark, tmp_path):
     assert stored.count() == 60_000
     files = stored.inputFiles()
     assert len({f.rsplit("/", 1)[0] for f in files}) == 1 and len(files) > 3
+
+
+def test_marks_are_written_as_they_change(spark, tmp_path, monkeypatch):
+    """A refresh writes the marks of its keys; lists of changes are folded when they are many."""
+    monkeypatch.setattr(store_module, "MOST_MARKS", 3)
+    monkeypatch.setattr(store_module, "FOLDED_MARKS", 2)
+    store = Store(spark, str(tmp_path), buckets=1)
+    dataset = Dataset("d", key="k", ttl="1D")
+    moments_of = {}
+    lists = []
+    for n, keys in enumerate([[f"k{i}" for i in range(50)], ["k1"], ["k2"], ["k1"], ["k3"], ["new"]]):
+        rows = spark.createDataFrame([(k, n) for k in keys], "k string, v int")
+        now = datetime(2021, 1, n + 1)
+        store.commit(dataset, rows.select("k"), rows, F.lit(now.isoformat(" ")).cast("timestamp_ntz"))
+        moments_of |= dict.fromkeys(keys, now)
+        lists.append([count for _, count in store._latest(dataset).marks])
+    assert lists == [[50], [50, 1], [50, 1, 1], [50, 2], [50, 2, 1], [50, 4]]
+    assert {r.k: r.fetched_at for r in store.marks(dataset).collect()} == moments_of
