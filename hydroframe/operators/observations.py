@@ -59,13 +59,33 @@ def long_observations(text: RdbText) -> DataFrame:
     (`Ice`) or no time stays visible next to its null. `attributes` holds the line's other
     columns by name; null cells are left out. (file, block, line) tell where a row came from.
     """
+    return _long(text)
+
+
+#: Kinds of `routed_observations`.
+PLACED, TIMELESS, REJECTED = "placed", "timeless", "rejected"
+
+
+def routed_observations(text: RdbText) -> DataFrame:
+    """`long_observations` and the lines that fit no header, in one pass, told apart by `kind`.
+
+    `placed` rows have a time, `timeless` ones none that can be read; a `rejected` row stands for
+    a line with more cells than columns and has it in `rejected`.
+    """
+    kind = F.when(F.col("rejected").isNotNull(), REJECTED).when(F.col("datetime").isNull(), TIMELESS)
+    return _long(text, "rejected").withColumn("kind", kind.otherwise(PLACED))
+
+
+def _long(text: RdbText, rejected_as: str | None = None) -> DataFrame:
     names = F.col("names")
+    kept = [rejected_as] if rejected_as else []
     rows = text.rows(
         _series(names).alias("series"),
         _others(names).alias("others"),
         position_in(names, "site_no").alias("site_at"),
         position_in(names, "datetime").alias("time_at"),
         position_in(names, "tz_cd").alias("zone_at"),
+        rejected_as=rejected_as,
     )
     time = F.get("cells", F.col("time_at"))
     cells = F.col("cells")
@@ -74,7 +94,8 @@ def long_observations(text: RdbText) -> DataFrame:
     )
     # Cast what all series of a line share before the line is multiplied.
     shared = rows.select(
-        "file", "block", "line", "cells", "series", *text.carried,
+        "file", "block", "line", "cells", *kept, *text.carried,
+        (F.when(F.col(rejected_as).isNull(), F.col("series")) if kept else F.col("series")).alias("series"),
         text_cell(F.get("cells", F.col("site_at"))).alias("site_no"),
         time_cell(time).alias("datetime"),
         text_cell(time).alias("raw_time"),
@@ -83,7 +104,10 @@ def long_observations(text: RdbText) -> DataFrame:
     )
     # explode would add a condition on `series` that is pushed down to the file scan
     # and takes each file apart a second time; explode_outer adds none.
-    each = shared.withColumn("s", F.explode_outer("series")).where("s is not null")
+    found = F.col("s").isNotNull()
+    for name in kept:
+        found |= F.col(name).isNotNull()
+    each = shared.withColumn("s", F.explode_outer("series")).where(found)
     cell = F.get("cells", F.col("s.value_at"))
     return each.select(
         "site_no",
@@ -101,6 +125,7 @@ def long_observations(text: RdbText) -> DataFrame:
         "block",
         "line",
         *text.carried,
+        *kept,
     )
 
 

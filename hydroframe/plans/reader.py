@@ -18,7 +18,6 @@ from hydroframe.operators.observations import (
     in_window,
     long_observations,
     moments,
-    timeless,
     wide_observations,
 )
 from hydroframe.operators.parameters import parameter_table
@@ -26,7 +25,7 @@ from hydroframe.plans import requests
 from hydroframe.plans.store import Bound, Dataset, Store
 from hydroframe.sources.html import html_table
 from hydroframe.sources.rdb import RdbText
-from hydroframe.sources.service import fetch_pages, fetch_text, landed
+from hydroframe.sources.service import fetch_pages, land_requests
 
 # Lifetimes of the datasets.
 STATIONS = Dataset("stations", key="state", ttl="1D")
@@ -80,8 +79,8 @@ class StationReader:
 
         def fetch(todo: DataFrame) -> DataFrame:
             url = requests.values_url(self.base_url, F.col("site_no"), F.col("since"))
-            text = self._land("observations", todo.withColumn("url", url), "site_no")
-            return self._timed("observations", long_observations(text))
+            text = self._fetched("observations", todo.withColumn("url", url), "site_no")
+            return self.store.routed("observations", text)
 
         return self._materialized(OBSERVATIONS, sites, fetch, now, start, end)
 
@@ -99,7 +98,7 @@ class StationReader:
         first, last = sorted(moments(self.spark, start or _text(now), end or _text(now)))
         bounds = (F.lit(first.isoformat(sep=" ")), F.lit(last.isoformat(sep=" ")))
         plan = requests.yearly_requests(self.base_url, keys, *bounds, run_ts)
-        rows = self._timed("yearly", long_observations(self._land("yearly", plan, "url")))
+        rows = self.store.routed("yearly", self._fetched("yearly", plan, "url"))
         return in_window(rows, first, last)
 
     def rejected(self, name: str) -> DataFrame | None:
@@ -143,21 +142,18 @@ class StationReader:
         requested = self._keys(keys, dataset.key)
         return self.store.materialize(dataset, requested, fetch, self._now(now), start, end)
 
-    def _land(self, name: str, plan: DataFrame, file: str) -> RdbText:
+    def _fetched(self, name: str, plan: DataFrame, file: str) -> RdbText:
+        """The planned responses, landed."""
         folder = f"{self.store.root}/landed/{name}/{uuid.uuid4().hex}"
-        text = landed(fetch_text(plan, "url", file, self.tasks), folder)
+        return land_requests(plan, folder, "url", file, self.tasks)
+
+    def _land(self, name: str, plan: DataFrame, file: str) -> RdbText:
+        text = self._fetched(name, plan, file)
         rejected = text.rejected()
         if not rejected.isEmpty():
             self.store.set_aside(f"rejected-{name}", rejected)
         return text
 
-    def _timed(self, name: str, long: DataFrame) -> DataFrame:
-        """The rows that have a time; the others are set aside."""
-        lost = timeless(long)
-        if not lost.isEmpty():
-            self.store.set_aside(f"unplaced-{name}", lost)
-        return long.where("datetime is not null").drop("raw_time")
-
     def _keys(self, keys: Keys, name: str) -> DataFrame:
         if isinstance(keys, DataFrame):
             return keys.select(F.col(name).cast("string"))

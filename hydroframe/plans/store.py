@@ -7,6 +7,8 @@ Layout of one dataset under `root/<dataset>`:
     commits/<n>-<id>                                which generation holds each (period, bucket)
     aside/<id>                                      rows that cannot be stored, as fetched
 
+Under `root/staged` lie parsed rows by kind, until they are removed as what is superseded is.
+
 A refresh rewrites only the (period, bucket) partitions its rows fall into and then
 commits a new version; readers keep the version they started with. Buckets are hashes
 of the key, so that a read by key opens one bucket however many keys there are. What
@@ -34,9 +36,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from hydroframe.operators.observations import in_window, moments
+from hydroframe.operators.observations import (
+    PLACED,
+    REJECTED,
+    TIMELESS,
+    in_window,
+    moments,
+    routed_observations,
+)
 from hydroframe.operators.refresh import freshness, refetch_since
 from hydroframe.operators.upsert import WRITTEN, stamped, upsert_agg, upsert_stamped
+from hydroframe.sources.rdb import RdbText
 
 PLACE = ["period", "bucket"]
 PLACE_FIELDS = [StructField("period", StringType()), StructField("bucket", LongType())]
@@ -255,6 +265,25 @@ class Store:
 
         return wrap
 
+    def routed(self, name: str, text: RdbText) -> DataFrame:
+        """The observations of `text` that have a time, for a dataset.
+
+        The text is parsed once, into a table by kinds of rows; lines that fit no header and
+        observations without a time are set aside from there.
+        """
+        folder = f"{self.root}/staged/{name}/{uuid.uuid4().hex}"
+        long = routed_observations(text)
+        long.write.partitionBy("kind").parquet(folder)
+        staged = self.spark.read.schema(long.schema).parquet(folder)
+        rejected = staged.where(F.col("kind") == REJECTED).select(
+            "file", "block", "line", *text.carried, F.col("rejected").alias("value")
+        )
+        lost = staged.where(F.col("kind") == TIMELESS).drop("kind", "rejected")
+        for kind, rows in (("rejected", rejected), ("unplaced", lost)):
+            if not rows.isEmpty():
+                self.set_aside(f"{kind}-{name}", rows)
+        return staged.where(F.col("kind") == PLACED).drop("kind", "rejected", "raw_time")
+
     def set_aside(self, name: str, rows: DataFrame) -> None:
         """Keep rows that belong to a dataset but cannot be stored in it."""
         rows.write.parquet(f"{self.root}/{name}/aside/{uuid.uuid4().hex}")

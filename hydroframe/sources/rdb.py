@@ -132,14 +132,19 @@ class RdbText:
                 raise ValueError(f"{row.name} has several types: {sorted(row.codes)}")
         return {row.name: row.codes[0] for row in found}
 
-    def rows(self, *head_columns: Column, strict: bool = False) -> DataFrame:
+    def rows(self, *head_columns: Column, strict: bool = False, rejected_as: str | None = None) -> DataFrame:
         """(file, block, line, cells) of every data line that fits its header.
 
         `head_columns` are expressions over `names` and `codes`. They are computed
         once per file and carried along with each of its lines. In strict mode a
-        line with too many cells fails the query.
+        line with too many cells fails the query. `rejected_as` keeps such lines and names
+        a column that has their text, and null for the others.
         """
         fits = fits_header()
+        if rejected_as is not None:
+            return self._data_lines(head_columns).select(
+                "*", F.when(~fits, F.col("value")).alias(rejected_as), F.split("value", "\t").alias("cells")
+            ).drop("width", "value")
         if strict:
             complaint = F.concat(F.lit("too many cells in "), F.col("file"))
             fits = F.when(fits, True).otherwise(F.raise_error(complaint).cast("boolean"))

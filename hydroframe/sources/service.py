@@ -7,12 +7,18 @@ list of addresses as an option, one input partition each.
 A response becomes pieces of whole lines, each led by the response's own header and type
 row, so that its lines are taken apart by Spark without a join. It is read once, in order,
 and landed before it is parsed (`landed`): a retry of a later stage asks nobody again.
+
+`land_requests` keeps a journal of the answers next to them: a request that fails is told, and
+asked again in a round of its own, and none that was answered is.
 """
 
 from __future__ import annotations
 
+import http.client
 import io
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from urllib.request import urlopen
 
 import pyarrow as pa
@@ -73,6 +79,97 @@ def fetch_text(
     )
 
 
+#: Rounds of requests: those that failed in one are asked again in the next.
+ROUNDS = 3
+PIECE_KIND, DONE, FAILED = "piece", "done", "failed"
+JOURNAL_SCHEMA = f"{TEXT_SCHEMA}, kind string"
+_JOURNAL_FIELDS = pa.schema([*ARROW_SCHEMA, pa.field("kind", pa.string())])
+
+
+def _journal_row(file: str, number: int, value: str | None, kind: str) -> pa.RecordBatch:
+    columns = [pa.array([x], f.type) for x, f in zip((file, number, value, kind), _JOURNAL_FIELDS)]
+    return pa.RecordBatch.from_arrays(columns, schema=_JOURNAL_FIELDS)
+
+
+def _fetch_or_tell(
+    read: Callable[[str], Iterable[tuple[int, str]]], batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    """The pieces of each response, and behind them whether it came to its end."""
+    for batch in batches:
+        for url, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            number = 0
+            try:
+                for number, value in read(url):
+                    yield _journal_row(name, number, value, PIECE_KIND)
+            except (OSError, http.client.HTTPException) as error:
+                yield _journal_row(name, number, f"{url}: {error}", FAILED)
+            else:
+                yield _journal_row(name, number, None, DONE)
+
+
+def land_requests(
+    plan: DataFrame,
+    folder: str,
+    url: str = "url",
+    name: str | None = None,
+    tasks: int | None = None,
+    rounds: int = ROUNDS,
+    read: Callable[[str], Iterable[tuple[int, str]]] = response_pieces,
+) -> RdbText:
+    """Land every planned response in `folder` and return them as station text.
+
+    A failed request fails no task and loses no other's answer: it is told in the journal, and
+    those told are asked again, `rounds` times at most, then it is an error. Called again for
+    a folder, the rounds go on from its journal. `name` is one per request; `read` gives the
+    numbered pieces of an address.
+    """
+    spark = plan.sparkSession
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    asked = plan.select(F.col(url).cast("string"), F.col(name or url).cast("string").alias("file"))
+    for _ in range(rounds):
+        journal = _journal(spark, folder)
+        todo = asked if journal is None else asked.join(journal.where(F.col("kind") == DONE), "file", "left_anti")
+        if journal is not None and todo.isEmpty():
+            break
+        answers = todo.select(url, "file").repartition(tasks).mapInArrow(partial(_fetch_or_tell, read), JOURNAL_SCHEMA)
+        answers.write.partitionBy("kind").parquet(f"{folder}/round={uuid.uuid4().hex}")
+    return read_requests(asked, folder)
+
+
+def _rounds(spark: SparkSession, folder: str) -> list[str]:
+    """Rounds whose writer has finished."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    system = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(paths(folder)):
+        return []
+    found = [status.getPath() for status in system.listStatus(paths(folder))]
+    return sorted(p.toString() for p in found if system.exists(paths(p, "_SUCCESS")))
+
+
+def _journal(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(file, block, value, kind, round) of all finished rounds; None before the first."""
+    rounds = _rounds(spark, folder)
+    if not rounds:
+        return None
+    schema = f"{JOURNAL_SCHEMA}, round string"
+    return spark.read.schema(schema).option("basePath", folder).parquet(*rounds)
+
+
+def read_requests(asked: DataFrame, folder: str) -> RdbText:
+    """The landed responses of `asked` (file); an error if one is not there in full."""
+    journal = _journal(asked.sparkSession, folder)
+    done = journal.where(F.col("kind") == DONE)
+    failed = journal.where(F.col("kind") == FAILED)
+    told = failed.join(done, "file", "left_anti").select("file", "value").distinct().limit(10).collect()
+    if told:
+        raise OSError("no answer from " + "; ".join(row.value for row in told) + f" (landed: {folder})")
+    pieces = journal.where(F.col("kind") == PIECE_KIND)
+    if not failed.isEmpty():
+        # Of a response that broke off, pieces are there that do not count.
+        pieces = pieces.join(done.select("file", "round"), ["file", "round"], "left_semi")
+    return RdbText(documents=pieces.select("file", "block", "value"))
+
+
 def landed(pieces: DataFrame, folder: str) -> RdbText:
     """Write fetched pieces to `folder` and return them as station text."""
     pieces.write.parquet(folder)

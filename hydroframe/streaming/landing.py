@@ -8,7 +8,6 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from hydroframe.operators.observations import long_observations, timeless
 from hydroframe.plans.store import Dataset, Store
 from hydroframe.sources.rdb import scan
 
@@ -68,7 +67,7 @@ def stream_upsert(
 
     Every cell keeps the modification time and name of the file it came from. The later file
     wins, so the result depends neither on `max_files` nor on which run a file came in.
-    Observations without a readable time are set aside.
+    Observations without a readable time, and lines that fit no header, are set aside.
     """
     writer = (ARRIVED, "file")
     order = (*writer, *(c for c in dataset.order if c not in writer))
@@ -78,11 +77,8 @@ def stream_upsert(
         paths = [literal_path(row.path) for row in batch.select("path").distinct().collect()]
         if not paths:
             return
-        long = long_observations(scan(spark, paths, arrival=ARRIVED))
-        lost = timeless(long)
-        if not lost.isEmpty():
-            store.set_aside(f"unplaced-{dataset.name}", lost)
-        store.commit(ordered, None, long.where("datetime is not null").drop("raw_time"), now)
+        text = scan(spark, paths, arrival=ARRIVED)
+        store.commit(ordered, None, store.routed(dataset.name, text), now)
 
     journalled(spark, landing, checkpoint, max_files)
     names = (

@@ -412,3 +412,46 @@ def test_marks_are_written_as_they_change(spark, tmp_path, monkeypatch):
         lists.append([count for _, count in store._latest(dataset).marks])
     assert lists == [[50], [50, 1], [50, 1, 1], [50, 2], [50, 2, 1], [50, 4]]
     assert {r.k: r.fetched_at for r in store.marks(dataset).collect()} == moments_of
+
+
+def test_a_failed_request_asks_nobody_else_again(spark, tmp_path):
+    """Requests that fail are asked again alone; a response that broke off leaves no piece behind."""
+    text = "# c\nk\tv\n5s\t5n\n" + "".join(f"{{name}}\t{i}\n" for i in range(4))
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def answer(url):
+        """Fails for `c` twice, the first time behind its first piece; tells each call by a file."""
+        asked = len(list(calls.glob(f"{url}-*")))
+        (calls / f"{url}-{asked}").touch()
+        if url == "c" and asked == 0:
+            yield 0, text.format(name="broken")
+        if url == "c" and asked < 2:
+            raise OSError("gone")
+        yield 0, text.format(name=url)
+
+    plan = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "url string")
+
+    def count():
+        return sorted(path.name for path in calls.iterdir())
+
+    folder = str(tmp_path / "landed")
+    with pytest.raises(OSError, match="c: gone"):
+        service.land_requests(plan, folder, tasks=2, rounds=1, read=answer)
+    assert count() == ["a-0", "b-0", "c-0", "d-0"]
+    got = service.land_requests(plan, folder, tasks=2, read=answer).table()
+    assert count() == ["a-0", "b-0", "c-0", "c-1", "c-2", "d-0"]
+    assert sorted((r.k, int(r.v)) for r in got.collect()) == [(k, v) for k in "abcd" for v in range(4)]
+
+
+def test_text_is_parsed_once(spark, tmp_path):
+    """Rows of all kinds come from one table; the store reads that and not the text."""
+    text = "site_no\tdatetime\ttz_cd\t1_00010\t1_00010_cd\n15s\t20d\t6s\t14n\t10s\n"
+    text += "1\t2021-01-01\tPST\t5\tP\n1\tsoon\tPST\t6\tP\n1\t2021-01-02\tPST\t7\tP\tmore\n"
+    pieces = spark.createDataFrame([("f", 0, text)], "file string, block long, value string")
+    store = Store(spark, str(tmp_path / "store"))
+    rows = store.routed("d", service.landed(pieces, str(tmp_path / "text")))
+    assert all("/staged/d/" in name for name in rows.inputFiles())
+    assert [(r.site_no, r.value) for r in rows.collect()] == [("1", 5.0)]
+    assert [(r.raw_time, r.value) for r in store.aside("unplaced-d").collect()] == [("soon", 6.0)]
+    assert [r.value.rsplit("\t", 1)[1] for r in store.aside("rejected-d").collect()] == ["more"]
