@@ -34,6 +34,8 @@ CAPACITY, END = 4096, 1
 BLOCK = 4_000_000
 #: Rounds of weights in a solution, and solutions of what rounding leaves over.
 ROUNDS, SOLUTIONS = 12, 4
+#: Bytes of a slot in a broadcast table, and the largest table that is broadcast.
+SLOT_BYTES, BROADCAST_LIMIT = 128, 64 << 20
 
 
 #: Letters that stay one letter when they are lower-cased: those of most European words.
@@ -49,7 +51,9 @@ class WordTokens(WordStore):
     """Encodes by a `tokenizers` model that drops white space and marks word ends.
 
     Texts are cut at blanks and line ends, which such a model never joins over. Words of
-    letters are encoded many in one call: each ends with its one token of a word end.
+    letters are encoded many in one call: each ends with its one token of a word end. Added
+    tokens that a text spells out are those tokens, as the library has it: texts are cut
+    there first, and such a token is a word of its own, a blank and its id.
     """
 
     remembered, characters_remembered = 700_000, 10_000_000
@@ -58,7 +62,11 @@ class WordTokens(WordStore):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
+        # What is left of a text between added tokens holds none, whatever lower case makes of it.
         self.model.encode_special_tokens = True
+        self.added = {token.content: f" {n}" for n, token in self.model.get_added_tokens_decoder().items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, number in vocabulary.items():
@@ -66,6 +74,16 @@ class WordTokens(WordStore):
         super().__init__()
 
     def cut(self, text: str) -> Iterator[list[str]]:
+        if self.at_added is None or not any(token in text for token in self.added):
+            yield from self._cut(text)
+            return
+        for at, part in enumerate(self.at_added.split(text)):
+            if at % 2:
+                yield [self.added[part]]
+            else:
+                yield from self._cut(part)
+
+    def _cut(self, text: str) -> Iterator[list[str]]:
         # The model lower-cases; A-Z are lower-cased here, so that fewer words differ.
         text = text.encode().lower().decode().replace("\n", " ")
         if len(text) <= BLOCK:
@@ -110,7 +128,10 @@ class WordTokens(WordStore):
                 sizes.append(np.diff(ends, prepend=-1))
         chosen = set(order)
         others = [n for n in range(len(cores)) if n not in chosen]
-        made = [x.ids for x in self.model.encode_batch_fast([cores[n] for n in others], add_special_tokens=False)]
+        words = [n for n in others if not cores[n].startswith(" ")]
+        told = self.model.encode_batch_fast([cores[n] for n in words], add_special_tokens=False)
+        ids_of = dict(zip(words, (x.ids for x in told)))
+        made = [ids_of[n] if n in ids_of else [int(cores[n])] for n in others]
         found.append(np.array([i for ids in made for i in ids], dtype="<u4"))
         sizes.append(np.array([len(ids) for ids in made], dtype=np.int64))
         order, by_order = np.array(order + others, dtype=np.int64), np.concatenate(sizes)
@@ -254,8 +275,9 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Con
     """Configurations and how many sequences each fills; every piece has exactly one place.
 
     Configurations that fill a sequence waste nothing and are taken first, round after round.
-    Of what they leave, the program's solution is rounded down whatever it fills, so that the
-    last best-fit has no more pieces than configurations hold. Rounding may cost more than the
+    Of what they leave, the program's solution is rounded down whatever it fills, and the rest
+    solved again, so that the last best-fit has no more pieces than configurations hold; a
+    histogram of any size takes this way. Rounding may cost more than the
     program gains: the fewest sequences of both, and of the first solution rounded alone, count.
     """
     every = np.zeros(capacity + 1, dtype=np.int64)
@@ -264,7 +286,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Con
     full: dict[Configuration, int] = defaultdict(int)
     left, first = every.copy(), None
     for _ in range(SOLUTIONS):
-        if left.sum() < 64:
+        if not left.any():
             break
         before = left.sum()
         solution = sorted(_weighted(left, ROUNDS).items(), key=lambda x: -x[1])
@@ -277,15 +299,33 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Con
             break
     plans = [_best_fit(full, left)]
     for found, rest, solution in ((full.copy(), left, None), (defaultdict(int), every, first)):
-        if rest.sum() < 64:
-            continue
-        rest = rest.copy()
-        for configuration, wanted in solution or _weighted(rest, ROUNDS).items():
-            _take(found, rest, configuration, int(wanted))
-        plans.append(_best_fit(found, rest))
+        if rest.any():
+            rest = rest.copy()
+            _round(found, rest, solution)
+            plans.append(_best_fit(found, rest))
     return min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
+def _round(
+    found: dict[Configuration, int], rest: np.ndarray, solution: list[tuple[Configuration, float]] | None
+) -> None:
+    """Take what a solution holds whole, then what a solution of the rest does, a few times.
+
+    Where none holds a whole sequence, of a few pieces left, the configurations of more than half a
+    sequence are taken, the largest share first.
+    """
+    for _ in range(SOLUTIONS):
+        if not rest.any():
+            return
+        solution = solution or sorted(_weighted(rest, ROUNDS).items(), key=lambda x: -x[1])
+        least = 1 if solution[0][1] >= 1 else 0.5
+        for configuration, wanted in solution:
+            if wanted >= least:
+                fits = min(int(rest[l]) // k for l, k in configuration)
+                _take(found, rest, configuration, int(wanted) if least == 1 else min(fits, 1))
+        solution = None
+
+
 def _best_fit(found: dict[Configuration, int], left: np.ndarray) -> list[tuple[Configuration, int]]:
     """The sequences found, and what is left: longest first, each piece into the fullest
     sequence that has room, else into a new one.
@@ -375,14 +415,18 @@ def pack(
     histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counted.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    places = list(_slots(solve(histogram, capacity)))
+    table_bytes = len(places) * SLOT_BYTES
     slots = spark.createDataFrame(
-        list(_slots(solve(histogram, capacity))),
-        "length long, low long, high long, copies long, sequence long, base long",
+        places,
+        "slot_length long, low long, high long, copies long, sequence long, base long",
     )
     ranked = cut.join(first, ["length", "part"]).withColumn("rank", F.col("first") + F.col("place"))
-    here = (ranked["length"] == slots["length"]) & F.col("rank").between(F.col("low"), F.col("high") - 1)
+    here = (ranked["length"] == F.col("slot_length")) & F.col("rank").between(F.col("low"), F.col("high") - 1)
     nth = F.col("rank") - F.col("low")
-    return ranked.join(F.broadcast(slots), here).select(
+    if table_bytes <= BROADCAST_LIMIT:
+        slots = F.broadcast(slots)
+    return ranked.join(slots, here).select(
         F.col("id").alias(id_column),
         "piece",
         "start",

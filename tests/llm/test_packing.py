@@ -18,7 +18,6 @@ from hydroframe.llm.workload import op4_packing
 PATH = P.path("word_bpe_49k.json")
 MODEL = K.WordTokens(open(PATH, encoding="utf-8").read())
 WHOLE = Tokenizer.from_file(PATH)
-WHOLE.encode_special_tokens = True
 
 
 def ids(text):
@@ -42,6 +41,13 @@ def test_words_and_long_texts(monkeypatch):
     assert got_ids([" ".join(texts)]) == [ids(" ".join(texts))]
 
 
+def test_added_tokens_in_a_text():
+    texts = ["x <|endoftext|> y", "x<|endoftext|>y", "<|ENDOFTEXT|> <|startoftext|><|endoftext|>", "<|endoftext|", " 49407"]
+    texts += ["a.<|startoftext|>,b", "<|endoftext|>" * 50, "\u212a<|endoftext|>\u0301e"]
+    assert got_ids(texts) == [ids(t) for t in texts]
+    assert got_ids(["x <|endoftext|> y"]) == [[343, 49407, 344]]
+
+
 def check(rows, texts, capacity):
     made, sequences = defaultdict(dict), defaultdict(list)
     for r in rows:
@@ -115,6 +121,21 @@ def test_loose_configurations_are_rounded_too():
     assert used == histogram
 
 
+@pytest.mark.parametrize("times", [12, 13, 24, 240])
+def test_few_pieces_take_the_same_way(times):
+    """Best-fit alone takes 22 sequences for 60 pieces where the program needs 18."""
+    histogram = {510: times, 270: times, 260: times, 230: 2 * times}
+    plan = K.solve(histogram, 1005)
+    assert sum(n for _, n in plan) == -(-3 * times // 2)
+
+
+def test_slots_too_large_to_broadcast(spark, monkeypatch):
+    texts = {n: "a b c " * (n % 7) for n in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(K, "BROADCAST_LIMIT", 0)
+    check(K.pack(docs, PATH, capacity=20).collect(), texts, 20)
+
+
 def test_equal_pieces_are_placed_at_once():
     plan = K.solve({3000: 10**9, 1400: 10**9 + 1, 700: 3}, 4096)
     assert len(plan) < 20
