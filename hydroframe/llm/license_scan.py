@@ -1,20 +1,26 @@
 """License scans: a paragraph classifier names the licence family, templates confirm it.
 
-A paragraph is a line; of a long one, overlapping runs of words. Those with a word that
-licences turn on are classified by logistic regression on hashed word n-grams, among the
-families and an unknown class that other paragraphs of the corpus train. The least
-probability for a family is calibrated on paragraphs kept out of the training. A family is
-reported where a template of it shares enough of its word triples with the paragraph.
-
-Paragraphs without such a word are of no family by definition. They are told apart by one
-pattern while the texts are read, so that few are ever classified.
+A family is reported where the classifier says so and a template of the family confirms it, by
+sharing enough of its word triples with the paragraph. So a paragraph that shares none cannot be
+reported, and only words around shared triples are ever classified: for each family, what
+stands between its triples that lie close together, with a few words on both sides, over
+line ends, since notices are wrapped; of long ones, overlapping runs. A line that consists
+of a family's short name, written as it is, is a paragraph, too.
+
+Paragraphs are classified by logistic regression on hashed word n-grams, among the families
+and an unknown class that other paragraphs of the corpus train. The least probability for a
+family is calibrated on paragraphs kept out of the training.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
@@ -22,17 +28,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import some_texts, whole_text
+from hydroframe.llm.common import small_batches, some_texts, stored, whole_text
 
 UNKNOWN = "unknown"
-#: Words of which a paragraph of a licence has one.
+#: Words of licences: lines without them train the unknown class.
 CUE = (
     r"(?i)licen[sc]|copyright|copyleft|warrant|redistribut|spdx|public domain|rights reserved"
     r"|free of charge|creative commons|free software"
 )
 WORDS = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
-#: Words of a paragraph, and the step of the runs of a longer line.
+#: Words of a paragraph, and the step of the runs of a longer one.
 PARAGRAPH, STEP = 60, 30
+#: Words between triples of one paragraph at most, and words taken on both sides.
+APART, BESIDE = 8, 2
+#: Characters of a line that may be a short name.
+SHORT_LINE = 40
 #: Hashed features of each n-gram length; share of a template's or paragraph's triples that confirms.
 FEATURES, LIKENESS = 1 << 12, 0.5
 #: At most so many paragraphs of the corpus train the unknown class.
@@ -107,6 +117,21 @@ TEMPLATES = {
         "This software may be used only under a commercial license agreement.",
     ],
 }
+# What the families are called for short, as it is written.
+SHORT_NAMES = {
+    "MIT": ["MIT", "MIT License"],
+    "Apache": ["Apache 2.0", "Apache-2.0", "Apache License 2.0", "ASL 2.0"],
+    "GPL": ["GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GPL 2.0", "GPL 3.0", "GNU GPL", "GNU GPLv3"],
+    "LGPL": ["LGPL", "LGPLv2.1", "LGPLv3", "LGPL-2.1", "LGPL-3.0", "GNU LGPL"],
+    "AGPL": ["AGPL", "AGPLv3", "AGPL-3.0", "GNU AGPL"],
+    "BSD": ["BSD", "BSD License", "BSD 2-Clause", "BSD 3-Clause", "BSD-2-Clause", "BSD-3-Clause"],
+    "MPL": ["MPL", "MPL 2.0", "MPL-2.0"],
+    "CC-BY": ["CC BY", "CC-BY", "CC BY 4.0", "CC-BY-4.0", "CC BY 3.0"],
+    "CC-BY-SA": ["CC BY-SA", "CC-BY-SA", "CC BY-SA 4.0", "CC-BY-SA-4.0", "CC BY-SA 3.0"],
+    "CC-BY-NC": ["CC BY-NC", "CC-BY-NC", "CC BY-NC 4.0", "CC-BY-NC-4.0"],
+    "CC0": ["CC0", "CC0 1.0", "CC0-1.0"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+}
 # Sentences with the same words that are no licence notice.
 OTHERS = [
     "The driver showed his license to the officer.",
@@ -147,14 +172,68 @@ def _triples(words: list[str]) -> list[str]:
     return sorted({" ".join(words[i : i + 3]) for i in range(len(words) - 2)})
 
 
-def paragraphs(docs: DataFrame, text: Column) -> DataFrame:
-    """All columns, `line` (from 0) and `words` of each paragraph with a word licences turn on."""
-    lines = docs.where(text.rlike(CUE)).select("*", F.posexplode(F.split(text, "\n")).alias("line", "__text"))
-    split = lines.where(F.col("__text").rlike(CUE)).withColumn("__words", words_of(F.col("__text")))
-    runs = F.sequence(F.lit(0), F.ceil(F.greatest(F.size("__words") - PARAGRAPH, F.lit(0)) / STEP).cast("int"))
-    cut = split.withColumn("__run", F.explode(runs))
-    return cut.withColumn("words", F.slice("__words", F.col("__run") * STEP + 1, PARAGRAPH)).drop(
-        "__text", "__words", "__run"
+@lru_cache(maxsize=None)
+def _known() -> tuple[dict[tuple[str, ...], list[str]], dict[str, str]]:
+    """Families of each triple of the templates, and the family of each short name."""
+    triples: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for family, templates in TEMPLATES.items():
+        for triple in sorted({t for template in templates for t in _triples(_python_words(template))}):
+            triples[tuple(triple.split(" "))].append(family)
+    return dict(triples), {name: family for family, names in SHORT_NAMES.items() for name in names}
+
+
+def paragraphs_of(text: str) -> list[tuple[int, str, list[str]]]:
+    """(line, family, words) of each paragraph that a family's template may confirm."""
+    triples, short = _known()
+    lower = text.lower()
+    words = re.findall(WORDS, lower)
+    hits: dict[str, list[int]] = defaultdict(list)
+    for at, triple in enumerate(zip(words, words[1:], words[2:])):
+        if triple in triples:
+            for family in triples[triple]:
+                hits[family].append(at)
+    found = []
+    if hits:
+        lines, line, last = [], 0, 0
+        for word in re.finditer(WORDS, lower):
+            line += lower.count("\n", last, word.start())
+            last = word.start()
+            lines.append(line)
+        for family, places in hits.items():
+            start = 0
+            for n, at in enumerate(places):
+                if n + 1 < len(places) and places[n + 1] - at <= APART + 3:
+                    continue
+                first, behind = max(0, places[start] - BESIDE), at + 3 + BESIDE
+                run = words[first:behind]
+                for step in range(0, max(1, len(run) - PARAGRAPH + STEP), STEP):
+                    found.append((lines[max(places[start], first + step)], family, run[step : step + PARAGRAPH]))
+                start = n + 1
+    for line, said in enumerate(text.split("\n")):
+        if 2 < len(said) < SHORT_LINE and (name := said.strip(" \t\r.,;:!*#/-_()[]\"'|>")) in short:
+            found.append((line, short[name], _python_words(name)))
+    return found
+
+
+_FOUND = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("words", pa.list_(pa.string()))]))
+
+
+def paragraphs(named: DataFrame) -> DataFrame:
+    """`id`, `th` and `found`, the `paragraphs_of` each text, of (id, th, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                [{"line": line, "family": family, "words": words} for line, family, words in paragraphs_of(text)]
+                for text in batch.column(2).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, _FOUND)], ["id", "th", "found"]
+            )
+
+    kind = named.schema["id"].dataType.simpleString()
+    return small_batches(named).mapInArrow(
+        run, f"id {kind}, th binary, found array<struct<line: int, family: string, words: array<string>>>"
     )
 
 
@@ -196,6 +275,8 @@ def labelled_paragraphs(docs: DataFrame, text_column: str = "text", most: int =
                 rows.append((before + words + after, family))
             for at in range(0, max(0, len(words) - 10), 5):
                 rows += [(words[at : at + 14], family)] * 2
+    for family, names in SHORT_NAMES.items():
+        rows += [(_python_words(name), family) for name in names] * 4
     for sentence in OTHERS:
         words = _python_words(sentence)
         for _ in range(8):
@@ -214,7 +295,8 @@ def train(labelled: DataFrame) -> Model:
     held = F.pmod(F.xxhash64(F.concat_ws(" ", "words")), F.lit(4)) == 0
     classes = sorted(r.family for r in labelled.select("family").distinct().collect())
     number = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
-    rows = labelled.select("words", number.cast("double").alias("label"), held.alias("held")).cache()
+    # Few rows: more partitions would only send more copies of the coefficients around.
+    rows = labelled.select("words", number.cast("double").alias("label"), held.alias("held")).coalesce(1).cache()
     learner = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60)
     fitted = Pipeline(stages=[*_features(), learner]).fit(rows.where("not held"))
     model = Model(classes, fitted, 0.0)
@@ -249,7 +331,7 @@ def likeness(words: Column, family: Column) -> Column:
     found = F
     for name, templates in TEMPLATES.items():
         shares = []
-        for template in templates:
+        for template in [*templates, *SHORT_NAMES.get(name, [])]:
             own = _triples(_python_words(template))
             common = F.size(F.array_intersect(triples, F.array(*map(F.lit, own))))
             shares.append(common / F.least(F.size(triples), F.lit(len(own))))
@@ -266,8 +348,10 @@ def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     """
     text = whole_text(F.col(text_column))
     named = docs.select(F.col(id_column).alias("id"), F.unhex(F.md5(text)).alias("th"), text.alias("t"))
-    found = paragraphs(named.select("th", "t"), F.col("t")).select("th", "line", "words").distinct()
-    judged = _predicted(found, model).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.least))
+    told = stored(paragraphs(named), "license-paragraphs")
+    some, none = told.where(F.size("found") > 0), told.where(F.size("found") == 0)
+    each = some.select("th", F.explode("found").alias("p")).select("th", "p.line", F.col("p.family").alias("of"), "p.words")
+    judged = _predicted(each.distinct(), model).where((F.col("family") == F.col("of")) & (F.col("probability") >= model.least))
     sure = judged.withColumn("likeness", likeness(F.col("words"), F.col("family"))).where(
         F.col("likeness") >= LIKENESS
     )
@@ -278,13 +362,13 @@ def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         F.array_sort(F.collect_list(F.struct("line", "family", "probability", "likeness"))).alias("findings")
     )
     kind = by_text.schema["findings"].dataType.simpleString()
-    findings = F.coalesce("findings", F.array().cast(kind))
-    return (
-        named.select("id", "th")
-        .join(by_text, "th", "left")
-        .select(
-            F.col("id").alias(id_column),
-            F.array_sort(F.array_distinct(F.transform(findings, lambda f: f["family"]))).alias("families"),
-            findings.alias("findings"),
-        )
+    nothing = F.array().cast(kind)
+    # Texts without a paragraph, the empty ones among them, meet nobody.
+    every = some.select("id", "th").join(by_text, "th", "left").select("id", "findings")
+    every = every.union(none.select("id", nothing.alias("findings")))
+    findings = F.coalesce("findings", nothing)
+    return every.select(
+        F.col("id").alias(id_column),
+        F.array_sort(F.array_distinct(F.transform(findings, lambda f: f["family"]))).alias("families"),
+        findings.alias("findings"),
     )
