@@ -258,18 +258,24 @@ def train(
 ) -> RuleList:
     """The decision list of up to `most` labelled documents, those of the smallest id hash.
 
-    `labels`: the id and 1 for good, 0 for bad; rows with a null in either are left out.
+    `labels`: the id and 1 for good, 0 for bad; rows with a null in either are left out. An id
+    counts once: bad if any of its labels is, and by one of its documents, that of the
+    smallest text hash.
     Documents that fail the base are left out, the list is not needed for them. Only
     numbers reach the driver, at most `most` rows of them; with fewer labels, all are used.
     """
     sample = (
         labels.select(F.col(id_column).alias("id"), (F.col(label_column) == 0).alias("bad"))
         .where("id is not null and bad is not null")
-        .orderBy(F.xxhash64("id"), "id", "bad")
+        .groupBy("id")
+        .agg(F.max("bad").alias("bad"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(most)
     )
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    known = texts.join(F.broadcast(sample), "id")
+    known = texts.join(F.broadcast(sample), "id").groupBy("id", "bad").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")
+    )
     names = list(RATIOS)
     rows = (
         with_statistics(known)

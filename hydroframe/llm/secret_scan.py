@@ -29,6 +29,11 @@ from hydroframe.llm.common import aside, carried, row_of, some_texts, stored, wh
 LONG = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])|(?<=[=:][\"' ]{0,2}))[A-Za-z0-9+/_-]{16,}={0,2}"
 #: What passwords are made of: no white space and no quotes. And what one ends with where no quote does.
 WIDE, LAST = r"[!#-&(-~\u00a1-\u024f]", r"[A-Za-z0-9!#$%&*+/=@^_~-]"
+#: A digit in what is assigned. The look ahead passes SIGNS further signs at most, so that it takes time
+#: in proportion to the text; where more stand before the digit, a later one begins the candidate.
+SIGNS = 8
+_PLAIN = r"[!#-&(-9;<>-~\u00a1-\u024f]"
+DIGIT = rf"(?=(?:{_PLAIN}*+[=:]){{0,{SIGNS}}}?{_PLAIN}*[0-9])"
 #: A name that a secret is assigned to, as far as it stands before the sign.
 NAMED = r"(?i:passw(?:or)?d|passphrase|pass|pwd|secret|token|key|credentials?|bearer|auth)"
 #: Of any length: the password of user:password@, what is assigned in quotes, what has a digit
@@ -36,7 +41,7 @@ NAMED = r"(?i:passw(?:or)?d|passphrase|pass|pwd|secret|token|key|credentials?|be
 CANDIDATE = (
     r"(?<=:)(?![/@])[!#-&(-.0-9;-~\u00a1-\u024f]+(?=@[A-Za-z0-9])"
     rf"|(?<=[=:]>? ?[\"']){WIDE}+(?=[\"'])"
-    rf"|(?<=[=:]>? ?)(?![/=:>(])(?:(?={WIDE}*[0-9])|(?<={NAMED}[A-Za-z_]{{0,8}} ?[=:]>? ?)){WIDE}*{LAST}"
+    rf"|(?<=[=:]>? ?)(?![/=:>(])(?:{DIGIT}|(?<={NAMED}[A-Za-z_]{{0,8}} ?[=:]>? ?)){WIDE}*{LAST}"
     rf"|(?<= )(?<={NAMED} )(?={WIDE}*[0-9]){WIDE}*{LAST}"
     rf"|{LONG}"
 )
@@ -60,6 +65,9 @@ PLACEHOLDER = r"(?i)(your|example|sample|dummy|changeme|placeholder|insert|x{6}|
 TEST_PATH = r"(?i)(test|example|sample|fixture|mock|doc|readme)"
 SETTINGS_PATH = r"(?i)(\.env|\.pem|\.cfg|\.conf|\.ini|\.ya?ml|\.properties|\.json|secret|credential)"
 
+#: Paths of planted findings: settings, others, tests.
+PATHS = ["src/settings.yml", "deploy/.env", "src/main.c", "tests/fixtures/keys.txt", "docs/readme.md"]
+
 _SYMBOLS = 38  # a-z, 0-9, `-`, other
 
 
@@ -344,7 +352,11 @@ def scan(
 
 def planted_findings(docs: DataFrame, text_column: str = "text", most: int = DOCUMENTS) -> DataFrame:
     """Labelled findings for training: made-up secrets and look-alikes between words of up to
-    `most` documents. Text, path, secret."""
+    `most` documents. Text, path, secret.
+
+    Half of the secrets stand in settings and few in tests, as it is in repositories; of the
+    look-alikes it is the other way round. Other paths tell nothing.
+    """
     sample = some_texts(docs, whole_text(F.col(text_column)), most)
     word = lambda n: F.coalesce(F.get("w", F.lit(n)), F.lit("word"))
     digest = F.sha2("text", 512)
@@ -399,9 +411,12 @@ def planted_findings(docs: DataFrame, text_column: str = "text", most: int = DOC
         sample.select("text", words.alias("w"))
         .select(near(0, 1).alias("a"), near(2, 3).alias("b"), F.posexplode(cases).alias("n", "case"), "text")
         .where(F.pmod(F.xxhash64("text", "n"), F.lit(4)) == 0)
+        .withColumn("drawn", F.pmod(F.xxhash64("n", "text"), F.lit(20)))
         .select(
             F.concat_ws(" ", "a", "case.x", "b").alias("text"),
-            F.when(F.pmod(F.xxhash64("n", "text"), F.lit(3)) == 0, F.lit("src/settings.yml")).otherwise("src").alias("path"),
+            F.get(F.array(*map(F.lit, PATHS)), F.when(F.col("drawn") < F.when(F.col("case.secret"), 9).otherwise(3), F.pmod("drawn", F.lit(2)))
+                  .when(F.col("drawn") < F.when(F.col("case.secret"), 18).otherwise(12), 2)
+                  .otherwise(F.pmod("drawn", F.lit(2)) + 3).cast("int")).alias("path"),
             "case.secret",
         )
     )

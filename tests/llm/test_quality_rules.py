@@ -88,3 +88,14 @@ def test_nothing_to_learn_and_empty_tables(spark):
     assert Q.train(docs, labels) == []
     assert Q.judge(docs, []).collect() == []
     assert Q.learn(np.ones((5, 1)), np.ones(5, dtype=bool), ["x"]) == []
+
+
+def test_a_labelled_id_counts_once(spark, monkeypatch):
+    """An id on very many rows brings one row to the driver; repeated labels are one, the worse."""
+    learned = []
+    monkeypatch.setattr(Q, "learn", lambda values, bad, names: learned.append((len(values), bad.tolist())) or [])
+    text = " ".join(f"word{i}" for i in range(80))
+    docs = spark.range(3000).selectExpr("id % 3 as doc_id", f"concat('{text} ', id) as text")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (1, 1), (None, 0), (2, None), (9, 0)], "doc_id long, quality int")
+    Q.train(docs, labels)
+    assert [(n, sorted(bad)) for n, bad in learned] == [(2, [False, True])]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 import regex
@@ -119,3 +120,33 @@ def test_short_candidates_and_chunks(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     for r in S.scan(docs, everything).select("row.text", "findings").collect():
         assert [(f.start, f.length) for f in r.findings] == [(m.start(), len(m.group())) for m in CANDIDATE.finditer(r.text)]
+
+
+def test_candidates_take_time_in_proportion(spark):
+    """A long run of assignments without a digit is read as fast as one of twice the length is, halved."""
+    pattern = re.compile(S.DIGIT)
+    assert pattern.match("abc1") and pattern.match("a=b:c=d1") and not pattern.match("a=b&" * 50)
+
+    def seconds(n):
+        docs = spark.createDataFrame([("a=b&" * n,)], "text string").select(F.size(F.regexp_extract_all("text", F.lit(S.CANDIDATE), F.lit(0))))
+        start = time.perf_counter()
+        docs.collect()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 10 * max(seconds(10_000), 0.2)
+
+
+def test_what_an_assignment_may_hold(spark):
+    texts = ["x=a=b:c=d1", "x=" + "a=" * 30 + "b7", "no=digit&at=all", "password=hunter", "u=https://x.y/z?q=1"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in docs.select(F.regexp_extract_all("text", F.lit(S.CANDIDATE), F.lit(0))).collect()]
+    assert got[0] == ["a=b:c=d1"] and got[1][0].endswith("b7") and got[2] == [] and got[3] == ["hunter"]
+
+
+def test_paths_tell_secrets_from_tests(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    planted = S.planted_findings(docs)
+    share = {r.path: r.share for r in planted.groupBy("path").agg(F.avg(F.col("secret").cast("int")).alias("share")).collect()}
+    assert share.keys() == set(S.PATHS)
+    assert min(share[p] for p in S.PATHS[:2]) > share[S.PATHS[2]] > max(share[p] for p in S.PATHS[3:])
