@@ -376,7 +376,8 @@ def cleaned(
     found = stored(_anchored(keyed.select("th", whole_text(F.col("text"))), window), "anchors")
     counts = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     hits = found.join(counts, "anchor").groupBy("th").agg(
-        F.collect_list(F.struct("anchor", "first", "last", (F.col("n") > GROUP).alias("hot"))).alias("hits")
+        # A set: copies of a text bring the same anchors from every task.
+        F.collect_set(F.struct("anchor", "first", "last", (F.col("n") > GROUP).alias("hot"))).alias("hits")
     )
     hits = stored(hits, "hits")
     copies = keyed.groupBy("th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
