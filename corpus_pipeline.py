@@ -3,6 +3,9 @@
 Every stage but the last returns the columns of `documents`; a stage's rows are written as
 Parquet in the shared folder and read again, so that the next one starts from a table and
 a lost executor costs one stage at most.
+
+Repeated rows and ids are documents of their own in every stage, further columns pass through
+all but the last, and an empty table passes through all.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ from hydroframe.llm.workload import REPEAT_WINDOW, SIMHASH_DISTANCE, SIMHASH_SHI
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base or the learned decision list rejects go."""
+    """Documents that the base or the learned decision list rejects go, null and empty texts among them."""
     rules = quality_rules.train(docs, load(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, rules).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
+    """Of each group of near duplicates the document of the smallest id stays; texts without words are one group."""
     return simhash.deduplicated(docs, shingle=SIMHASH_SHINGLE, distance=SIMHASH_DISTANCE)
 
 
@@ -34,7 +37,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a marker; documents stay."""
+    """Secrets are replaced by a marker; documents stay, and null texts stay null."""
     model = secret_scan.train(secret_scan.planted_findings(docs), docs)
     found = secret_scan.scan(docs, model, path_column="source")
     length = F.when(F.size("findings") > 0, F.length("redacted")).otherwise(F.col("row.n_chars"))
@@ -43,7 +46,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, and their places in sequences of at most 4096 tokens."""
+    """Pieces of the documents left, and their places in sequences of at most 4096 tokens; a null text is empty."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
