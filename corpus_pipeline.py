@@ -4,8 +4,8 @@ Every stage but the last returns the columns of `documents`; a stage's rows are
 Parquet in the shared folder and read again, so that the next one starts from a table and
 a lost executor costs one stage at most.
 
-Repeated rows and ids are documents of their own in every stage, further columns pass through
-all but the last, and an empty table passes through all.
+Repeated ids are documents of their own; of rows equal in every column the second stage
+keeps one. Further columns pass through all but the last stage, an empty table through all.
 """
 
 from __future__ import annotations
