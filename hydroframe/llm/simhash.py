@@ -6,9 +6,11 @@ once for each of its bits with that bit left out; two segments that differ in on
 none, share such a variant. Fingerprints that share a variant are compared bit by bit.
 
 Copies and texts of equal fingerprint are one fingerprint. A variant shared by very many
-fingerprints is indexed again by variants of its other bits, and every task passes on only
-links that join what its other links have not joined already: links grow with the
-fingerprints, not with the square of a group.
+fingerprints is indexed again by variants of its other bits. What then still shares a key
+is dense: such a group is cut into blocks, and each task compares two of them, so that no
+task holds a group without bound. Every task passes on only links that join what its other
+links have not joined already: links grow with the fingerprints, not with the square of a
+group.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from hydroframe.llm.common import small_batches, stored, whole_text
 from hydroframe.llm.components import components
 
 BITS, SEED = 64, 42
-#: Fingerprints of one variant that are compared in one task; more are indexed again.
+#: Fingerprints of one variant that are compared in one task; more are indexed again, then cut
+#: into blocks of about as many.
 GROUP = 4000
+#: Fingerprints a task indexes.
+INDEXED = 100_000
 #: Rows of variants worked on together, and more until a group ends.
 TOGETHER = 1 << 15
 #: Groups up to this size are compared many at a time.
@@ -97,6 +102,9 @@ def _indexed(prints: DataFrame, distance: int) -> DataFrame:
     f = F.col("f")
     keys = [F.xxhash64(F.lit(n), f.bitwiseAND(F.lit(m))) for n, (m, _) in enumerate(_variants(distance))]
     numbered = [F.struct(k.alias("key"), F.lit(n).alias("variant")) for n, k in enumerate(keys)]
+    # Fingerprints are few bytes, their variants many: the tasks are set by what comes out.
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, prints.count() // INDEXED)
+    prints = prints.select("f").repartition(tasks, "f")
     return prints.select("f", F.explode(F.array(*numbered)).alias("v")).select("v.key", "v.variant", "f")
 
 
@@ -113,6 +121,20 @@ def _indexed_again(hot: DataFrame, distance: int) -> DataFrame:
     return hot.select(F.explode(made).alias("key"), "f")
 
 
+def _in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`rows` of the keys in `sizes` (key, n) under a key for each two blocks of their group.
+
+    A row goes to the pairs of its own block with every other one, so that any two rows of
+    a group meet, also those of one block. Equal fingerprints are in one block.
+    """
+    blocks = F.ceil(F.col("n") / GROUP)
+    own = F.pmod(F.xxhash64("f", F.lit(SEED)), F.col("blocks"))
+    dealt = rows.join(sizes.select("key", blocks.alias("blocks")), "key").select("key", "f", "blocks", own.alias("own"))
+    met = dealt.select("key", "f", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return met.where("own != other").select(pair.alias("key"), "f")
+
+
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits; counted unsigned, as `bitwise_count` takes a signed number's absolute value."""
     return np.bitwise_count((a ^ b).view(np.uint64))
@@ -199,15 +221,25 @@ def _links(indexed: DataFrame, distance: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _crowded(indexed: DataFrame, name: str) -> DataFrame:
+    """`key`, `n` of the keys of more than GROUP rows."""
+    counts = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return stored(counts.where(F.col("n") > GROUP), name)
+
+
 def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     """`a`, `b`: links between the distinct fingerprints `f` that connect what is connected."""
     indexed = _indexed(prints, distance)
-    hot = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
-    hot = stored(hot.select("key"), "hot")
+    hot = _crowded(indexed, "hot")
     if hot.isEmpty():
         return _links(indexed, distance)
+    found = _links(indexed.join(hot, "key", "left_anti"), distance)
     again = _indexed_again(indexed.join(hot, "key", "left_semi"), distance)
-    return _links(indexed.join(hot, "key", "left_anti"), distance).union(_links(again, distance))
+    dense = _crowded(again, "dense")
+    if dense.isEmpty():
+        return found.union(_links(again, distance))
+    found = found.union(_links(again.join(dense, "key", "left_anti"), distance))
+    return found.union(_links(_in_blocks(again, dense), distance))
 
 
 def _classes(made: DataFrame, least: Column, distance: int) -> tuple[DataFrame, DataFrame]:

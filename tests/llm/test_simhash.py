@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hydroframe.llm import simhash as S
 from hydroframe.llm.components import components
@@ -52,6 +53,20 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
+def test_dense_groups_are_compared_in_blocks(spark, monkeypatch):
+    """All fingerprints of six bits share their other bits: one group at any level."""
+    monkeypatch.setattr(S, "GROUP", 10)
+    prints = [signed(0xABCDEF0123456789 ^ n) for n in range(64)]
+    rows = spark.createDataFrame([(7, p) for p in prints], "key long, f long")
+    dealt = S._in_blocks(rows, spark.createDataFrame([(7, 64)], "key long, n long"))
+    groups = [set(r.fs) for r in dealt.groupBy("key").agg(F.collect_list("f").alias("fs")).collect()]
+    assert len(groups) == 21 and max(map(len, groups)) < 45  # two of seven blocks each
+    assert all(any({a, b} <= g for g in groups) for a in prints for b in prints)
+    frame = spark.createDataFrame([(p,) for p in prints], "f long")
+    made = components(S.links(frame, 1)).collect()
+    assert {r.node for r in made} == set(prints) and {r.root for r in made} == {min(prints)}
+
+
 @pytest.mark.parametrize("distance,group", [(4, 4000), (4, 5), (1, 3), (6, 4)])
 def test_links_reach_what_all_comparisons_reach(spark, monkeypatch, distance, group):
     monkeypatch.setattr(S, "GROUP", group)
