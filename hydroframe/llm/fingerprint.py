@@ -216,7 +216,7 @@ def edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     rows = (
         read.mapInArrow(dealt, "bucket int, extra boolean, id long, text string")
-        .repartition("bucket")
+        .repartition(wanted, "bucket")  # as many tasks as the texts' bytes ask for
         .sortWithinPartitions("bucket", "extra", F.desc_nulls_last("id"), "text")
     )
     return rows.mapInArrow(
