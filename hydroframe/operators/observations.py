@@ -17,6 +17,8 @@ HISTORY_START = "1900-01-01"
 
 SERIES_KEY = ("site_no", "ts_id", "parameter_cd", "statistic_cd", "datetime", "tz_cd")
 CELL_COLUMNS = ("value", "raw", "qualifier")
+# Rows of a parameter dictionary that is sent whole to every executor.
+BROADCAST_ROWS = 20_000
 # Columns of a file that have columns of their own in long form.
 INDEX_COLUMNS = ("site_no", "datetime", "tz_cd")
 
@@ -154,10 +156,13 @@ def timeless(long: DataFrame) -> DataFrame:
 def with_parameters(observations: DataFrame, parameters: DataFrame, on: list[str]) -> DataFrame:
     """Observations next to the description of their series.
 
-    The dictionary has no hint: it grows with the stations, so Spark's own size
-    check decides whether it is broadcast.
+    One series may have most of the observations, so none of them is sorted: a task holds
+    dictionary rows only. The dictionary grows with the stations. Up to `BROADCAST_ROWS` rows,
+    which are counted first, it is broadcast and observations stay where they are; a larger one
+    is dealt by `on`, and each task hashes its part.
     """
-    return observations.join(parameters, on)
+    small = parameters.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return observations.join(parameters.hint("broadcast" if small else "shuffle_hash"), on)
 
 
 def _bound(bound: str | datetime | None) -> Column | None:
