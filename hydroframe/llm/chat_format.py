@@ -8,11 +8,19 @@ begin with the one before it; such turns are marked, and say from where on the o
 was replaced. `out[:start] + piece`, turn by turn, is the template's output in any case.
 
 Prefixes of a conversation of n turns are n^2 / 2 turns of rendering. Behind `WINDOW` turns a
-conversation therefore goes on from its last `CONTEXT` turns only: what a turn adds must be the
-same behind these as behind the whole window, which is looked at wherever a window ends, and marked as
-rewriting where it fails. Time is in proportion to the conversation, memory is a window's.
-
-One task streams a conversation, whatever its length. Order of turns: turn (nulls first), role,
+conversation therefore goes on from its last `CONTEXT` turns only. That is exact for a template that
+states of how many turns before it a turn's rendering depends (`memory`, of `marked_turns` none): time is in
+proportion to the conversation, memory is a window's, and a statement found false is an error.
+
+Of any other template nothing is known, so turns behind the first window are held until they are
+proved: what a turn adds must be the same behind the context as behind the whole window, wherever a
+window ends, and what was said must be the template's output of all turns, at twice the window, at
+every double of that, and at the end. Where one of these fails, all prefixes of the conversation are
+rendered whole, in n^2 / 2 turns. Either way the pieces make the template's output of the whole
+conversation; a window of None renders all prefixes whole from the start. Memory is a conversation's,
+as a template of unknown memory needs all its turns.
+
+One task streams a conversation. Order of turns: turn (nulls first), role,
 text. Null texts and roles are empty; repeated rows are turns of their own; a null
 conversation id is an id like others. Other columns are not carried; an empty table gives no
 rows.
@@ -23,7 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +65,10 @@ def marked_turns(turns: list[Turn]) -> str:
     )
 
 
+#: Turns before a turn that what it adds depends on.
+marked_turns.memory = 0
+
+
 def _escape(found: re.Match) -> str:
     return "\\" + found[0]
 
@@ -90,20 +102,24 @@ def common_prefix(a: str, b: str) -> int:
 class Incremental:
     """Turns of one conversation, rendered one after the other."""
 
-    def __init__(self, template: Template, window: int = WINDOW, context: int = CONTEXT):
-        self.template, self.window, self.context = template, max(window, context + 1), context
+    def __init__(self, template: Template, window: int | None = WINDOW, context: int = CONTEXT):
+        self.template, self.context = template, context
+        self.window = None if window is None else max(window, context + 1)
         self.turns: list[Turn] = []
         self.output = template([])
         self.total = len(self.output)
         self.added = self.output
         self.begun = False
+        #: Whether a turn looked different behind the context than behind its window.
+        self.doubted = False
 
     def push(self, turn: Turn) -> dict:
-        """`start`, `piece`, place of the turn's text in the output, and whether history was rewritten.
+        """`role`, `start`, `piece`, place of the turn's text in the output, and whether history was rewritten.
 
         The first piece holds what the template says before any turn.
         """
-        moved = len(self.turns) >= self.window and self._move()
+        moved = self.window is not None and len(self.turns) >= self.window and self._move()
+        self.doubted |= moved
         after = self.template([*self.turns, turn])
         same = common_prefix(self.output, after)
         rewritten = same < len(self.output) or moved
@@ -112,6 +128,7 @@ class Incremental:
         inside = self._inside(turn, same, after)
         piece = after[same:]
         out = {
+            "role": turn[0],
             "start": shift + same,
             "piece": piece,
             "text_start": None if inside is None else shift + inside[0],
@@ -129,7 +146,7 @@ class Incremental:
         kept = self.turns[len(self.turns) - self.context :]
         output = self.template(kept)
         before = self.template(kept[:-1])
-        different = bool(kept) and (not output.startswith(before) or output[len(before) :] != self.added)
+        different = bool(kept) and output[common_prefix(before, output) :] != self.added
         self.turns, self.output = kept, output
         return different
 
@@ -146,6 +163,60 @@ class Incremental:
         return start, end
 
 
+def patched(pieces: Iterable[dict]) -> str | None:
+    """The output that the pieces make; None where they make none."""
+    said, length = [], 0
+    for made in pieces:
+        if not 0 <= made["start"] <= length:
+            return None
+        while length > made["start"]:
+            last = said.pop()
+            length -= len(last)
+            if length < made["start"]:
+                said.append(last[: made["start"] - length])
+                length = made["start"]
+        said.append(made["piece"])
+        length += len(made["piece"])
+    return "".join(said)
+
+
+def rendered(
+    template: Template, turns: Iterable[Turn], window: int | None = WINDOW, context: int = CONTEXT
+) -> Iterator[dict]:
+    """What `Incremental.push` tells of each turn, whose pieces make the template's output of any length."""
+    turns = iter(turns)
+    memory = getattr(template, "memory", None)
+    if window is None or memory is not None:
+        so_far = Incremental(template, window, max(context, (memory or 0) + 1))
+        for turn in turns:
+            yield so_far.push(turn)
+            if so_far.doubted:
+                raise ValueError(f"the template depends on more than {memory} turns before a turn")
+        return
+    so_far = Incremental(template, window, context)
+    seen, made, due = [], [], 2 * so_far.window
+    for turn in turns:
+        seen.append(turn)
+        made.append(so_far.push(turn))
+        if len(seen) <= so_far.window:
+            yield made[-1]
+        if so_far.doubted:
+            break
+        if len(seen) == due:
+            if patched(made) != template(seen):
+                break
+            due *= 2
+    else:
+        if len(seen) <= so_far.window or patched(made) == template(seen):
+            yield from made[so_far.window :]
+            return
+    whole = Incremental(template, None)
+    for place, turn in enumerate(chain(seen, turns)):
+        again = whole.push(turn)
+        if place >= so_far.window:
+            yield again
+
+
 _PIECE = "place long, role string, start long, piece string, text_start long, text_end long, loss boolean, rewritten boolean"
 
 
@@ -153,7 +224,7 @@ def format_conversations(
     rows: DataFrame,
     template: Template = marked_turns,
     trained: Iterable[str] = TRAINED,
-    window: int = WINDOW,
+    window: int | None = WINDOW,
     context: int = CONTEXT,
     conversation: str = "conv_id",
     turn: str = "turn",
@@ -178,11 +249,10 @@ def format_conversations(
 
     def formatted(found: Iterator[dict]) -> Iterator[dict]:
         for key, own in groupby(found, key=lambda row: row["conv_id"]):
-            so_far = Incremental(template, window, context)
-            for place, row in enumerate(own):
-                made = so_far.push((row["role"], row["text"]))
-                loss = row["role"] in masked and made["text_start"] is not None
-                yield {"conv_id": key, "place": place, "role": row["role"], "loss": loss, **made}
+            turns = ((row["role"], row["text"]) for row in own)
+            for place, made in enumerate(rendered(template, turns, window, context)):
+                loss = made["role"] in masked and made["text_start"] is not None
+                yield {"conv_id": key, "place": place, "loss": loss, **made}
 
     return streamed(dealt.select("conv_id", "role", "text"), formatted, _PIECE)
 

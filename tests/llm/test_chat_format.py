@@ -139,6 +139,78 @@ def test_a_template_of_longer_memory_is_told():
     assert told[:8] == [False] * 8 and told[8]
 
 
+def recalls(turns):
+    """A turn that asks for it repeats the first one."""
+    return "".join(f"{r}: {t}{turns[0][1] if 'again' in t else ''}\n" for r, t in turns)
+
+
+def seldom_again(n):
+    return [(("user", "assistant")[i % 2], f"{i} (hm) " + "again" * (i in (100, n - 9))) for i in range(n)]
+
+
+@pytest.mark.parametrize("template", [chat.marked_turns, begins, trims, closes, drops_thoughts, counts, recalls])
+@pytest.mark.parametrize("n", [7, 8, 20, 64, 65, 66, 300])
+def test_pieces_of_long_conversations_make_the_output_of_any_template(template, n):
+    for window in (7, chat.WINDOW, None):
+        made = list(chat.rendered(template, iter(seldom_again(n)), window))
+        assert patched(made) == chat.patched(made) == template(seldom_again(n))
+        assert made == list(chat.rendered(template, seldom_again(n), None))
+
+
+def test_a_template_of_any_memory_in_the_operator(spark):
+    def recalling(turns):
+        return "".join(f"{i} {r}: {t}{turns[0][1] if 'again' in t else ''}\n" for i, (r, t) in enumerate(turns))
+
+    turns = seldom_again(150)
+    data = spark.createDataFrame([(c, i, *turn) for c in (1, 2) for i, turn in enumerate(turns)], SCHEMA)
+    made = chat.format_conversations(data, recalling).collect()
+    for c in (1, 2):
+        own = sorted((r for r in made if r.conv_id == c), key=lambda r: r.place)
+        assert patched(own) == recalling(turns)
+        whole = list(chat.rendered(recalling, turns, None))
+        assert [{name: r[name] for name in whole[0]} for r in own] == whole
+
+
+def test_turns_of_a_template_without_memory_are_not_held():
+    taken = []
+
+    def turns():
+        for i in range(1000):
+            taken.append(i)
+            yield "user", f"text {i}"
+
+    assert [len(taken) for _ in chat.rendered(chat.marked_turns, turns())] == list(range(1, 1001))
+
+
+def test_a_false_memory_is_an_error():
+    def template(turns):
+        return counts(turns)
+
+    template.memory = 3
+    with pytest.raises(ValueError, match="more than 3 turns"):
+        list(chat.rendered(template, seldom_again(100)))
+
+
+def test_a_memory_longer_than_the_context_is_kept():
+    def template(turns):
+        return "".join(f"{t} after {[x for _, x in turns[max(0, i - 5) : i]]}\n" for i, (_, t) in enumerate(turns))
+
+    template.memory = 5
+    assert patched(chat.rendered(template, seldom_again(300))) == template(seldom_again(300))
+
+
+def test_proving_takes_time_in_proportion():
+    asked = 0
+
+    def template(turns):
+        nonlocal asked
+        asked += len(turns)
+        return begins(turns)
+
+    assert chat.patched(chat.rendered(template, [("user", "x")] * 20_000)) == begins([("user", "x")] * 20_000)
+    assert asked < 20_000 * 4 * chat.WINDOW
+
+
 def test_a_long_conversation_takes_time_in_proportion():
     rendered = 0
 
