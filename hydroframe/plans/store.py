@@ -243,10 +243,8 @@ class Store:
             new = new | self._written(dataset, merged).manifest
         untouched = {p: gen for p, gen in before.manifest.items() if p not in touched}
         marks = self._written_marks(dataset, before.marks, keys, arrived.rows, now)
-        after = replace(
-            before, number=before.number + 1, manifest=untouched | new, marks=marks, fields=fields
-        )
-        self._write_commit(dataset, after)
+        after = replace(before, number=before.number + 1, manifest=untouched | new, fields=fields)
+        self._write_commit(dataset, after, marks)
         return after.number
 
     def cached(self, dataset: Dataset):
@@ -457,10 +455,10 @@ class Store:
             F.max("fetched_at").alias("fetched_at"), F.max("high_water").alias("high_water")
         )
 
-    def _write_commit(self, dataset: Dataset, version: Version) -> None:
-        """Fails if another writer has committed the same version."""
+    def _write_commit(self, dataset: Dataset, version: Version, marks: list[tuple[str, int]]) -> None:
+        """The version with these marks. Fails if another writer has committed the same version."""
         rows = [(*place, gen, None, None, None) for place, gen in version.manifest.items()]
-        rows.append((None, None, None, json.dumps(version.marks), version.fields.json(), version.buckets))
+        rows.append((None, None, None, json.dumps(marks), version.fields.json(), version.buckets))
         commit = self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1)
         before = self._newest_commit(dataset)
         folder = f"{self._folder(dataset, 'commits')}/{version.number}-{uuid.uuid4().hex}"
